@@ -1,57 +1,47 @@
-"""Explicit schemas. Ids are strings, times are timestamps; nothing is inferred."""
+"""Explicit schemas, as DDL. Ids are strings, times are timestamps; nothing is inferred."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
+COMMENT = "comment_id: STRING, author: STRING, created_at: TIMESTAMP, body: STRING"
+COMMENTS = f"ARRAY<STRUCT<{COMMENT}>>"
 
-
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-COMMENT = _struct("comment_id STRING, author STRING, created_at TIMESTAMP, body STRING")
-
-THREAD = _struct(
+THREAD = (
     "source STRING, thread_id STRING, url STRING, title STRING, author STRING,"
-    " created_at TIMESTAMP,"
-    " comments ARRAY<STRUCT<comment_id: STRING, author: STRING, created_at: TIMESTAMP, body: STRING>>,"
+    f" created_at TIMESTAMP, comments {COMMENTS},"
     " issue_number BIGINT, state STRING, labels ARRAY<STRING>,"
     " score BIGINT, num_comments BIGINT, reply_count BIGINT, views BIGINT"
 )
 
-ANALYSED_THREAD = _struct(
+ANALYSED_THREAD = (
     "thread_id STRING, source STRING, sentiment STRING, priority STRING, user_type STRING,"
     " pain_points ARRAY<STRING>, feature_requests ARRAY<STRING>"
 )
 
-ITEM = _struct(
+ITEM = (
     "item_id STRING, kind STRING, text STRING, thread_id STRING, source STRING,"
     " sentiment STRING, priority STRING, user_type STRING"
 )
 
-CATEGORISED_ITEM = _struct(
-    ITEM.simpleString()[len("struct<") : -1].replace(":", " ")
-    + ", category STRING, confidence STRING, reasoning STRING"
-)
+CATEGORISED_ITEM = ITEM + ", category STRING, confidence STRING, reasoning STRING"
 
-LEDGER = _struct("source STRING, item_id STRING")
+LEDGER = "source STRING, item_id STRING"
 
 MODEL_REPLY = "array<struct<text: string, category: string, confidence: string, reasoning: string>>"
 
 # Raw payloads as landed by a crawler, one JSON object per line. Only the fields that are
 # read are named; the reader skips the rest.
-ISSUE_PAYLOAD = _struct(
+ISSUE_PAYLOAD = (
     "id BIGINT, number BIGINT, html_url STRING, title STRING, user STRUCT<login: STRING>,"
     " state STRING, pull_request STRING, reactions STRUCT<total_count: BIGINT>, comments BIGINT,"
     " labels ARRAY<STRUCT<name: STRING>>, body STRING, created_at STRING, updated_at STRING,"
     " comment_list ARRAY<STRUCT<id: BIGINT, user: STRUCT<login: STRING>, created_at: STRING, body: STRING>>"
 )
-POST_PAYLOAD = _struct(
+POST_PAYLOAD = (
     "id STRING, permalink STRING, title STRING, author STRING, score BIGINT, num_comments BIGINT,"
     " created_utc DOUBLE, selftext STRING,"
     " comment_list ARRAY<STRUCT<id: STRING, author: STRING, created_utc: DOUBLE, body: STRING>>"
 )
-TOPIC_PAYLOAD = _struct(
+TOPIC_PAYLOAD = (
     "id BIGINT, slug STRING, title STRING, last_poster_username STRING, reply_count BIGINT,"
     " views BIGINT, created_at STRING, category_id BIGINT,"
     " post_stream STRUCT<posts: ARRAY<STRUCT<id: BIGINT, username: STRING, created_at: STRING, cooked: STRING>>>"
