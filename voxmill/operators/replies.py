@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxmill.functions.binding import let
 from voxmill.functions.scalars import token_cost
 from voxmill.functions.text import strip_json_fence
 from voxmill.operators.classify import ANSWERED, MISMATCHED, SURPLUS, UNANSWERED
@@ -13,8 +14,10 @@ from voxmill.schemas import MODEL_REPLY
 
 def parse_reply(reply: Column) -> Column:
     """A reply as an array of answers; NULL where it is not a JSON array (JSN1)."""
-    text = strip_json_fence(reply)
-    return F.when(F.startswith(text, F.lit("[")), F.from_json(text, MODEL_REPLY))
+    return let(
+        strip_json_fence(reply),
+        lambda text: F.when(F.startswith(text, F.lit("[")), F.from_json(text, MODEL_REPLY)),
+    )
 
 
 def parsed_replies(replies: DataFrame) -> DataFrame:
@@ -33,9 +36,11 @@ def attach_replies(batched: DataFrame, replies: DataFrame) -> DataFrame:
     an answer and an answer without an item are marked, none is lost or mixed up.
     """
     answers = (
-        parsed_replies(replies)
-        .where(F.col("answers").isNotNull())
-        .select("kind", "batch_num", F.posexplode("answers").alias("pos_in_batch", "answer"))
+        replies.select(
+            "kind",
+            "batch_num",
+            F.posexplode(parse_reply(F.col("reply"))).alias("pos_in_batch", "answer"),
+        )
         .select(
             "kind",
             "batch_num",

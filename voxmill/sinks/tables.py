@@ -3,7 +3,7 @@ run that dies in between repeats work but loses nothing."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -31,12 +31,23 @@ def new_rows(df: DataFrame, path: str, keys: Sequence[str], *order: str) -> Data
 
 
 def append_new(
-    df: DataFrame, path: str, keys: Sequence[str], *order: str, partition_by: str | None = "source"
+    df: DataFrame,
+    path: str,
+    keys: Sequence[str],
+    *order: str,
+    partition_by: str | None = "source",
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
 ) -> bool:
-    """Append what is new (SNK1). Nothing is written where nothing is new."""
+    """Append what is new (SNK1). Nothing is written where nothing is new.
+
+    The look for new rows reads the key columns only. Costly work belongs into
+    ``prepare``: it runs on the new rows alone, and once.
+    """
     rows = new_rows(df, path, keys, *order)
-    if rows.isEmpty():
+    if rows.select(*keys).isEmpty():
         return False
+    if prepare is not None:
+        rows = prepare(rows)
     writer = rows.write.mode("append")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return True
@@ -48,24 +59,7 @@ def write_cleaned(threads: DataFrame, path: str, fmt: str = "json") -> None:
     threads.withColumn("dataset", name).write.mode("overwrite").partitionBy("dataset").format(fmt).save(path)
 
 
-def write_tables(tables: dict[str, DataFrame], path: str) -> None:
-    """The result as a set of tables (SNK3)."""
+def write_tables(tables: dict[str, DataFrame], path: str, fmt: str = "parquet") -> None:
+    """The result as a set of tables (SNK3); as JSON, one object per row."""
     for name, table in tables.items():
-        table.write.mode("overwrite").parquet(f"{path}/{name}")
-
-
-def summary_document(summary: DataFrame) -> DataFrame:
-    """The summary tables as one JSON document per kind.
-
-    ``summary`` is rolled up already: a row per attribute value, not per item.
-    """
-    sections = summary.groupBy("kind", "section").agg(
-        F.map_from_entries(
-            F.array_sort(F.collect_list(F.struct(F.coalesce("name", F.lit("n")).alias("name"), "n")))
-        ).alias("counts")
-    )
-    return sections.groupBy("kind").agg(
-        F.to_json(
-            F.map_from_entries(F.array_sort(F.collect_list(F.struct("section", "counts"))))
-        ).alias("document")
-    )
+        table.write.mode("overwrite").format(fmt).save(f"{path}/{name}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -21,16 +21,17 @@ def landed(spark: SparkSession, path: str, schema, fmt: str = "json", pattern: s
 def collect(
     stream: DataFrame, sink: str, checkpoint: str, keys: Sequence[str], *order: str,
     partition_by: str | None = "source",
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Write rows whose key the sink does not hold yet; drain what has landed and stop.
 
     The sink itself is the memory of what was collected, so there is no state that grows
     inside the query. A batch that is run again after a failure finds its rows in the
-    sink and adds nothing.
+    sink and adds nothing. ``prepare``, cleaning for one, sees the new rows only.
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        append_new(batch, sink, keys, *order, partition_by=partition_by)
+        append_new(batch, sink, keys, *order, partition_by=partition_by, prepare=prepare)
 
     return (
         stream.writeStream.foreachBatch(write)

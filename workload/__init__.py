@@ -6,7 +6,7 @@ from workload.registry import QUERIES, SQL, Query
 
 
 def _load() -> None:
-    from workload import categories, items, payloads, reports, selection, texts  # noqa: F401
+    from workload import categories, items, jobs, payloads, reports, selection, texts  # noqa: F401
 
 
 def all_queries() -> dict[str, Query]:

@@ -131,17 +131,18 @@ def _lexicon_rows() -> str:
     return ", ".join(rows)
 
 
-@query(
-    "cat4_lexicon",
-    f"""{ANALYSED}, lexicon(kind, category, ord, word) AS (VALUES {_lexicon_rows()}),
-    tokens AS (SELECT item_id, kind, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS word FROM batched),
-    scores AS (SELECT item_id, category, ord, count(*) AS score FROM tokens JOIN lexicon USING (kind, word) GROUP BY ALL),
-    best AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, ord) AS nth FROM scores)
-    SELECT item_id, kind, coalesce(category, 'Other') AS category,
-      CASE WHEN score >= 3 THEN 'High' WHEN score = 2 THEN 'Medium' ELSE 'Low' END AS confidence,
-      coalesce(score, 0) || ' lexicon words' AS reasoning
-    FROM batched LEFT JOIN (SELECT item_id, category, score FROM best WHERE nth = 1) USING (item_id)""",
-)
+LEXICON_ANSWERS_SQL = f"""{ANALYSED}, lexicon(kind, category, ord, word) AS (VALUES {_lexicon_rows()}),
+tokens AS (SELECT item_id, kind, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS word FROM batched),
+scores AS (SELECT item_id, category, ord, count(*) AS score FROM tokens JOIN lexicon USING (kind, word) GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, ord) AS nth FROM scores),
+lexicon_answers AS (
+  SELECT item_id, kind, coalesce(category, 'Other') AS category,
+    CASE WHEN score >= 3 THEN 'High' WHEN score = 2 THEN 'Medium' ELSE 'Low' END AS confidence,
+    coalesce(score, 0) || ' lexicon words' AS reasoning
+  FROM batched LEFT JOIN (SELECT item_id, category, score FROM best WHERE nth = 1) USING (item_id))"""
+
+
+@query("cat4_lexicon", f"{LEXICON_ANSWERS_SQL} SELECT * FROM lexicon_answers")
 def cat4(spark, sf):
     items = views.exploded(spark, sf).select("item_id", "kind", "text")
     return classify.classify_by_lexicon(items, views.LEXICON).drop("text")

@@ -284,14 +284,16 @@ def str1(spark, sf):
     which = (F.pmod("doc_id", F.lit(12)) + 1).cast("int")
     body = F.concat(F.element_at(snippets, which), "text")
     schema = views.table(spark, sf, "documents").schema
+
+    def prepare(new):
+        cleaned = clean_text(body, product=views.PRODUCT)
+        return new.select("doc_id", "source", "digest", cleaned.alias("cleaned"))
+
     for _ in range(2):
         feed = streaming.landed(spark, sf, schema, "parquet", "documents.parquet")
-        cleaned = feed.select(
-            "doc_id",
-            "source",
-            F.sha2("text", 256).alias("digest"),
-            clean_text(body, product=views.PRODUCT).alias("cleaned"),
+        keyed = feed.withColumn("digest", F.sha2("text", 256))
+        run = streaming.collect(
+            keyed, sink, fresh_dir(spark, "progress"), ["digest"], "doc_id", prepare=prepare
         )
-        query_ = streaming.collect(cleaned, sink, fresh_dir(spark, "progress"), ["digest"], "doc_id")
-        query_.awaitTermination()
+        run.awaitTermination()
     return stored(spark, sink).select("doc_id", "cleaned")

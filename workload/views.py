@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from voxmill import vocab
 from voxmill.functions.scalars import estimate_tokens
 from voxmill.operators.items import batched_items, explode_items, prompts
-from voxmill.operators.select import without_pull_requests
+from voxmill.operators.select import open_only, recent, without_pull_requests
 
 AS_OF = "2001-08-01 00:00:00"
 CUTOFF = "2001-02-02 00:00:00"
@@ -379,6 +379,10 @@ def issue_payloads(spark: SparkSession, sf: str) -> DataFrame:
                 F.pmod(doc, F.lit(10)) != 0, F.struct(F.col("source").alias("login"))
             ).alias("user"),
             F.lit("open").alias("state"),
+            F.when(F.pmod(doc, F.lit(13)) == 0, F.struct(F.lit("u").alias("url"))).alias("pull_request"),
+            F.struct(F.floor(F.col("n_chars") / 100).alias("total_count")).alias("reactions"),
+            (F.size(_lines()) - 1).alias("comments"),
+            iso_z(_second(doc * 60)).alias("updated_at"),
             F.array(
                 F.struct(F.col("lang").alias("name")), F.struct(F.col("source").alias("name"))
             ).alias("labels"),
@@ -436,6 +440,7 @@ def topic_payloads(spark: SparkSession, sf: str) -> DataFrame:
         F.to_json(
             F.struct(
                 page.alias("id"),
+                F.pmod(page, F.lit(9)).alias("category_id"),
                 F.concat(F.lit("t-"), page.cast("string")).alias("slug"),
                 F.col("url").alias("title"),
                 F.when(F.pmod(page, F.lit(3)) != 0, F.lit("last")).alias("last_poster_username"),
@@ -479,6 +484,4 @@ def threads(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def open_issues(spark: SparkSession, sf: str) -> DataFrame:
-    from voxmill.operators.select import open_only, recent
-
     return recent(without_pull_requests(open_only(issues(spark, sf))), "updated_at", as_of())
