@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,6 +19,7 @@ Classifier = Callable[[list[str], str], Iterable[Answer]]
 MAX_LEXICON_WORDS = 10_000
 
 ANSWERED, MISMATCHED, UNANSWERED, SURPLUS = "answered", "mismatched", "unanswered", "surplus"
+ACCEPTED, QUARANTINED, PENDING = "accepted", "quarantine", "pending"
 
 
 def words(text: Column) -> Column:
@@ -145,15 +145,27 @@ def confidence_is_valid(confidence: Column) -> Column:
     return F.coalesce(_isin(confidence, vocab.CONFIDENCE_LEVELS), F.lit(False))
 
 
+def fate(status: Column, confidence: Column) -> Column:
+    """What becomes of an answer. Unanswered items are simply still pending."""
+    return (
+        F.when(status == UNANSWERED, PENDING)
+        .when((status == ANSWERED) & confidence_is_valid(confidence), ACCEPTED)
+        .otherwise(QUARANTINED)
+    )
+
+
+def _with_fate(answers: DataFrame, wanted: str) -> DataFrame:
+    return answers.where(fate(F.col("status"), F.col("confidence")) == wanted)
+
+
 def accepted(answers: DataFrame) -> DataFrame:
     """Answers fit for analysis."""
-    return answers.where((F.col("status") == ANSWERED) & confidence_is_valid(F.col("confidence")))
+    return _with_fate(answers, ACCEPTED)
 
 
 def quarantined(answers: DataFrame) -> DataFrame:
-    """Answers that are not, unanswered items aside: those are simply still pending."""
-    bad = (F.col("status") == ANSWERED) & ~confidence_is_valid(F.col("confidence"))
-    return answers.where(F.col("status").isin(MISMATCHED, SURPLUS) | bad)
+    """Answers that are not."""
+    return _with_fate(answers, QUARANTINED)
 
 
 # -- threads to feedback (CAT5) ---------------------------------------------
@@ -204,8 +216,3 @@ def analyse_threads(threads: DataFrame, text: Column) -> DataFrame:
 def thread_text(comments: Column) -> Column:
     """All cleaned bodies of a thread, one after the other."""
     return F.array_join(F.transform(comments, lambda c: c["cleaned_body"]), "\n")
-
-
-def any_word(tokens: Column, options: Sequence[str]) -> Column:
-    """True where one of ``options`` is among the words."""
-    return reduce(lambda a, b: a | b, (F.array_contains(tokens, o) for o in options))

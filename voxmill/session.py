@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "voxmill", master: str | None = None, **conf: str) -> SparkSession:
@@ -48,3 +48,11 @@ def shared_root(spark: SparkSession) -> str:
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other run uses."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored_once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: what follows may use it several
+    times, and a lost executor costs no recomputation."""
+    path = fresh_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

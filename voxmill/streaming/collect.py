@@ -10,9 +10,17 @@ from pyspark.sql.streaming import StreamingQuery
 from voxmill.sinks.tables import append_new
 
 
-def landed(spark: SparkSession, path: str, schema, fmt: str = "json", pattern: str | None = None) -> DataFrame:
-    """A stream of landed files. The schema is given, never inferred."""
-    reader = spark.readStream.schema(schema).format(fmt)
+def landed(
+    spark: SparkSession,
+    path: str,
+    schema,
+    fmt: str = "json",
+    pattern: str | None = None,
+    files_per_batch: int = 10_000,
+) -> DataFrame:
+    """A stream of landed files. The schema is given, never inferred; a backlog is worked
+    off in batches of so many files."""
+    reader = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_batch)
     if pattern is not None:
         reader = reader.option("pathGlobFilter", pattern)
     return reader.load(path)

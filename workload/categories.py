@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from voxmill import vocab
 from voxmill.operators import classify, replies
+from voxmill.session import stored_once
 from workload import views
 from workload.registry import query
 
@@ -30,7 +31,7 @@ attached AS (
 
 
 def attached(spark, sf):
-    batches = views.batched(spark, sf)
+    batches = stored_once(views.batched(spark, sf), "batches")
     return replies.attach_replies(batches, views.replies(batches))
 
 
@@ -66,18 +67,8 @@ def cat2(spark, sf):
     FROM attached GROUP BY ALL""",
 )
 def cat3(spark, sf):
-    answers = attached(spark, sf)
-    accepted = classify.accepted(answers).select("status", F.lit("accepted").alias("fate"))
-    bad = classify.quarantined(answers).select("status", F.lit("quarantine").alias("fate"))
-    open_ = answers.where(F.col("status") == classify.UNANSWERED).select(
-        "status", F.lit("pending").alias("fate")
-    )
-    return (
-        accepted.unionByName(bad)
-        .unionByName(open_)
-        .groupBy("status", "fate")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    fate = classify.fate(F.col("status"), F.col("confidence"))
+    return attached(spark, sf).groupBy("status", fate.alias("fate")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
