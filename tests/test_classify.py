@@ -1,0 +1,143 @@
+"""Classifiers, landed replies and what becomes of bad answers."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from voxmill import vocab
+from voxmill.operators import classify, replies
+
+ITEMS = "item_id string, kind string, text string"
+
+
+def frame(spark, n, kinds=vocab.KINDS):
+    rows = [(f"i{i}", kinds[i % len(kinds)], f"text {i}") for i in range(n)]
+    return spark.createDataFrame(rows, ITEMS).coalesce(1)
+
+
+def test_batches_are_full_and_of_one_kind(spark):
+    def sizes(texts, kind):
+        return [{"text": t, "category": kind, "confidence": "High", "reasoning": str(len(texts))} for t in texts]
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        out = classify.classify_with(frame(spark, 260), sizes).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(out) == 260 and all(r.category == r.kind and r.status == "answered" for r in out)
+    # 130 per kind: five full batches and one of five.
+    assert sorted(int(r.reasoning) for r in out) == [5] * 10 + [25] * 250
+
+
+def test_bad_answers_are_marked(spark):
+    def odd(texts, kind):
+        answers = [{"text": t, "category": "Other", "confidence": "Low", "reasoning": ""} for t in texts]
+        answers[0]["text"] = "something else"
+        return answers[:-1]
+
+    out = {r.item_id: r for r in classify.classify_with(frame(spark, 5, ("pain_points",)), odd).collect()}
+    assert [out[f"i{i}"].status for i in range(5)] == ["mismatched", "answered", "answered", "answered", "unanswered"]
+    assert out["i4"].category is None
+
+
+def test_too_many_answers_are_dropped(spark):
+    def long(texts, kind):
+        return [{"category": "Other", "confidence": "Low"}] * (len(texts) + 3)
+
+    out = classify.classify_with(frame(spark, 4), long, tasks=2).collect()
+    assert len(out) == 4 and {r.status for r in out} == {"answered"} and {r.reasoning for r in out} == {None}
+
+
+def test_a_raising_classifier_fails_the_job(spark):
+    def broken(texts, kind):
+        raise RuntimeError("service is down")
+
+    with pytest.raises(Exception, match="service is down"):
+        classify.classify_with(frame(spark, 1), broken).collect()
+
+
+def test_lexicon(spark):
+    rows = [
+        ("a", "pain_points", "Sync is broken, SYNC conflict!"),
+        ("b", "pain_points", "the cursor and the cloud"),
+        ("c", "pain_points", "nothing to see"),
+        ("d", "feature_requests", "dark theme; theme for the ui"),
+        ("e", "feature_requests", ""),
+    ]
+    out = classify.classify_by_lexicon(spark.createDataFrame(rows, ITEMS)).orderBy("item_id").collect()
+    assert [(r.category, r.confidence) for r in out] == [
+        ("Sync & Data Management", "High"),
+        ("Sync & Data Management", "Low"),  # a tie goes to the one listed first
+        ("Other", "Low"),
+        ("UI/UX Enhancements", "High"),
+        ("Other", "Low"),
+    ]
+
+
+def test_lexicon_is_bounded():
+    big = {k: {"Other": [f"w{i}" for i in range(10_001)]} for k in vocab.KINDS}
+    with pytest.raises(ValueError, match="words"):
+        classify.classify_by_lexicon(None, big)
+
+
+def test_lexicon_words_fit_the_vocabulary():
+    for kind, categories in vocab.LEXICON.items():
+        assert set(categories) == set(vocab.VOCABULARY[kind]) - {"Other"}
+    assert len(vocab.PAIN_POINT_CATEGORIES) == len(vocab.FEATURE_REQUEST_CATEGORIES) == 15
+
+
+def test_off_list_categories(spark):
+    rows = [("pain_points", "File Handling"), ("feature_requests", "File Handling"), ("pain_points", None)]
+    out = classify.check_category(spark.createDataFrame(rows, "kind string, category string")).collect()
+    assert [(r.category, r.category_raw) for r in out] == [
+        ("File Handling", "File Handling"), ("Other", "File Handling"), ("Other", None),
+    ]
+
+
+def test_fates(spark):
+    rows = [("answered", "High"), ("answered", "high"), ("answered", None), ("mismatched", "Low"),
+            ("surplus", "Low"), ("unanswered", None)]
+    answers = spark.createDataFrame(rows, "status string, confidence string")
+    assert [tuple(r) for r in classify.accepted(answers).collect()] == [("answered", "High")]
+    assert len(classify.quarantined(answers).collect()) == 4
+
+
+def answer(text, category="Other"):
+    return {"text": text, "category": category, "confidence": "High", "reasoning": "r"}
+
+
+def test_landed_replies(spark):
+    batched = spark.createDataFrame(
+        [("pain_points", 1, 0, "a"), ("pain_points", 1, 1, "b"), ("pain_points", 2, 0, "c"), ("pain_points", 3, 0, "d")],
+        "kind string, batch_num bigint, pos_in_batch int, text string",
+    )
+    landed = spark.createDataFrame(
+        [
+            ("pain_points", 1, "```json\n" + json.dumps([answer("a"), answer("x"), answer("y")]) + "\n```", 10, 20),
+            ("pain_points", 2, "no json", 1, 2),
+            ("pain_points", 3, json.dumps(answer("d")), 1, 2),
+        ],
+        "kind string, batch_num bigint, reply string, prompt_tokens bigint, completion_tokens bigint",
+    )
+    out = replies.attach_replies(batched, landed).orderBy("batch_num", "pos_in_batch").collect()
+    assert [(r.batch_num, r.text, r.status) for r in out] == [
+        (1, "a", "answered"), (1, "b", "mismatched"), (1, None, "surplus"), (2, "c", "unanswered"), (3, "d", "unanswered"),
+    ]
+    assert [r.batch_num for r in replies.failed_replies(landed).orderBy("batch_num").collect()] == [2, 3]
+    assert tuple(replies.total_cost(landed).first()) == (3, 0.000324)
+    assert tuple(replies.total_cost(landed.where("false")).first()) == (0, 0.0)
+
+
+def test_thread_analysis(spark):
+    rows = [
+        (1, "It will crash. I love it! Please add tags.\nNice API"),
+        (2, "All fine here"),
+        (3, "The editor is slow. Slow and bad"),
+    ]
+    frame_ = spark.createDataFrame(rows, "i int, t string")
+    out = classify.analyse_threads(frame_, F.col("t")).orderBy("i").collect()
+    assert (out[0].pain_points, out[0].feature_requests) == (["It will crash"], ["Please add tags"])
+    assert (out[0].sentiment, out[0].priority, out[0].user_type) == ("positive", "high", "developer")
+    assert (out[1].pain_points, out[1].sentiment, out[1].priority) == ([], "neutral", "low")
+    assert (len(out[2].pain_points), out[2].sentiment, out[2].priority) == (2, "negative", "medium")

@@ -76,21 +76,24 @@ def classify_by_lexicon(items: DataFrame, lexicon: Lexicon = vocab.LEXICON) -> D
 # -- user callable (CAT1, CAT2) ---------------------------------------------
 
 
-def _answers(batch: pd.DataFrame, kind: str, classify: Classifier) -> pd.DataFrame:
-    """Put the answers beside the items they were given for."""
-    replies = list(classify(batch["text"].tolist(), kind))
-    out = batch.reset_index(drop=True)
-    for field in ("category", "confidence", "reasoning"):
-        given = [r.get(field) for r in replies[: len(out)]]
-        out[field] = pd.Series(given + [None] * (len(out) - len(given)), dtype=object)
-    echoes = [r.get("text", t) == t for r, t in zip(replies, out["text"])]
-    status = [ANSWERED if same else MISMATCHED for same in echoes]
-    out["status"] = status + [UNANSWERED] * (len(out) - len(status))
-    return out
+_ANSWER = ("category", "confidence", "reasoning", "status")
+
+
+def _beside(texts: list[str], replies: list[Answer]) -> list[tuple]:
+    """One answer row per text: what was replied at its place, and what to make of it."""
+    rows = []
+    for text, reply in zip(texts, replies):
+        status = ANSWERED if reply.get("text", text) == text else MISMATCHED
+        rows.append((*(reply.get(f) for f in _ANSWER[:3]), status))
+    rows += [(None, None, None, UNANSWERED)] * (len(texts) - len(rows))
+    return rows
 
 
 def classify_with(
-    items: DataFrame, classify: Classifier, batch_size: int = vocab.BATCH_SIZE
+    items: DataFrame,
+    classify: Classifier,
+    batch_size: int = vocab.BATCH_SIZE,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Ask ``classify(texts, kind)`` for ``batch_size`` texts of one kind at a time.
 
@@ -98,26 +101,37 @@ def classify_with(
     batches, so a task has at most one short batch per kind. An answer that echoes
     another text is marked, an item without answer stays unanswered and is retried by
     the next run. Retries and back-off belong into ``classify``; what it raises fails
-    the task, and Spark retries that.
+    the task, and Spark retries that. Give ``tasks`` to spread a slow classifier over
+    more tasks than the input has partitions.
     """
+    if tasks is not None:
+        items = items.repartition(tasks)
     schema = T.StructType(
-        [*items.schema.fields]
-        + [T.StructField(n, T.StringType()) for n in ("category", "confidence", "reasoning", "status")]
+        [*items.schema.fields] + [T.StructField(n, T.StringType()) for n in _ANSWER]
     )
 
+    def answered(rows: pd.DataFrame, kind: str) -> pd.DataFrame:
+        texts = rows["text"].tolist()
+        answers: list[tuple] = []
+        for start in range(0, len(texts), batch_size):
+            batch = texts[start : start + batch_size]
+            answers += _beside(batch, list(classify(batch, kind)))
+        beside = pd.DataFrame(answers, columns=list(_ANSWER), index=rows.index, dtype=object)
+        return pd.concat([rows, beside], axis=1)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: dict[str, pd.DataFrame] = {}
         for frame in frames:
             for kind, rows in frame.groupby("kind", sort=False):
                 if kind in waiting:
-                    rows = pd.concat([waiting.pop(kind), rows])
+                    rows = pd.concat([waiting.pop(kind), rows], ignore_index=True)
                 full = len(rows) - len(rows) % batch_size
-                for start in range(0, full, batch_size):
-                    yield _answers(rows.iloc[start : start + batch_size], kind, classify)
+                if full:
+                    yield answered(rows.iloc[:full], kind)
                 if full < len(rows):
                     waiting[kind] = rows.iloc[full:]
         for kind, rows in waiting.items():
-            yield _answers(rows, kind, classify)
+            yield answered(rows, kind)
 
     return items.mapInPandas(run, schema)
 
@@ -184,31 +198,40 @@ def analyse_threads(threads: DataFrame, text: Column) -> DataFrame:
     ``user_type``. Any function with the same output columns can take its place.
     """
 
-    def has(cues: Sequence[str]) -> Callable[[Column], Column]:
-        return lambda sentence: F.arrays_overlap(words(sentence), F.array(*map(F.lit, cues)))
+    cues = (
+        vocab.PAIN_CUES, vocab.REQUEST_CUES, vocab.POSITIVE_CUES, vocab.NEGATIVE_CUES,
+        vocab.HIGH_PRIORITY_CUES, vocab.MEDIUM_PRIORITY_CUES, vocab.DEVELOPER_CUES,
+    )
+    known = {w for group in cues for w in group}
+
+    def hits(group: Sequence[str]) -> Column:
+        return count_words(F.col("_hits"), group)
+
+    def naming(group: Sequence[str]) -> Column:
+        """Sentences that name one of the words; most texts need no look at sentences."""
+        options = F.array(*map(F.lit, group))
+        found = F.filter(
+            sentences(F.col("_text")), lambda sentence: F.arrays_overlap(words(sentence), options)
+        )
+        return F.when(hits(group) > 0, found).otherwise(F.array().cast("array<string>"))
 
-    tokens = F.col("_tokens")
-    positive = count_words(tokens, vocab.POSITIVE_CUES)
-    negative = count_words(tokens, vocab.NEGATIVE_CUES)
+    positive, negative = hits(vocab.POSITIVE_CUES), hits(vocab.NEGATIVE_CUES)
     return (
         threads.withColumn("_text", text)
-        .withColumn("_sentences", sentences(F.col("_text")))
-        .withColumn("_tokens", words(F.col("_text")))
+        .withColumn("_hits", F.filter(words(F.col("_text")), lambda w: _isin(w, known)))
         .select(
             *threads.columns,
-            F.filter("_sentences", has(vocab.PAIN_CUES)).alias("pain_points"),
-            F.filter("_sentences", has(vocab.REQUEST_CUES)).alias("feature_requests"),
+            naming(vocab.PAIN_CUES).alias("pain_points"),
+            naming(vocab.REQUEST_CUES).alias("feature_requests"),
             F.when(negative > positive, "negative")
             .when(positive > negative, "positive")
             .otherwise("neutral")
             .alias("sentiment"),
-            F.when(count_words(tokens, vocab.HIGH_PRIORITY_CUES) > 0, "high")
-            .when(count_words(tokens, vocab.MEDIUM_PRIORITY_CUES) > 0, "medium")
+            F.when(hits(vocab.HIGH_PRIORITY_CUES) > 0, "high")
+            .when(hits(vocab.MEDIUM_PRIORITY_CUES) > 0, "medium")
             .otherwise("low")
             .alias("priority"),
-            F.when(count_words(tokens, vocab.DEVELOPER_CUES) > 0, "developer")
-            .otherwise("general")
-            .alias("user_type"),
+            F.when(hits(vocab.DEVELOPER_CUES) > 0, "developer").otherwise("general").alias("user_type"),
         )
     )
 

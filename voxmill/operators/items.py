@@ -13,8 +13,8 @@ from voxmill.functions.scalars import floor_divide
 METADATA = ("thread_id", "source", "sentiment", "priority", "user_type")
 # A list position is an INT, so one thread's items fit into this span.
 _LIST_SPAN = 2**31
-_BITS = 16
-_LEVELS = 3
+# Sizes, as powers of two, of the blocks that positions are cut into.
+_BLOCKS = (12, 28, 44)
 
 
 # -- nested comments (ARR2, FLT5, PRJ6) -------------------------------------
@@ -80,9 +80,10 @@ def sums_before(
     """For every row the sum of ``weights`` over the rows before it.
 
     ``position`` is a non-negative BIGINT, unique within ``by``. Positions are cut into
-    blocks of 2^16, blocks into blocks of blocks, and so on; totals go up and offsets
-    come down this fixed tree. So no task ever sorts more than 2^16 rows of a group, and
-    no group is walked as a whole, however many rows there are.
+    blocks of 2^12, those into blocks of 2^16 blocks, and so on; totals go up and offsets
+    come down this fixed tree. So a task never sorts more than 4,096 rows of a group at a
+    time, nor more than 65,536 block totals for any position below 2^60, and no group is
+    walked as a whole, however many rows there are.
     """
     by = list(by)
     names = list(weights)
@@ -91,12 +92,14 @@ def sums_before(
         return f"_block{level}"
 
     rows = df.select("*", *(w.alias(f"_w_{n}") for n, w in weights.items()))
-    rows = rows.withColumn(block(1), F.shiftright(position, _BITS))
+    rows = rows.withColumn(block(1), F.shiftright(position, _BLOCKS[0]))
     totals = {
         1: rows.groupBy(*by, block(1)).agg(*(F.sum(f"_w_{n}").alias(f"_w_{n}") for n in names))
     }
-    for level in range(2, _LEVELS + 1):
-        below = totals[level - 1].withColumn(block(level), F.shiftright(block(level - 1), _BITS))
+    top = len(_BLOCKS)
+    for level in range(2, top + 1):
+        step = _BLOCKS[level - 1] - _BLOCKS[level - 2]
+        below = totals[level - 1].withColumn(block(level), F.shiftright(block(level - 1), step))
         totals[level - 1] = below
         totals[level] = below.groupBy(*by, block(level)).agg(
             *(F.sum(f"_w_{n}").alias(f"_w_{n}") for n in names)
@@ -118,8 +121,8 @@ def sums_before(
     def as_base(frame: DataFrame, level: int) -> DataFrame:
         return frame.select(*by, block(level), *(F.col(f"_off_{n}").alias(f"_base_{n}") for n in names))
 
-    above = as_base(offsets(totals[_LEVELS], [], block(_LEVELS), False), _LEVELS)
-    for level in range(_LEVELS - 1, 0, -1):
+    above = as_base(offsets(totals[top], [], block(top), False), top)
+    for level in range(top - 1, 0, -1):
         joined = totals[level].join(above, [*by, block(level + 1)])
         above = as_base(offsets(joined, [block(level + 1)], block(level), True), level)
     result = offsets(rows.join(above, [*by, block(1)]), [block(1)], position, True)

@@ -87,13 +87,22 @@ def txt0(spark, sf):
     return docs.select("doc_id", T.or_empty(body).alias("text"))
 
 
-_DECODED = "string_split(regexp_replace(html, '(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<template\\b[^>]*>.*?</template\\s*>|<[a-z/!?][^>]*>', chr(1), 'g'), chr(1))"
-for _entity, _char in (("lt", "'<'"), ("gt", "'>'"), ("quot", "chr(34)"), ("copy", "chr(169)"),
-                       ("middot", "chr(183)"), ("nbsp", "chr(160)"), ("amp", "'&'")):
-    _DECODED = f"list_transform({_DECODED}, lambda x: replace(x, '&{_entity};', {_char}))"
+_MARKUP_SQL = (
+    r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
+    r"|<template\b[^>]*>.*?</template\s*>|<[a-z/!?][^>]*>"
+)
+_NAME_SQL = "'^([a-zA-Z][-.a-zA-Z0-9]*);?'"
+# A reference may lack its semicolon; a name that is none stays as it is written.
+_REFERENCE_SQL = f"""CASE WHEN i = 1 THEN p WHEN regexp_extract(p, {_NAME_SQL}, 1) = '' THEN '&' || p
+  ELSE CASE regexp_extract(p, {_NAME_SQL}, 1) WHEN 'lt' THEN '<' WHEN 'gt' THEN '>' WHEN 'quot' THEN chr(34)
+    WHEN 'copy' THEN chr(169) WHEN 'middot' THEN chr(183) WHEN 'nbsp' THEN chr(160) WHEN 'amp' THEN '&'
+    ELSE '&' || regexp_extract(p, {_NAME_SQL}, 1) END || regexp_replace(p, {_NAME_SQL}, '') END"""
+_NODE_SQL = sql_strip(
+    f"array_to_string(list_transform(string_split(node, '&'), lambda p, i: {_REFERENCE_SQL}), '')"
+)
 HTML_SQL = (
-    f"array_to_string(list_filter(list_transform({_DECODED}, lambda x: {sql_strip('x')}),"
-    " lambda x: x <> ''), ' ')"
+    f"array_to_string(list_filter(list_transform(string_split(regexp_replace(html, {views.quoted(_MARKUP_SQL)},"
+    f" chr(1), 'g'), chr(1)), lambda node: {_NODE_SQL}), lambda x: x <> ''), ' ')"
 )
 
 
