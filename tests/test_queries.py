@@ -29,8 +29,17 @@ def test_contract(spark):
     assert df.count() > 0 and "quadrant" in df.columns
 
 
-def test_filters_reach_the_scan(spark):
-    plan = plan_of(all_queries()["top1_by_reactions"](spark, SMALL))
-    assert "EqualTo(o_orderstatus,O)" in plan and "GreaterThanOrEqual(o_orderdate" in plan
-    scan = plan[plan.index("ReadSchema") :]
-    assert "o_custkey" not in scan
+def test_filters_and_columns_reach_the_scan(spark, capsys):
+    all_queries()["top1_by_reactions"](spark, SMALL).explain("formatted")
+    plan = capsys.readouterr().out
+    pushed = next(line for line in plan.splitlines() if line.startswith("PushedFilters"))
+    assert "EqualTo(o_orderstatus,O)" in pushed and "GreaterThanOrEqual(o_orderdate" in pushed
+    read = next(line for line in plan.splitlines() if line.startswith("ReadSchema"))
+    assert "o_totalprice" in read and "o_custkey" not in read
+
+
+def test_whole_texts_are_not_read_for_ranking(spark, capsys):
+    """The wide column is read once, for the winners' join, not for the ranking."""
+    all_queries()["set1_duplicate_texts"](spark, SMALL).explain("formatted")
+    plan = capsys.readouterr().out
+    assert sum("text" in line for line in plan.splitlines() if line.startswith("ReadSchema")) == 1

@@ -101,6 +101,7 @@ def test_json_fence(spark):
 def test_prefixes_are_a_parameter(spark):
     only = partial(T.drop_boilerplate, prefixes=("Steps",))
     assert apply(spark, ["Logs\nsteps: a\nb"], only) == ["Logs\nb"]
+    assert apply(spark, ["Logs\nb"], partial(T.drop_boilerplate, prefixes=())) == ["Logs\nb"]
     assert apply(spark, ["Acme version 1\nb"], T.drop_boilerplate) == ["Acme version 1\nb"]
 
 

@@ -63,7 +63,8 @@ def drop_boilerplate(
     prefixes: Iterable[str] = vocab.BOILERPLATE_PREFIXES,
 ) -> Column:
     """Drop template lines (TXT2): a case-blind prefix test on the stripped line."""
-    return _drop_lines(text, "|".join(map(_quote_literal, boilerplate_prefixes(product, prefixes))))
+    wanted = boilerplate_prefixes(product, prefixes)
+    return _drop_lines(text, "|".join(map(_quote_literal, wanted))) if wanted else text
 
 
 def drop_images(text: Column) -> Column:

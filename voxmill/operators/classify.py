@@ -122,7 +122,7 @@ def classify_with(
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: dict[str, pd.DataFrame] = {}
         for frame in frames:
-            for kind, rows in frame.groupby("kind", sort=False):
+            for kind, rows in frame.groupby("kind", sort=False, dropna=False):
                 if kind in waiting:
                     rows = pd.concat([waiting.pop(kind), rows], ignore_index=True)
                 full = len(rows) - len(rows) % batch_size

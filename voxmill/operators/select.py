@@ -22,8 +22,8 @@ def _column(value: str | Column) -> Column:
 # -- filters (FLT1-4, FLT7) -------------------------------------------------
 
 
-def open_only(df: DataFrame, state: str = "state") -> DataFrame:
-    return df.where(F.col(state) == "open")
+def open_only(df: DataFrame, state: str = "state", value: str = "open") -> DataFrame:
+    return df.where(F.col(state) == value)
 
 
 def without_pull_requests(df: DataFrame, pull_request: str = "pull_request") -> DataFrame:

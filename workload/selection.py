@@ -13,13 +13,13 @@ from workload.registry import query
 
 ISSUES = f"WITH {views.ISSUES_SQL}"
 OPEN = f"""{ISSUES}, open_issues AS (
-  SELECT * FROM issues WHERE state = 'open' AND pull_request IS NULL
+  SELECT * FROM issues WHERE state = 'O' AND pull_request IS NULL
   AND updated_at >= TIMESTAMP '{views.AS_OF}' - INTERVAL 180 DAYS)"""
 
 
-@query("flt1_open_issues", f"{ISSUES} SELECT id, state FROM issues WHERE state = 'open'")
+@query("flt1_open_issues", f"{ISSUES} SELECT id, state FROM issues WHERE state = 'O'")
 def flt1(spark, sf):
-    return select.open_only(views.issues(spark, sf)).select("id", "state")
+    return select.open_only(views.issues(spark, sf), value="O").select("id", "state")
 
 
 @query("flt2_no_pull_requests", f"{ISSUES} SELECT id FROM issues WHERE pull_request IS NULL")

@@ -143,7 +143,7 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
 
 ISSUES_SQL = """lines AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1),
 issues AS (
-  SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'open' ELSE 'closed' END AS state,
+  SELECT o_orderkey AS id, o_orderstatus AS state,
          CASE o_orderpriority WHEN '5-LOW' THEN 'pr' END AS pull_request,
          o_orderdate AS updated_at, CAST(floor(o_totalprice / 1000) AS BIGINT) AS reactions,
          CAST(coalesce(n, 0) AS BIGINT) AS comments
@@ -155,7 +155,7 @@ def issues(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders")
     return orders.join(counted, orders["o_orderkey"] == counted["l_orderkey"], "left").select(
         F.col("o_orderkey").alias("id"),
-        F.when(F.col("o_orderstatus") == "O", "open").otherwise("closed").alias("state"),
+        F.col("o_orderstatus").alias("state"),
         F.when(F.col("o_orderpriority") == "5-LOW", "pr").alias("pull_request"),
         F.col("o_orderdate").alias("updated_at"),
         F.floor(F.col("o_totalprice") / 1000).cast("bigint").alias("reactions"),
@@ -484,4 +484,4 @@ def threads(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def open_issues(spark: SparkSession, sf: str) -> DataFrame:
-    return recent(without_pull_requests(open_only(issues(spark, sf))), "updated_at", as_of())
+    return recent(without_pull_requests(open_only(issues(spark, sf), value="O")), "updated_at", as_of())
