@@ -49,8 +49,11 @@ def test_sums_before(spark, spread):
         for rank, (_, p, w) in enumerate(sorted(r for r in rows if r[0] == group)):
             expected[group, p] = (total, rank)
             total += w
-    got = {(r.g, r.p): (r.before, r["rank"]) for r in out.collect()}
-    assert got == expected
+    rows_ = out.collect()
+    assert {(r.g, r.p): (r.before, r["rank"]) for r in rows_} == expected and len(rows_) == 400
+    for group in ("a", "b"):
+        total = sum(r[2] for r in rows if r[0] == group)
+        assert {(r.before_total, r.rank_total) for r in rows_ if r.g == group} == {(total, 200)}
 
 
 @pytest.mark.parametrize("sizes", [[(25, 26)], [(1, 0), (24, 51), (None, 1), (30, None)], [(0, 0)]])

@@ -1,8 +1,9 @@
 """Counting categorised items.
 
-The items are read and shuffled once, into a cube of counts over all attributes; every
-table below is rolled up from that cube, which has as many rows as there are attribute
-combinations and not as there are items.
+All reports need one item attribute at a time, so the items are read and shuffled once,
+into counts by kind, category and the value of each attribute. That table grows with the
+number of different values, not with the items and not with the combinations of values,
+and every table below is rolled up from it.
 """
 
 from __future__ import annotations
@@ -17,55 +18,67 @@ from voxmill import vocab
 DIMENSIONS = ("sentiment", "priority", "source", "user_type", "confidence")
 
 
-def item_cube(
+def item_counts(
     items: DataFrame, dimensions: Sequence[str] = DIMENSIONS, position: str | None = None
 ) -> DataFrame:
-    """Items counted by kind, category and every attribute.
+    """Items counted by kind, category and attribute value, one attribute per row.
 
     Counts are combined before the shuffle, so a category with a third of all items is
     no heavier than another. ``position`` (a number) also keeps the first place at which
-    a combination was seen, for breaking ties.
+    a combination was seen, for breaking ties. ``priority`` has to be among the
+    attributes: it stands for the item where attributes do not matter.
     """
+    kept = ["kind", "category"] + ([position] if position is not None else [])
     measures = [F.count(F.lit(1)).alias("n")]
     if position is not None:
         measures.append(F.min(position).alias("first_pos"))
-    return items.groupBy("kind", "category", *dimensions).agg(*measures)
+    if len(dimensions) == 1:
+        (only,) = dimensions
+        long = items.select(*kept, F.lit(only).alias("dim"), F.col(only).alias("value"))
+    else:
+        long = items.unpivot(kept, list(dimensions), "dim", "value")
+    return long.groupBy("kind", "dim", "category", "value").agg(*measures)
 
 
-# -- tables from the cube (AGG1-5, SET3) ------------------------------------
+def of_dimension(counts: DataFrame, dimension: str = "priority") -> DataFrame:
+    """The rows of one attribute. Every item is counted in exactly one of them."""
+    return counts.where(F.col("dim") == dimension)
 
 
-def crosstab(cube: DataFrame, dimensions: Sequence[str] = DIMENSIONS) -> DataFrame:
+# -- tables from the counts (AGG1-5, SET3) ----------------------------------
+
+
+def crosstab(counts: DataFrame) -> DataFrame:
     """Category by attribute value, all attributes in one long table."""
-    long = cube.unpivot(["kind", "category", "n"], list(dimensions), "dim", "value")
-    return long.groupBy("kind", "dim", "category", "value").agg(F.sum("n").alias("n"))
+    return counts.select("kind", "dim", "category", "value", "n")
 
 
-def category_counts(cube: DataFrame) -> DataFrame:
-    return cube.groupBy("kind", "category").agg(F.sum("n").alias("n"))
+def category_counts(counts: DataFrame) -> DataFrame:
+    return of_dimension(counts).groupBy("kind", "category").agg(F.sum("n").alias("n"))
 
 
-def distributions(cube: DataFrame, dimensions: Sequence[str] = DIMENSIONS) -> DataFrame:
-    long = cube.unpivot(["kind", "n"], list(dimensions), "dim", "value")
-    return long.groupBy("kind", "dim", "value").agg(F.sum("n").alias("n"))
+def distributions(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("kind", "dim", "value").agg(F.sum("n").alias("n"))
 
 
-def totals(cube: DataFrame) -> DataFrame:
+def totals(counts: DataFrame) -> DataFrame:
     """Items per kind. A kind without items has no row."""
-    return cube.groupBy("kind").agg(F.sum("n").alias("total_items"))
+    return of_dimension(counts).groupBy("kind").agg(F.sum("n").alias("total_items"))
 
 
-def distinct_categories(cube: DataFrame) -> DataFrame:
-    return category_counts(cube).groupBy("kind").agg(F.count(F.lit(1)).alias("categories"))
+def distinct_categories(counts: DataFrame) -> DataFrame:
+    return category_counts(counts).groupBy("kind").agg(F.count(F.lit(1)).alias("categories"))
 
 
 # -- top categories (TOP6, TOP7) --------------------------------------------
 
 
-def top_categories(cube: DataFrame, k: int = vocab.TOP_CATEGORIES) -> DataFrame:
+def top_categories(counts: DataFrame, k: int = vocab.TOP_CATEGORIES) -> DataFrame:
     """The most common categories of each kind; ties go to the one seen first."""
-    counted = cube.groupBy("kind", "category").agg(
-        F.sum("n").alias("n"), F.min("first_pos").alias("first_pos")
+    counted = (
+        of_dimension(counts)
+        .groupBy("kind", "category")
+        .agg(F.sum("n").alias("n"), F.min("first_pos").alias("first_pos"))
     )
     order = Window.partitionBy("kind").orderBy(F.desc("n"), "first_pos", "category")
     return (
@@ -86,11 +99,12 @@ def priority_score(priority: Column) -> Column:
     return score
 
 
-def frequency_impact(cube: DataFrame, kind: str = vocab.PAIN_POINTS) -> DataFrame:
+def frequency_impact(counts: DataFrame, kind: str = vocab.PAIN_POINTS) -> DataFrame:
     """Per category of one kind: count, total and mean priority score."""
-    score = F.col("n") * priority_score(F.col("priority"))
+    score = F.col("n") * priority_score(F.col("value"))
     return (
-        cube.where(F.col("kind") == kind)
+        of_dimension(counts)
+        .where(F.col("kind") == kind)
         .groupBy("category")
         .agg(F.sum("n").alias("frequency"), F.sum(score).alias("total_priority"))
         .withColumn("impact", F.col("total_priority") / F.col("frequency"))
@@ -129,17 +143,19 @@ def with_quadrants(matrix: DataFrame) -> DataFrame:
 # -- shares and counters (AGG9-13) ------------------------------------------
 
 
-def _share(column: str, value: str, alias: str) -> Column:
-    hits = F.sum(F.when(F.col(column) == value, F.col("n")).otherwise(0))
+def _share(value: str, alias: str) -> Column:
+    hits = F.sum(F.when(F.col("value") == value, F.col("n")).otherwise(0))
     return (hits / F.sum("n")).alias(alias)
 
 
-def high_priority_share(cube: DataFrame) -> DataFrame:
-    return cube.groupBy("kind", "category").agg(_share("priority", "high", "high_priority_share"))
+def high_priority_share(counts: DataFrame) -> DataFrame:
+    rows = of_dimension(counts, "priority")
+    return rows.groupBy("kind", "category").agg(_share("high", "high_priority_share"))
 
 
-def high_confidence_share(cube: DataFrame) -> DataFrame:
-    return cube.groupBy("kind").agg(_share("confidence", "High", "high_confidence_share"))
+def high_confidence_share(counts: DataFrame) -> DataFrame:
+    rows = of_dimension(counts, "confidence")
+    return rows.groupBy("kind").agg(_share("High", "high_confidence_share"))
 
 
 def threads_per_source(threads: DataFrame) -> DataFrame:

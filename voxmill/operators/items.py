@@ -14,7 +14,7 @@ METADATA = ("thread_id", "source", "sentiment", "priority", "user_type")
 # A list position is an INT, so one thread's items fit into this span.
 _LIST_SPAN = 2**31
 # Sizes, as powers of two, of the blocks that positions are cut into.
-_BLOCKS = (12, 28, 44)
+_BLOCKS = (12, 32)
 
 
 # -- nested comments (ARR2, FLT5, PRJ6) -------------------------------------
@@ -79,54 +79,63 @@ def sums_before(
 ) -> DataFrame:
     """For every row the sum of ``weights`` over the rows before it.
 
-    ``position`` is a non-negative BIGINT, unique within ``by``. Positions are cut into
-    blocks of 2^12, those into blocks of 2^16 blocks, and so on; totals go up and offsets
-    come down this fixed tree. So a task never sorts more than 4,096 rows of a group at a
-    time, nor more than 65,536 block totals for any position below 2^60, and no group is
-    walked as a whole, however many rows there are.
+    ``position`` is a non-negative BIGINT, unique within ``by``; the columns of ``by``
+    hold no NULL. Positions are cut into blocks of 2^12 and those into blocks of 2^20
+    blocks; totals go up and offsets come down this fixed tree. So a task sorts at most
+    4,096 rows of a group at a time, or a million block totals, and no group is walked as
+    a whole, however many rows there are.
+
+    Each weight's total within ``by`` is added too, as ``<name>_total``.
     """
-    by = list(by)
-    names = list(weights)
+    by, names = list(by), list(weights)
+    top = len(_BLOCKS)
 
     def block(level: int) -> str:
         return f"_block{level}"
 
-    rows = df.select("*", *(w.alias(f"_w_{n}") for n, w in weights.items()))
-    rows = rows.withColumn(block(1), F.shiftright(position, _BLOCKS[0]))
-    totals = {
-        1: rows.groupBy(*by, block(1)).agg(*(F.sum(f"_w_{n}").alias(f"_w_{n}") for n in names))
-    }
-    top = len(_BLOCKS)
-    for level in range(2, top + 1):
-        step = _BLOCKS[level - 1] - _BLOCKS[level - 2]
-        below = totals[level - 1].withColumn(block(level), F.shiftright(block(level - 1), step))
-        totals[level - 1] = below
-        totals[level] = below.groupBy(*by, block(level)).agg(
-            *(F.sum(f"_w_{n}").alias(f"_w_{n}") for n in names)
-        )
+    def block_of(number: str, bits: int) -> Column:
+        # Never NULL, so joins add no filters and all branches share one shuffle.
+        return F.coalesce(F.shiftright(number, bits), F.lit(-1))
 
-    def offsets(frame: DataFrame, within: list[str], order: str, base: bool) -> DataFrame:
+    def summed(frame: DataFrame, level: int) -> DataFrame:
+        sums = (F.sum(f"_w_{n}").alias(f"_w_{n}") for n in names)
+        return frame.groupBy(*by, block(level)).agg(*sums)
+
+    def with_offsets(frame: DataFrame, within: list[str], order: str, base: bool) -> DataFrame:
         window = (
             Window.partitionBy(*by, *within)
             .orderBy(order)
             .rowsBetween(Window.unboundedPreceding, -1)
         )
-        sums = {
-            n: F.coalesce(F.sum(f"_w_{n}").over(window), F.lit(0))
-            + (F.col(f"_base_{n}") if base else F.lit(0))
-            for n in names
-        }
-        return frame.select("*", *(s.alias(f"_off_{n}") for n, s in sums.items()))
+        offsets = []
+        for n in names:
+            before = F.coalesce(F.sum(f"_w_{n}").over(window), F.lit(0))
+            offsets.append((before + F.col(f"_base_{n}") if base else before).alias(f"_off_{n}"))
+        return frame.select("*", *offsets)
 
     def as_base(frame: DataFrame, level: int) -> DataFrame:
-        return frame.select(*by, block(level), *(F.col(f"_off_{n}").alias(f"_base_{n}") for n in names))
+        bases = (F.col(f"_off_{n}").alias(f"_base_{n}") for n in names)
+        return frame.select(*by, block(level), *bases, *(f"{n}_total" for n in names))
+
+    rows = df.select("*", *(w.alias(f"_w_{n}") for n, w in weights.items()))
+    rows = rows.withColumn(block(1), block_of(position, _BLOCKS[0]))
+    totals = {1: summed(rows, 1)}
+    for level in range(2, top + 1):
+        bits = _BLOCKS[level - 1] - _BLOCKS[level - 2]
+        totals[level - 1] = totals[level - 1].withColumn(
+            block(level), block_of(block(level - 1), bits)
+        )
+        totals[level] = summed(totals[level - 1], level)
 
-    above = as_base(offsets(totals[top], [], block(top), False), top)
+    whole = Window.partitionBy(*by)
+    roots = totals[top].select("*", *(F.sum(f"_w_{n}").over(whole).alias(f"{n}_total") for n in names))
+    above = as_base(with_offsets(roots, [], block(top), False), top)
     for level in range(top - 1, 0, -1):
         joined = totals[level].join(above, [*by, block(level + 1)])
-        above = as_base(offsets(joined, [block(level + 1)], block(level), True), level)
-    result = offsets(rows.join(above, [*by, block(1)]), [block(1)], position, True)
-    return result.select(*df.columns, *(F.col(f"_off_{n}").alias(n) for n in names))
+        above = as_base(with_offsets(joined, [block(level + 1)], block(level), True), level)
+    result = with_offsets(rows.join(above, [*by, block(1)]), [block(1)], position, True)
+    found = (F.col(f"_off_{n}").alias(n) for n in names)
+    return result.select(*df.columns, *found, *(f"{n}_total" for n in names))
 
 
 def batched_items(
@@ -140,21 +149,19 @@ def batched_items(
     sizes = {f"_before_{k}": F.coalesce(F.size(k), F.lit(0)) for k in vocab.KINDS}
     sizes = {n: F.greatest(s, F.lit(0)).cast("bigint") for n, s in sizes.items()}
     numbered = sums_before(threads, thread_pos, sizes)
-    totals = threads.agg(*(F.sum(s).alias(n) for n, s in sizes.items()))
 
-    def by_kind(value) -> Column:
-        pain, request = vocab.KINDS
-        return F.when(F.col("kind") == pain, value(pain)).otherwise(value(request))
+    def by_kind(suffix: str = "") -> Column:
+        pain, request = (F.col(f"_before_{k}{suffix}") for k in vocab.KINDS)
+        return F.when(F.col("kind") == vocab.PAIN_POINTS, pain).otherwise(request)
 
-    index = by_kind(lambda k: F.col(f"_before_{k}")) + F.col("list_pos")
-    total = by_kind(lambda k: totals.select(f"_before_{k}").scalar())
+    rounded_up = by_kind("_total") + (batch_size - 1)
     return (
         explode_items(numbered, thread_pos)
-        .withColumn("item_index", index)
+        .withColumn("item_index", by_kind() + F.col("list_pos"))
         .withColumn("batch_num", floor_divide(F.col("item_index"), batch_size) + 1)
         .withColumn("pos_in_batch", F.pmod("item_index", F.lit(batch_size)).cast("int"))
-        .withColumn("total_batches", floor_divide(total + (batch_size - 1), batch_size))
-        .drop(*sizes)
+        .withColumn("total_batches", floor_divide(rounded_up, batch_size))
+        .drop(*sizes, *(f"{n}_total" for n in sizes))
     )
 
 

@@ -9,18 +9,18 @@ from voxmill import vocab
 from voxmill.operators import analyze
 
 
-def pain_point_bars(cube: DataFrame, k: int = vocab.TOP_CATEGORIES) -> DataFrame:
+def pain_point_bars(counts: DataFrame, k: int = vocab.TOP_CATEGORIES) -> DataFrame:
     """Bar-chart rows: the top categories of pain points, largest first (RPT1)."""
-    bars = analyze.top_categories(cube.where(F.col("kind") == vocab.PAIN_POINTS), k)
+    bars = analyze.top_categories(counts.where(F.col("kind") == vocab.PAIN_POINTS), k)
     return bars.select("place", "category", "n").orderBy("place")
 
 
-def priority_matrix(cube: DataFrame) -> DataFrame:
+def priority_matrix(counts: DataFrame) -> DataFrame:
     """Every pain-point category with frequency, impact and quadrant (RPT2)."""
-    return analyze.with_quadrants(analyze.frequency_impact(cube))
+    return analyze.with_quadrants(analyze.frequency_impact(counts))
 
 
-def summary(cube: DataFrame) -> DataFrame:
+def summary(counts: DataFrame) -> DataFrame:
     """All counts of the summary in one long table (RPT3).
 
     ``section`` is total_items, categories, top_categories or the name of an attribute.
@@ -31,15 +31,15 @@ def summary(cube: DataFrame) -> DataFrame:
 
     none = F.lit(None).cast("string")
     parts = [
-        rows(analyze.totals(cube), F.lit("total_items"), none, "total_items"),
-        rows(analyze.distinct_categories(cube), F.lit("categories"), none, "categories"),
+        rows(analyze.totals(counts), F.lit("total_items"), none, "total_items"),
+        rows(analyze.distinct_categories(counts), F.lit("categories"), none, "categories"),
         rows(
-            analyze.distributions(cube),
+            analyze.distributions(counts),
             F.concat(F.col("dim"), F.lit("_distribution")),
             F.col("value"),
             "n",
         ),
-        rows(analyze.top_categories(cube), F.lit("top_categories"), F.col("category"), "n"),
+        rows(analyze.top_categories(counts), F.lit("top_categories"), F.col("category"), "n"),
     ]
     result = parts[0]
     for part in parts[1:]:
@@ -47,14 +47,14 @@ def summary(cube: DataFrame) -> DataFrame:
     return result
 
 
-def roadmap(cube: DataFrame) -> DataFrame:
+def roadmap(counts: DataFrame) -> DataFrame:
     """Pain-point categories in the order to take them up (RPT4): quadrant, then impact,
     then frequency."""
     urgency = F.lit(len(vocab.QUADRANTS))
     for rank, quadrant in enumerate(vocab.QUADRANTS.values()):
         urgency = F.when(F.col("quadrant") == quadrant, rank).otherwise(urgency)
     return (
-        priority_matrix(cube)
+        priority_matrix(counts)
         .withColumn("urgency", urgency)
         .orderBy("urgency", F.desc(F.round("impact", 9)), F.desc("frequency"), "category")
         .select("category", "frequency", "impact", "quadrant")

@@ -46,20 +46,20 @@ def categorise(
 
 
 def write_reports(spark: SparkSession, answers: DataFrame, out: str) -> None:
-    """All report tables. The answers are read twice: for the cube and for quarantine;
-    every report is made from the stored cube."""
+    """All report tables. The answers are read twice, for counts and for quarantine; every
+    report is made from the stored counts."""
     accepted = classify.check_category(classify.accepted(answers))
-    cube = analyze.item_cube(accepted, position="item_pos")
-    write_tables({"quarantine": classify.quarantined(answers), "cube": cube}, out)
-    cube = spark.read.parquet(f"{out}/cube")
+    counts = analyze.item_counts(accepted, position="item_pos")
+    write_tables({"quarantine": classify.quarantined(answers), "counts": counts}, out)
+    counts = spark.read.parquet(f"{out}/counts")
     write_tables(
         {
-            "crosstab": analyze.crosstab(cube),
-            "category_counts": analyze.category_counts(cube),
-            "summary": report.summary(cube),
-            "pain_point_bars": report.pain_point_bars(cube),
-            "priority_matrix": report.priority_matrix(cube),
-            "roadmap": report.roadmap(cube),
+            "crosstab": analyze.crosstab(counts),
+            "category_counts": analyze.category_counts(counts),
+            "summary": report.summary(counts),
+            "pain_point_bars": report.pain_point_bars(counts),
+            "priority_matrix": report.priority_matrix(counts),
+            "roadmap": report.roadmap(counts),
         },
         out,
     )

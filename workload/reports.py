@@ -23,8 +23,10 @@ def long_sql(columns: str) -> str:
     )
 
 
-def cube(spark: SparkSession, sf: str, position: bool = False) -> DataFrame:
-    return analyze.item_cube(views.items(spark, sf), position="position" if position else None)
+def counts(
+    spark: SparkSession, sf: str, *dimensions: str, position: str | None = None
+) -> DataFrame:
+    return analyze.item_counts(views.items(spark, sf), dimensions or ("priority",), position)
 
 
 @query(
@@ -33,12 +35,12 @@ def cube(spark: SparkSession, sf: str, position: bool = False) -> DataFrame:
     SELECT kind, dim, category, value, count(*) AS n FROM long GROUP BY ALL""",
 )
 def agg1(spark, sf):
-    return analyze.crosstab(cube(spark, sf))
+    return analyze.crosstab(counts(spark, sf, *analyze.DIMENSIONS))
 
 
 @query("agg2_category_counts", f"{WITH} SELECT kind, category, count(*) AS n FROM items GROUP BY ALL")
 def agg2(spark, sf):
-    return analyze.category_counts(analyze.item_cube(views.items(spark, sf), ()))
+    return analyze.category_counts(counts(spark, sf))
 
 
 @query(
@@ -47,12 +49,12 @@ def agg2(spark, sf):
     SELECT kind, dim, value, count(*) AS n FROM long GROUP BY ALL""",
 )
 def agg3(spark, sf):
-    return analyze.distributions(cube(spark, sf))
+    return analyze.distributions(counts(spark, sf, *analyze.DIMENSIONS))
 
 
 @query("agg4_totals", f"{WITH} SELECT kind, count(*) AS total_items FROM items GROUP BY ALL")
 def agg4(spark, sf):
-    return analyze.totals(analyze.item_cube(views.items(spark, sf), ()))
+    return analyze.totals(counts(spark, sf))
 
 
 @query(
@@ -60,12 +62,12 @@ def agg4(spark, sf):
     f"{WITH} SELECT kind, count(DISTINCT category) AS categories FROM items GROUP BY ALL",
 )
 def agg5(spark, sf):
-    return analyze.distinct_categories(analyze.item_cube(views.items(spark, sf), ()))
+    return analyze.distinct_categories(counts(spark, sf))
 
 
 @query("set3_distinct", f"{WITH} SELECT DISTINCT kind, category FROM items")
 def set3(spark, sf):
-    return analyze.item_cube(views.items(spark, sf), ()).select("kind", "category")
+    return analyze.category_counts(counts(spark, sf)).select("kind", "category")
 
 
 MATRIX_SQL = f"""matrix AS (
@@ -84,7 +86,7 @@ placed AS (
 
 @query("agg6_frequency_impact", f"{WITH}, {MATRIX_SQL} SELECT * FROM matrix")
 def agg6(spark, sf):
-    return analyze.frequency_impact(analyze.item_cube(views.items(spark, sf), ("priority",)))
+    return analyze.frequency_impact(counts(spark, sf))
 
 
 @query("agg7_quadrant_lines", f"{WITH}, {MATRIX_SQL} SELECT * FROM lines")
@@ -144,7 +146,7 @@ def agg9(spark, sf):
     FROM items GROUP BY ALL""",
 )
 def agg10(spark, sf):
-    return analyze.high_priority_share(analyze.item_cube(views.items(spark, sf), ("priority",)))
+    return analyze.high_priority_share(counts(spark, sf))
 
 
 @query(
@@ -154,7 +156,7 @@ def agg10(spark, sf):
     FROM items GROUP BY ALL""",
 )
 def agg11(spark, sf):
-    return analyze.high_confidence_share(analyze.item_cube(views.items(spark, sf), ("confidence",)))
+    return analyze.high_confidence_share(counts(spark, sf, "confidence"))
 
 
 @query("agg12_threads_per_source", "SELECT source, count(*) AS threads FROM documents GROUP BY 1")
@@ -189,13 +191,13 @@ top AS (
     FROM counted) WHERE place <= 5)"""
 
 
-def first_seen_cube(spark: SparkSession, sf: str) -> DataFrame:
-    return analyze.item_cube(views.items(spark, sf), (), "position")
+def first_seen(spark: SparkSession, sf: str) -> DataFrame:
+    return counts(spark, sf, position="position")
 
 
 @query("top6_top_categories", f"{WITH}, {TOP_SQL} SELECT kind, category, n, place FROM top")
 def top6(spark, sf):
-    top = analyze.top_categories(first_seen_cube(spark, sf))
+    top = analyze.top_categories(first_seen(spark, sf))
     return top.withColumn("place", F.col("place").cast("bigint"))
 
 
@@ -212,13 +214,13 @@ def top7(spark, sf):
     f"{WITH}, {TOP_SQL} SELECT place, category, n FROM top WHERE kind = 'pain_points' ORDER BY place",
 )
 def rpt1(spark, sf):
-    bars = report.pain_point_bars(first_seen_cube(spark, sf))
+    bars = report.pain_point_bars(first_seen(spark, sf))
     return bars.withColumn("place", F.col("place").cast("bigint"))
 
 
 @query("rpt2_priority_matrix", f"{WITH}, {MATRIX_SQL} SELECT * FROM placed")
 def rpt2(spark, sf):
-    return report.priority_matrix(analyze.item_cube(views.items(spark, sf), ("priority",)))
+    return report.priority_matrix(counts(spark, sf))
 
 
 SUMMARY_SQL = f"""{WITH}, {TOP_SQL}, long AS ({long_sql("kind")})
@@ -230,8 +232,9 @@ UNION ALL SELECT kind, 'top_categories', category, n FROM top"""
 
 @query("rpt3_summary", SUMMARY_SQL)
 def rpt3(spark, sf):
-    """Four tables from one cube, so the cube is stored and the items are read once."""
-    return report.summary(stored_once(cube(spark, sf, position=True), "cube"))
+    """Four tables from the same counts: these are stored, so the items are read once."""
+    counted = counts(spark, sf, *analyze.DIMENSIONS, position="position")
+    return report.summary(stored_once(counted, "counts"))
 
 
 @query(
@@ -242,7 +245,7 @@ def rpt3(spark, sf):
              round(impact, 9) DESC, frequency DESC, category""",
 )
 def rpt4(spark, sf):
-    return report.roadmap(analyze.item_cube(views.items(spark, sf), ("priority",)))
+    return report.roadmap(counts(spark, sf))
 
 
 @query("snk3_result_tables", f"{WITH}, {MATRIX_SQL} SELECT * FROM placed")
@@ -264,7 +267,7 @@ def src8(spark, sf):
     out = fresh_dir(spark, "items")
     stored = views.items(spark, sf).select("kind", "category", "priority")
     write_tables({"items": stored}, out)
-    return report.priority_matrix(analyze.item_cube(read_items(spark, f"{out}/items"), ("priority",)))
+    return report.priority_matrix(analyze.item_counts(read_items(spark, f"{out}/items"), ("priority",)))
 
 
 @query(
