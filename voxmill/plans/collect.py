@@ -1,7 +1,8 @@
 """From raw payloads to the threads worth reading.
 
 Each job ranks on a few narrow columns, leaves out what the ledger holds and only then
-goes back for the full payloads of the winners.
+goes back for the full payloads of the winners. Where two lists are ranked, the narrow
+columns are stored first: payloads landed as text would be parsed once per list.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from voxmill import vocab
 from voxmill.functions import scalars
 from voxmill.operators import select
 from voxmill.operators.ledger import not_in_ledger
+from voxmill.session import stored_once
 from voxmill.sources import payloads as raw
 
 
@@ -44,9 +46,10 @@ def collect_issues(
         scalars.nested_or(F.col("reactions.total_count"), 0).alias("reactions"),
         scalars.nested_or(F.col("comments"), 0).alias("n_comments"),
     )
-    candidates = select.recent(
+    eligible = select.recent(
         select.without_pull_requests(select.open_only(narrow)), "updated", as_of
-    ).select("id", "reactions", "n_comments")
+    )
+    candidates = stored_once(eligible.select("id", "reactions", "n_comments"), "candidates")
     merged = select.merge_candidates(
         [
             select.ranked(candidates, "reactions", k, "id"),
@@ -69,7 +72,9 @@ def collect_posts(
 ) -> DataFrame:
     """The posts leading by score and by comments, of these the recent ones, of these the
     most engaged ``k``, normalised."""
-    narrow = payloads.select("id", "score", "num_comments", "created_utc")
+    narrow = stored_once(
+        payloads.select("id", "score", "num_comments", "created_utc"), "candidates"
+    )
     lists = [
         select.recent(
             select.ranked(narrow, by, candidates, "id"),
