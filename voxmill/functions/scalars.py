@@ -65,14 +65,21 @@ def from_epoch(seconds: Column) -> Column:
 
 
 def cutoff(as_of: dt.datetime | Column, days: int = vocab.RECENT_DAYS) -> Column:
-    """The moment ``days`` before ``as_of``; there is no hidden clock."""
+    """The moment ``days`` times 24 hours before ``as_of``; there is no hidden clock.
+
+    Counted in hours, since a session's time zone may give a calendar day 23 or 25.
+    """
     moment = as_of if isinstance(as_of, Column) else F.lit(as_of)
-    return moment - F.make_dt_interval(F.lit(days))
+    return moment - F.make_interval(hours=F.lit(24 * days))
 
 
 def iso_text(moment: Column) -> Column:
-    """UTC timestamps as ISO text with an offset."""
-    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ssxxx")
+    """Timestamps as ISO text in UTC, with microseconds where there are any."""
+    epoch = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
+    seconds = F.timestamp_add("SECOND", F.unix_seconds(moment), epoch).cast("string")
+    micros = F.pmod(F.unix_micros(moment), F.lit(1_000_000)).cast("string")
+    fraction = F.when(micros == "0", "").otherwise(F.concat(F.lit("."), F.lpad(micros, 6, "0")))
+    return F.concat(F.replace(seconds, F.lit(" "), F.lit("T")), fraction, F.lit("+00:00"))
 
 
 # -- JSON (JSN2, JSN3) ------------------------------------------------------

@@ -228,14 +228,18 @@ def jsn3(spark, sf):
     )
 
 
+def _utc_text(moment):
+    """A zoneless timestamp as ISO text with ``Z``."""
+    return F.concat(F.replace(moment.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
+
+
 @query(
     "dat1_parse_iso",
     "SELECT event_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS seconds FROM events",
 )
 def dat1(spark, sf):
-    text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return views.table(spark, sf, "events").select(
-        "event_id", F.unix_seconds(scalars.parse_iso(text)).alias("seconds")
+        "event_id", F.unix_seconds(scalars.parse_iso(_utc_text(F.col("ts")))).alias("seconds")
     )
 
 
@@ -246,7 +250,7 @@ def dat1(spark, sf):
 def dat2(spark, sf):
     moment = scalars.from_epoch(F.col("event_id") * 60)
     return views.table(spark, sf, "events").select(
-        "event_id", (F.unix_seconds(moment) > F.unix_seconds(F.col("ts").cast("timestamp"))).alias("later")
+        "event_id", (moment > scalars.parse_iso(_utc_text(F.col("ts")))).alias("later")
     )
 
 
@@ -260,10 +264,14 @@ def dat3(spark, sf):
     return views.table(spark, sf, "orders").groupBy(recent.alias("recent")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("dat4_iso_text", f"SELECT event_id, strftime(ts, {ISO}) AS text FROM events")
+@query(
+    "dat4_iso_text",
+    """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S')
+      || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END || '+00:00' AS text FROM events""",
+)
 def dat4(spark, sf):
     return views.table(spark, sf, "events").select(
-        "event_id", scalars.iso_text(F.col("ts").cast("timestamp")).alias("text")
+        "event_id", scalars.iso_text(scalars.parse_iso(_utc_text(F.col("ts")))).alias("text")
     )
 
 

@@ -361,7 +361,7 @@ def _second(offset: Column) -> Column:
 def iso_z(seconds: Column) -> Column:
     """ISO text in UTC whatever the session's zone."""
     moment = F.timestamp_add("SECOND", seconds, F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")))
-    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.concat(F.replace(moment.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
 
 
 def issue_payloads(spark: SparkSession, sf: str) -> DataFrame:
