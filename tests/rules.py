@@ -2,6 +2,7 @@
 
 import re
 
+# Prefixes and patterns of the cleaning rules, in their order.
 PRODUCT = "Acme"
 PREFIXES = (
     "### Operating system", "### Acme version", "### Desktop version info", "### Current behaviour",

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from conftest import plan_of
 from pyspark.sql import functions as F
 
@@ -77,7 +78,9 @@ def test_keep_last_value_with_a_hot_key(spark):
     assert {r.k: (r.first_position, r.p, r.v) for r in out} == expected and len(out) == len(expected)
 
 
-def test_top_per_group_with_a_hot_group(spark):
+@pytest.mark.parametrize("limit", [1000, 2])
+def test_top_per_group_with_a_hot_group(spark, monkeypatch, limit):
+    monkeypatch.setattr(select, "GROUP_LIMIT", limit)
     rng = random.Random(2)
     rows = [("hot" if i % 2 else f"g{i % 7}", i, rng.randint(0, 30)) for i in range(1000)]
     frame = spark.createDataFrame(rows, "g string, id int, s int").repartition(6)
@@ -89,6 +92,8 @@ def test_top_per_group_with_a_hot_group(spark):
     assert {(r.g, r.id, r.place) for r in best.collect()} == expected
     # The limit is applied before the shuffle as well.
     assert plan_of(best).count("WindowGroupLimit") >= 2
+    if limit == 2:
+        assert "_part" in plan_of(best)
 
 
 def test_first_per_key(spark):
@@ -126,8 +131,26 @@ def test_dates(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     out = rows.orderBy("i").select(scalars.iso_text(scalars.parse_iso(F.col("t")))).collect()
     assert [r[0] for r in out] == ["2024-01-02T03:04:05+00:00"] * 3 + [None, None]
-    epoch = spark.range(1).select(scalars.iso_text(scalars.from_epoch(F.lit(0)))).first()[0]
-    assert epoch == "1970-01-01T00:00:00+00:00"
+    moments = [F.lit(0), F.lit(1700000000.25), F.lit(-0.000001)]
+    epochs = spark.range(1).select(*(scalars.iso_text(scalars.from_epoch(m)) for m in moments)).first()
+    assert tuple(epochs) == tuple(
+        (dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(microseconds=m)).isoformat()
+        for m in (0, 1700000000250000, -1)
+    )
+
+
+def test_times_do_not_depend_on_the_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        as_of = F.timestamp_seconds(F.lit(1_720_000_000))
+        row = spark.range(1).select(
+            scalars.iso_text(scalars.parse_iso(F.lit("2024-03-10T07:30:00Z"))),
+            F.unix_seconds(scalars.cutoff(as_of)),
+        )
+        assert tuple(row.first()) == ("2024-03-10T07:30:00+00:00", 1_720_000_000 - 180 * 86_400)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
 
 
 def test_costs_are_exact(spark):

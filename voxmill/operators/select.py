@@ -14,6 +14,11 @@ from voxmill.functions.scalars import cutoff
 # A ranked list up to this length may be broadcast: its rows are ids and scores only.
 BROADCAST_ROWS = 100_000
 
+# Up to this k Spark limits groups before the shuffle by itself
+# (spark.sql.optimizer.windowGroupLimitThreshold); beyond it groups are split in parts.
+GROUP_LIMIT = 1_000
+GROUP_PARTS = 64
+
 
 def _column(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
@@ -119,12 +124,19 @@ def top_per_group(
     """The ``k`` highest rows of every group, with their place.
 
     Spark limits each group before the shuffle too, so a hot group sends at most ``k``
-    rows per task.
+    rows per task. For a large ``k`` it does not: then every group is cut down in parts
+    first, and the last step sees ``k`` rows of each part.
     """
-    order = Window.partitionBy(group).orderBy(
-        _column(score).desc(), *(_column(t).asc() for t in ties)
-    )
-    return df.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    ordering = [_column(score).desc(), *(_column(t).asc() for t in ties)]
+
+    def limited(frame: DataFrame, *within: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*within).orderBy(*ordering))
+        return frame.withColumn("place", place).where(F.col("place") <= k)
+
+    if k > GROUP_LIMIT:
+        part = F.pmod(F.xxhash64(*map(_column, (score, *ties))), F.lit(GROUP_PARTS))
+        df = limited(df.withColumn("_part", part), group, "_part").drop("_part", "place")
+    return limited(df, group)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], *order: str | Column) -> DataFrame:

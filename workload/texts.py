@@ -37,7 +37,7 @@ def sql_strip(e: str) -> str:
     return _replace(r"\A\s+|\s+\z")(e)
 
 
-# Step, our expression, SQL by the plain rule.
+# Step, our expression, SQL by the plain rule. The patterns are fixed values.
 STEPS = (
     ("txt2_boilerplate", lambda c: T.drop_boilerplate(c, views.PRODUCT), _keep_lines(_BOILERPLATE)),
     ("txt3_images", T.drop_images, _replace(r"!\[.*?\]\(.*?\)")),
