@@ -1,6 +1,10 @@
 """Classifiers, landed replies and what becomes of bad answers."""
 
 import json
+import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +61,28 @@ def test_a_raising_classifier_fails_the_job(spark):
         classify.classify_with(frame(spark, 1), broken).collect()
 
 
+def test_workers_do_not_need_this_package(tmp_path):
+    """The repository is on no worker's path here, as it would not be on a cluster."""
+    script = tmp_path / "driver.py"
+    root = Path(__file__).resolve().parent.parent
+    script.write_text(
+        f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from voxmill.operators.classify import classify_with
+from voxmill.session import build_session
+spark = build_session(master="local[1]", **{{"spark.ui.enabled": "false"}})
+def classify(texts, kind):
+    return [{{"category": "Other", "confidence": "Low"}} for _ in texts]
+items = spark.createDataFrame([("i", "pain_points", "t")], "item_id string, kind string, text string")
+assert classify_with(items, classify).first().category == "Other"
+"""
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 def test_lexicon(spark):
     rows = [
         ("a", "pain_points", "Sync is broken, SYNC conflict!"),

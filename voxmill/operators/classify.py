@@ -79,16 +79,6 @@ def classify_by_lexicon(items: DataFrame, lexicon: Lexicon = vocab.LEXICON) -> D
 _ANSWER = ("category", "confidence", "reasoning", "status")
 
 
-def _beside(texts: list[str], replies: list[Answer]) -> list[tuple]:
-    """One answer row per text: what was replied at its place, and what to make of it."""
-    rows = []
-    for text, reply in zip(texts, replies):
-        status = ANSWERED if reply.get("text", text) == text else MISMATCHED
-        rows.append((*(reply.get(f) for f in _ANSWER[:3]), status))
-    rows += [(None, None, None, UNANSWERED)] * (len(texts) - len(rows))
-    return rows
-
-
 def classify_with(
     items: DataFrame,
     classify: Classifier,
@@ -103,6 +93,8 @@ def classify_with(
     the next run. Retries and back-off belong into ``classify``; what it raises fails
     the task, and Spark retries that. Give ``tasks`` to spread a slow classifier over
     more tasks than the input has partitions.
+
+    What is sent to the workers is closed in itself: they need pandas, not this package.
     """
     if tasks is not None:
         items = items.repartition(tasks)
@@ -110,14 +102,23 @@ def classify_with(
         [*items.schema.fields] + [T.StructField(n, T.StringType()) for n in _ANSWER]
     )
 
+    def beside(texts: list[str], replies: list[Answer]) -> list[tuple]:
+        """One answer row per text: what was replied at its place and what to make of it."""
+        rows = []
+        for text, reply in zip(texts, replies):
+            status = ANSWERED if reply.get("text", text) == text else MISMATCHED
+            rows.append((*(reply.get(f) for f in _ANSWER[:3]), status))
+        rows += [(None, None, None, UNANSWERED)] * (len(texts) - len(rows))
+        return rows
+
     def answered(rows: pd.DataFrame, kind: str) -> pd.DataFrame:
         texts = rows["text"].tolist()
         answers: list[tuple] = []
         for start in range(0, len(texts), batch_size):
             batch = texts[start : start + batch_size]
-            answers += _beside(batch, list(classify(batch, kind)))
-        beside = pd.DataFrame(answers, columns=list(_ANSWER), index=rows.index, dtype=object)
-        return pd.concat([rows, beside], axis=1)
+            answers += beside(batch, list(classify(batch, kind)))
+        columns = pd.DataFrame(answers, columns=list(_ANSWER), index=rows.index, dtype=object)
+        return pd.concat([rows, columns], axis=1)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: dict[str, pd.DataFrame] = {}

@@ -83,18 +83,22 @@ def jsn1(spark, sf):
     return parsed.select("kind", "batch_num", n.alias("answers"))
 
 
-def by_length(texts: list[str], kind: str) -> list[dict[str, str]]:
-    """A user's classifier, as plain as can be."""
-    categories, levels = vocab.VOCABULARY[kind], vocab.CONFIDENCE_LEVELS
-    return [
-        {
-            "text": t,
-            "category": categories[len(t) % len(categories)],
-            "confidence": levels[len(t) % len(levels)],
-            "reasoning": f"{len(t)} characters",
-        }
-        for t in texts
-    ]
+def by_length(vocabulary, levels):
+    """A user's classifier, as plain as can be; it takes what it needs along."""
+
+    def classify_texts(texts: list[str], kind: str) -> list[dict[str, str]]:
+        categories = vocabulary[kind]
+        return [
+            {
+                "text": t,
+                "category": categories[len(t) % len(categories)],
+                "confidence": levels[len(t) % len(levels)],
+                "reasoning": f"{len(t)} characters",
+            }
+            for t in texts
+        ]
+
+    return classify_texts
 
 
 @query(
@@ -107,7 +111,9 @@ def by_length(texts: list[str], kind: str) -> list[dict[str, str]]:
 )
 def cat1(spark, sf):
     items = views.exploded(spark, sf).select("item_id", "kind", "text")
-    return classify.classify_with(items, by_length).drop("text")
+    return classify.classify_with(
+        items, by_length(vocab.VOCABULARY, vocab.CONFIDENCE_LEVELS)
+    ).drop("text")
 
 
 def _lexicon_rows() -> str:
