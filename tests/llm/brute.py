@@ -138,3 +138,24 @@ def packed(rows, encode, end_id, size, pieces):
         assert at <= size
         padding += 0 if at & (at - 1) == 0 else size - at
     return padding, sum(map(len, ids.values()))
+
+
+def similar_lines(rows, num, den, least):
+    """{id: [numbers of lines that go]} of (id, text) rows with ids of their own."""
+    lines = [(i, k, frozenset(words(x))) for i, t in sorted(rows, key=lambda r: r[0]) if t is not None for k, x in enumerate(t.split("\n"))]
+    where, sizes, out, seen = defaultdict(list), {}, defaultdict(list), {}
+    for i, k, own in lines:
+        if len(own) < least:
+            continue
+        if own not in seen:
+            common = Counter(c for w in own for c in where[w])
+            seen[own] = None if not any(den * n >= num * (len(own) + sizes[c] - n) for c, n in common.items()) else True
+            first = len(sizes)
+            sizes[first] = len(own)
+            for w in own:
+                where[w].append(first)
+            if seen[own]:
+                out[i].append(k)
+        else:
+            out[i].append(k)
+    return dict(out)

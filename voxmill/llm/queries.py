@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import embedding_dedup, mixing, packing, quality, shingle_join, token_count, url_filter
+from voxmill.llm import embedding_dedup, line_dedup, mixing, packing, phrase_dedup, quality, shingle_join, suffix_dedup, token_count, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,17 @@ def op1_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return embedding_dedup.link_embeddings(table(spark, sf, "embeddings"))
 
 
+def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    left = line_dedup.drop_similar_lines(table(spark, sf, "documents"))
+    return left.select("doc_id", "n_lines", "n_lines_gone", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    cut = suffix_dedup.drop_repeated_bytes(table(spark, sf, "documents"))
+    gone, runs = suffix_dedup.removed()
+    return cut.select("doc_id", "n_bytes", gone.alias("n_removed"), runs.alias("n_spans"), "kept_sha256")
+
+
 def op4_shingle_join(spark: SparkSession, sf: str) -> DataFrame:
     found = shingle_join.join_shingles(table(spark, sf, "documents"), width=4, num=85, den=100)
     return found.select("doc_id", "n_shingles", "component_id")
@@ -46,6 +57,11 @@ def op6_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf, "documents"))
 
 
+def op7_phrase_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    cut = phrase_dedup.drop_repeated_phrases(table(spark, sf, "documents"))
+    return cut.select("doc_id", "n_words", suffix_dedup.removed()[0].alias("n_removed"), "kept_sha256")
+
+
 def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     judged = quality.quality_rules(table(spark, sf, "documents"), table(spark, sf, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -130,8 +130,11 @@ def _signer(width: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch_of(signs: list, at: list, sizes: list) -> pa.RecordBatch:
             counts = [len(s) for s in signs]
+            row = np.repeat(np.arange(len(counts)), counts)
+            sizes = np.concatenate(sizes)
+            keys = np.where(sizes >= 0, np.asarray(at[1], np.int64)[row], 0)  # once per text is enough
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(signs).view(np.int64)), *(pa.array(np.repeat(np.asarray(c, np.int64), counts)) for c in at), pa.array(np.concatenate(sizes))],
+                [pa.array(np.concatenate(signs).view(np.int64)), pa.array(at[0], pa.int64()).take(pa.array(row)), pa.array(keys), pa.array(sizes)],
                 names=["sign", "doc_id", "tkey", "n"],
             )
 
@@ -145,7 +148,7 @@ def _signer(width: int, num: int, den: int):
                     found = np.concatenate([found, np.unique(signatures(own, num, den))])
                 size = np.full(len(found), -1, np.int32)
                 size[0] = len(own)
-                signs.append(found), at[0].append(0 if doc is None else doc), at[1].append(key), sizes.append(size)
+                signs.append(found), at[0].append(doc), at[1].append(key), sizes.append(size)
                 held += len(found)
                 if held >= _ROWS:
                     yield batch_of(signs, at, sizes)
