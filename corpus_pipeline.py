@@ -42,7 +42,8 @@ def shingle_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     stays = found.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
     stays = stays.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_key"))
-    return docs.join(stays, same, "left_semi")
+    left = docs.join(stays, same, "left_semi").withColumn("_llm_key", text_key(F.col("text")))
+    return left.dropDuplicates(["doc_id", "_llm_key"]).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
