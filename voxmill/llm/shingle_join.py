@@ -9,7 +9,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -21,6 +21,8 @@ from voxmill.session import stored_once
 FAR, SPARE = 16, 3
 #: Features that a signature should cover at least.
 COVER_NEAR, COVER_FAR = 6.0, 3.5
+#: Bits of the sketch of a set that candidates are first compared by.
+SKETCH = 512
 _ROWS = 1 << 16
 
 
@@ -126,20 +128,29 @@ def signatures(features: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def sketch(features: np.ndarray) -> np.ndarray:
+    """How often features fall on each of ``SKETCH`` bits, odd or even: sketches of two sets
+    differ in no more bits than the sets do in features."""
+    odd = np.bincount((features & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _signer(width: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch_of(signs: list, at: list, sizes: list) -> pa.RecordBatch:
+        def batch_of(signs: list, at: list, sizes: list, sketches: list) -> pa.RecordBatch:
             counts = [len(s) for s in signs]
             row = np.repeat(np.arange(len(counts)), counts)
             sizes = np.concatenate(sizes)
             keys = np.where(sizes >= 0, np.asarray(at[1], np.int64)[row], 0)  # once per text is enough
+            own = pa.array([x.tolist() for x in sketches], pa.list_(pa.int64()))
+            own = own.take(pa.array(np.where(sizes >= 0, row, 0), mask=sizes < 0))
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(signs).view(np.int64)), pa.array(at[0], pa.int64()).take(pa.array(row)), pa.array(keys), pa.array(sizes)],
-                names=["sign", "doc_id", "tkey", "n"],
+                [pa.array(np.concatenate(signs).view(np.int64)), pa.array(at[0], pa.int64()).take(pa.array(row)), pa.array(keys), pa.array(sizes), own],
+                names=["sign", "doc_id", "tkey", "n", "sketch"],
             )
 
         for batch in batches:
-            signs, at, sizes, held = [], ([], []), [], 0
+            signs, at, sizes, sketches, held = [], ([], []), [], [], 0
             for doc, key, text in zip(*(c.to_pylist() for c in batch.columns)):
                 own = shingles(text, width)
                 # one row tells the size; it has a bucket of its own
@@ -148,13 +159,13 @@ def _signer(width: int, num: int, den: int):
                     found = np.concatenate([found, np.unique(signatures(own, num, den))])
                 size = np.full(len(found), -1, np.int32)
                 size[0] = len(own)
-                signs.append(found), at[0].append(doc), at[1].append(key), sizes.append(size)
+                signs.append(found), at[0].append(doc), at[1].append(key), sizes.append(size), sketches.append(sketch(own))
                 held += len(found)
                 if held >= _ROWS:
-                    yield batch_of(signs, at, sizes)
-                    signs, at, sizes, held = [], ([], []), [], 0
+                    yield batch_of(signs, at, sizes, sketches)
+                    signs, at, sizes, sketches, held = [], ([], []), [], [], 0
             if signs:
-                yield batch_of(signs, at, sizes)
+                yield batch_of(signs, at, sizes, sketches)
 
     return run
 
@@ -175,6 +186,25 @@ def _verifier(width: int, num: int, den: int):
     return run
 
 
+def _plausible(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) whose sizes and sketches do not forbid a link."""
+    one = sizes.select(F.col("doc_id").alias("a"), F.struct("n", "sketch").alias("x"))
+    two = sizes.select(F.col("doc_id").alias("b"), F.struct("n", "sketch").alias("y"))
+    near = pairs.join(one, "a").join(two, "b").filter(_may_link(F.col("x"), F.col("y"), num, den))
+    return stored_once(near.select("a", "b").distinct(), "pairs")
+
+
+def _may_link(x: Column, y: Column, num: int, den: int, words: int = SKETCH // 64) -> Column:
+    apart = sum((F.bit_count(F.get(x["sketch"], F.lit(k)).bitwiseXOR(F.get(y["sketch"], F.lit(k)))) for k in range(words)), F.lit(0))
+    return (x["n"] * den >= y["n"] * num) & (y["n"] * den >= x["n"] * num) & (apart * (den + num) <= (x["n"] + y["n"]) * (den - num))
+
+
+def _folded(sketch: str) -> Column:
+    """A sketch of half as many bits: what two of its words differ in, word by word."""
+    half = SKETCH // 128
+    return F.array(*(F.get(sketch, F.lit(k)).bitwiseXOR(F.get(sketch, F.lit(k + half))) for k in range(half)))
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that are similar, by their whole texts."""
     one = texts.select(F.col("id").alias("ia"), F.col("text").alias("ta"))
@@ -194,7 +224,8 @@ def join_shingles(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100
     Buckets of equal signatures are not spread into pairs. First every member is checked
     against the bucket's smallest id, then against one picked at random; then only members
     of different components of a bucket meet. So a group of near copies costs a few checks
-    per member, not its square.
+    per member, not its square. Sizes and sketches of the sets tell most pairs apart before
+    any text is looked at.
 
     Null, empty and blank texts have no shingle and link with nothing. Copies are linked to
     the smallest id like any other text. Rows with one id are one node: what any of
@@ -202,25 +233,24 @@ def join_shingles(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100
     Ids are integers. Other columns are not looked at.
     """
     rows = with_key(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    signed = rows.select("doc_id", "tkey", "text").mapInArrow(_signer(width, num, den), "sign bigint, doc_id bigint, tkey bigint, n int")
-    from pyspark.sql import Window
-
+    signed = rows.select("doc_id", "tkey", "text").mapInArrow(_signer(width, num, den), "sign bigint, doc_id bigint, tkey bigint, n int, sketch array<bigint>")
     bucket = Window.partitionBy("sign")
     members = signed.withColumn("low", F.min("doc_id").over(bucket)).withColumn("high", F.max("doc_id").over(bucket))
-    members = stored_once(members.filter("n >= 0 OR low < high").select("sign", "doc_id", "tkey", "n", "low"), "buckets")
-    sizes = members.filter("n >= 0").select("doc_id", "tkey", "n")
+    members = stored_once(members.filter("n >= 0 OR low < high").select("sign", "doc_id", "tkey", "n", "sketch", "low"), "buckets")
+    sizes = members.filter("n >= 0").select("doc_id", "tkey", "n", "sketch")
     members = members.filter("n < 0").select("sign", F.col("doc_id").alias("id"), "low")
 
-    ids = members.select("id").distinct()
+    ids = stored_once(members.select("id").distinct(), "ids")
     texts = stored_once(rows.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi"), "texts")
-    pairs = stored_once(members.filter("id > low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct(), "pairs")
-    links = _linked(pairs, texts, width, num, den)
+    own = sizes.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select("doc_id", "n", "sketch")
+    own = stored_once(own, "sketches")
+    pairs = members.filter("id > low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
+    links = _linked(_plausible(pairs, own, num, den), texts, width, num, den)
     roots = stored_once(components(links), "roots")
     for last in (False, True):
-        open_members = stored_once(_open(members.select("sign", "id"), roots), "open")
-        fresh = _across(open_members) if last else _to_picked(open_members)
-        pairs = stored_once(fresh.distinct(), "pairs")
-        links = links.union(_linked(pairs, texts, width, num, den))
+        met = stored_once(_open(members.select("sign", "id"), roots), "open")
+        pairs = _across(met, own, num, den) if last else _to_picked(met).distinct()
+        links = links.union(_linked(_plausible(pairs, own, num, den), texts, width, num, den))
         roots = stored_once(components(links), "roots")
     out = sizes.join(roots, F.col("doc_id") == F.col("id"), "left")
     found = out.select("doc_id", "tkey", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -242,10 +272,13 @@ def _to_picked(members: DataFrame) -> DataFrame:
     return met.select(F.greatest("id", "p.id").alias("a"), F.least("id", "p.id").alias("b"))
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs of members of a bucket that lie in different components."""
-    roots = members.select("sign", F.col("root").alias("other")).distinct()
-    sides = members.join(roots, "sign").filter("root < other")
-    others = members.select(F.col("sign").alias("s"), F.col("root").alias("r"), F.col("id").alias("far"))
-    met = sides.join(others, (F.col("sign") == F.col("s")) & (F.col("other") == F.col("r")))
-    return met.select(F.greatest("id", "far").alias("a"), F.least("id", "far").alias("b"))
+def _across(members: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of members of a bucket that lie in different components and may be similar.
+    One of two such members is outside the bucket's largest component, so a large component
+    is never compared with itself."""
+    sketched = stored_once(members.join(sizes.select(F.col("doc_id").alias("id"), F.struct("n", _folded("sketch").alias("sketch")).alias("x")), "id"), "open")
+    counts = sketched.groupBy("sign", "root").count()
+    largest = counts.groupBy("sign").agg(F.max(F.struct("count", "root")).alias("top")).select("sign", F.col("top.root").alias("top"))
+    outside = sketched.join(largest, "sign").filter("root <> top").select("sign", F.col("id").alias("far"), F.col("root").alias("far_root"), F.col("x").alias("y"))
+    met = sketched.join(outside, (sketched["sign"] == outside["sign"]) & (F.col("root") != F.col("far_root")) & _may_link(F.col("x"), F.col("y"), num, den, SKETCH // 128))
+    return met.select(F.greatest("id", "far").alias("a"), F.least("id", "far").alias("b")).distinct()
