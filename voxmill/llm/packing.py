@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
-from collections import deque
 from collections.abc import Iterator
+from struct import pack as pack_numbers
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +17,16 @@ from voxmill.llm.common import text_key
 CUT_DOC, CUT_SENTENCE, CUT_INSIDE = 0, 16, 64
 #: Inside a sentence, a cut may also fall at every so many tokens of it.
 INSIDE_STEP = 256
+#: Sentences that end within so many tokens of the last place for a cut are passed over.
+NEAREST = 16
 #: A task packs its documents in blocks of about so many tokens (its memory).
 BLOCK_TOKENS = 1 << 21
-#: Words of up to so many bytes are remembered, so many of them per worker.
-WORD_BYTES, WORDS_KEPT = 64, 400_000
-
-_SENTENCE_END = re.compile(rb"(?<=[.!?])[\x20\x09-\x0D]+|\n")
+#: Words of up to so many bytes are remembered, so many of them per worker as they stand in
+#: texts, and so many in lower case without the marks behind them.
+WORD_BYTES, WORDS_KEPT, STEMS_KEPT = 64, 500_000, 500_000
+#: Marks that the tokenizer never joins with the letters before them.
+MARKS = ".,;:!?"
+_ENDS = b".!?"
 
 
 def sequence_cost(length: int, size: int) -> int:
@@ -49,20 +53,25 @@ def best_cuts(at: np.ndarray, cost: np.ndarray, size: int) -> list[int]:
         for j in np.nonzero(at[np.minimum(found, n - 1)] == back)[0].tolist():
             exact.setdefault(j, []).append(int(found[j]))
     reach, origin = [0] * n, [0] * n
-    queue: deque[tuple[int, int]] = deque([(0, 0)])  # (cost + place, index), rising
+    values, indexes, head = [0], [0], 0  # the queue: cost + place, rising, and the index
     for j in range(1, n):
         p = places[j]
-        while places[queue[0][1]] < p - size:
-            queue.popleft()
-        best, source = queue[0][0] + size - p, queue[0][1]
-        for i in exact.get(j, ()):
-            if reach[i] < best:
-                best, source = reach[i], i
+        while places[indexes[head]] < p - size:
+            head += 1
+        source = indexes[head]
+        best = values[head] + size - p
+        if j in exact:
+            for i in exact[j]:
+                if reach[i] < best:
+                    best, source = reach[i], i
         best += penalties[j]
         reach[j], origin[j] = best, source
-        while queue and queue[-1][0] > best + p:
-            queue.pop()
-        queue.append((best + p, j))
+        best += p
+        while len(values) > head and values[-1] > best:
+            values.pop()
+            indexes.pop()
+        values.append(best)
+        indexes.append(j)
     cuts, j = [], n - 1
     while j > 0:
         cuts.append(j)
@@ -70,16 +79,59 @@ def best_cuts(at: np.ndarray, cost: np.ndarray, size: int) -> list[int]:
     return cuts[::-1]
 
 
+def _byte_letters() -> list[str]:
+    """The characters that stand for bytes in a byte-level vocabulary: a printable Latin-1
+    character for itself, the others in turn for those from 256 on."""
+    own = [33 <= b <= 126 or 161 <= b <= 255 and b != 173 for b in range(256)]
+    spare = iter(range(256, 512))
+    return [chr(b if own[b] else next(spare)) for b in range(256)]
+
+
 class _Words(dict):
-    """Token ids of words as little-endian 32-bit numbers, looked up once per word."""
+    """Token ids of words as little-endian 32-bit numbers, looked up once per word.
+
+    The tokenizer puts text into lower case, character by character, and cuts letters from
+    marks, so a word of letters with marks behind it is looked up as these two parts. A
+    part of letters goes to the tokenizer's model as it is; anything else takes the whole
+    way through the tokenizer."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.merge = tokenizer.encode, tokenizer.model.tokenize
+        self.letters = _byte_letters()
+        self.stems: dict[str, bytes] = {}
+
+    def _part(self, text: str, letters: bool) -> bytes:
+        ids = self.stems.get(text)
+        if ids is None:
+            if letters:
+                plain = text if text.isascii() else "".join([self.letters[b] for b in text.encode()])
+                found = [token.id for token in self.merge(plain)]
+            else:
+                found = self.encode(text, add_special_tokens=False).ids
+            ids = pack_numbers(f"<{len(found)}I", *found)
+            if len(text) <= WORD_BYTES:
+                if len(self.stems) >= STEMS_KEPT:
+                    self.stems.clear()
+                self.stems[text] = ids
+        return ids
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.asarray(self.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        text = word.decode()
+        stem = text.rstrip(MARKS)
+        if not stem.isalpha():
+            ids = self._part(text, False)
+        else:
+            if stem.isascii():
+                ids = self._part(stem.lower(), True)
+            elif is_normalized("NFC", stem):
+                ids = self._part("".join(map(str.lower, stem)), True)
+            else:
+                ids = self._part(stem, False)
+            if len(stem) < len(text):
+                ids += self._part(text[len(stem) :], False)
         if len(word) <= WORD_BYTES:
             if len(self) >= WORDS_KEPT:
                 self.clear()
@@ -102,17 +154,17 @@ def encode_sentences(text: str, words: _Words) -> tuple[bytes, list[int]]:
 
     The tokenizer drops white space and looks at each word by itself, so the ids of a text
     are those of its words in their order."""
-    parts = [b"".join(map(words.__getitem__, s.split())) for s in _SENTENCE_END.split(text.encode())]
-    ends, n = [], 0
-    for part in parts:
-        n += len(part) // 4
-        ends.append(n)
-    return b"".join(parts), ends
+    own = text.encode().split()
+    if not own:
+        return b"", []
+    parts = list(map(words.__getitem__, own))
+    places = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // 4
+    return b"".join(parts), places[[w[-1] in _ENDS for w in own]].tolist()
 
 
 def _places(docs: list[tuple], size: int) -> tuple[np.ndarray, np.ndarray]:
     at, cost, base = [0], [0], 0
-    step = min(INSIDE_STEP, size)
+    step, nearest = min(INSIDE_STEP, size), min(NEAREST, max(1, size // 64))
     for _, _, ids, ends in docs:
         last = 0
         n = len(ids) // 4
@@ -120,10 +172,10 @@ def _places(docs: list[tuple], size: int) -> tuple[np.ndarray, np.ndarray]:
             for inside in range(last + step, end, step):
                 at.append(base + inside)
                 cost.append(CUT_INSIDE)
-            if last < end < n:
+            if last + nearest <= end < n:
                 at.append(base + end)
                 cost.append(CUT_SENTENCE)
-            last = end
+                last = end
         if n > last:
             for inside in range(last + step, n, step):
                 at.append(base + inside)
