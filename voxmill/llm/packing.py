@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from codecs import charmap_decode
 from collections.abc import Iterator
 from struct import pack as pack_numbers
 from unicodedata import is_normalized
@@ -26,6 +27,8 @@ BLOCK_TOKENS = 1 << 21
 WORD_BYTES, WORDS_KEPT, STEMS_KEPT = 64, 500_000, 500_000
 #: Marks that the tokenizer never joins with the letters before them.
 MARKS = ".,;:!?"
+#: The one letter that Python puts into lower case by what stands around it.
+SIGMA = "\u03a3"
 _ENDS = b".!?"
 
 
@@ -79,12 +82,12 @@ def best_cuts(at: np.ndarray, cost: np.ndarray, size: int) -> list[int]:
     return cuts[::-1]
 
 
-def _byte_letters() -> list[str]:
+def _byte_letters() -> str:
     """The characters that stand for bytes in a byte-level vocabulary: a printable Latin-1
     character for itself, the others in turn for those from 256 on."""
     own = [33 <= b <= 126 or 161 <= b <= 255 and b != 173 for b in range(256)]
     spare = iter(range(256, 512))
-    return [chr(b if own[b] else next(spare)) for b in range(256)]
+    return "".join(chr(b if own[b] else next(spare)) for b in range(256))
 
 
 class _Words(dict):
@@ -107,7 +110,7 @@ class _Words(dict):
         ids = self.stems.get(text)
         if ids is None:
             if letters:
-                plain = text if text.isascii() else "".join([self.letters[b] for b in text.encode()])
+                plain = text if text.isascii() else charmap_decode(text.encode(), "strict", self.letters)[0]
                 found = [token.id for token in self.merge(plain)]
             else:
                 found = self.encode(text, add_special_tokens=False).ids
@@ -126,8 +129,8 @@ class _Words(dict):
         else:
             if stem.isascii():
                 ids = self._part(stem.lower(), True)
-            elif is_normalized("NFC", stem):
-                ids = self._part("".join(map(str.lower, stem)), True)
+            elif is_normalized("NFC", stem) and SIGMA not in stem:
+                ids = self._part(stem.lower(), True)
             else:
                 ids = self._part(stem, False)
             if len(stem) < len(text):
