@@ -45,6 +45,7 @@ class Segment:
     at: int
     body: bytes
     blocks: int
+    anchor: int = 0
 
     @property
     def place(self) -> tuple:
@@ -166,7 +167,7 @@ def _shards(m: Method):
                         yield out
                     group, held = [], 0
                 last = (h, block)
-                group.append(Segment(ident, key, at, body, blocks))
+                group.append(Segment(ident, key, at, body, blocks, h))
                 held += len(body)
         if group and (out := solved()):
             yield out

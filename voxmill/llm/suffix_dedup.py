@@ -79,27 +79,41 @@ def refine(data: bytes, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.nda
 
 def solve_bytes(segments: list[Segment], size: int) -> list[tuple]:
     """Rows of a shard (see ``repeats``): every string that comes twice goes."""
-    segments = list({s.place: s for s in segments}.values())
-    lengths = np.asarray([len(s.body) for s in segments])
+    bodies: dict[bytes, list[Segment]] = {}
+    for s in {s.place: s for s in segments}.values():
+        bodies.setdefault(s.body, []).append(s)
+    by_anchor: dict[int, list[bytes]] = {}
+    for body, own in bodies.items():
+        by_anchor.setdefault(own[0].anchor, []).append(body)
+    # a body that comes twice goes as a whole; only others are compared, string by string
+    rows = [(0, s.doc_id, s.tkey, s.at, s.at + len(body), 0, 0) for body, own in bodies.items() if len(own) > 1 for s in own]
+    open_ones = any(own[0].blocks > 1 for own in bodies.values())
+    compared = [
+        body for own in by_anchor.values() for body in own
+        if open_ones or len(own) > 1 and any(len(bodies[b]) == 1 for b in own)
+    ]
+    if not compared:
+        return rows
+    lengths = np.asarray([len(body) for body in compared])
     starts = np.concatenate([[0], np.cumsum(lengths)])
-    ends = np.repeat(starts[1:], lengths)
-    places, buckets = refine(b"".join(s.body for s in segments), ends, size)
-    rows: list[tuple] = []
+    places, buckets = refine(b"".join(compared), np.repeat(starts[1:], lengths), size)
     owner = np.searchsorted(starts, places, "right") - 1
     cut = np.nonzero((np.diff(places) != 1) | (np.diff(owner) != 0))[0] + 1
     if len(places):
         for lo, hi in zip([0, *cut.tolist()], [*(cut - 1).tolist(), len(places) - 1]):
-            s = segments[owner[lo]]
-            base = s.at - int(starts[owner[lo]])
-            rows.append((0, s.doc_id, s.tkey, base + int(places[lo]), base + int(places[hi]) + size, 0, 0))
-    if any(s.blocks > 1 for s in segments):
+            own = bodies[compared[owner[lo]]]
+            if len(own) == 1:
+                base = own[0].at - int(starts[owner[lo]])
+                rows.append((0, own[0].doc_id, own[0].tkey, base + int(places[lo]), base + int(places[hi]) + size, 0, 0))
+    if open_ones:
         bucket_of, told = dict(zip(places.tolist(), buckets.tolist())), set()
-        for k, s in enumerate(segments):
-            for at in range(len(s.body) - size + 1 if s.blocks > 1 else 0):
+        for k, body in enumerate(compared):
+            s = bodies[body][0]
+            for at in range(len(body) - size + 1 if s.blocks > 1 else 0):
                 bucket = bucket_of.get(int(starts[k]) + at)
                 if bucket is None or bucket not in told:
                     told.add(bucket)
-                    digest = xxh3_128_intdigest(s.body[at : at + size])
+                    digest = xxh3_128_intdigest(body[at : at + size])
                     rows.append((1, s.doc_id, s.tkey, s.at + at, s.at + at + size, _signed(digest >> 64), _signed(digest)))
             told.discard(None)
     return rows
