@@ -33,11 +33,14 @@ def _keys(line: Column, levels: Column, counters: int) -> Column:
     """The different words of a line as numbers, the rarest first. ``levels`` is a column of
     the rows (see ``_with_levels``), named once."""
 
-    def key(w: Column) -> Column:
-        level = lambda h: F.get(levels, F.pmod(h, F.lit(counters)).cast("int")).cast("long")
-        return let(F.xxhash64(w), lambda h: _shifted(level(h), F.lit(_HASH_BITS)).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1))))
+    hashes = F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w)))
+    mask = (1 << _HASH_BITS) - 1
 
-    return F.sort_array(F.transform(F.array_distinct(words(line)), key))
+    def key(h: Column) -> Column:
+        level = F.get(levels, F.pmod(h, F.lit(counters)).cast("int")).cast("long")
+        return _shifted(level, F.lit(_HASH_BITS)).bitwiseOR(h.bitwiseAND(F.lit(mask)))
+
+    return F.sort_array(F.transform(hashes, key))
 
 
 def _with_levels(lines: DataFrame, levels: Column) -> DataFrame:
@@ -81,7 +84,7 @@ def similar_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 5
     or higher up in its own, whether that one stays or not. Lines of fewer than ``least``
     different words are not judged and stay.
 
-    Lines of one word set are one class. Words are ordered by frequency, rarest first (the
+    Words are compared by 57 bits of a hash. Lines of one word set are one class. Words are ordered by frequency, rarest first (the
     frequency by hashed counters over all lines, so the order is a bounded table and needs
     no join). Similar sets share one of their first n - ceil(n num / den) + 1 words. Two
     joins follow, both of which give a row at most for a class, so large groups of similar
@@ -105,11 +108,12 @@ def similar_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 5
     place = F.struct("doc_id", "tkey", "line_no")
     firsts = stored_once(keyed.groupBy(*_CLASS).agg(F.min(place).alias("first")), "firsts")
     suspects = stored_once(firsts.join(maybe, list(_CLASS), "left_semi").select(*_CLASS, "first", "first.*"), "suspects")
-    homes = stored_once(suspects.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key")).distinct(), "homes")
+    homes = suspects.groupBy(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key")).agg(F.collect_list(F.struct("line_no", *_CLASS, "first")).alias("own"))
+    homes = stored_once(homes, "homes")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_key"))
-    theirs = _lines(rows.join(homes, same, "left_semi").dropDuplicates(["doc_id", "tkey"]))
-    at = suspects.select(*_CLASS, "first", F.col("doc_id").alias("_id"), F.col("tkey").alias("_key"), F.col("line_no").alias("_no"))
-    theirs = theirs.join(at, same & (F.col("line_no") == F.col("_no")))
+    theirs = rows.join(homes, same).select(F.inline(let(F.split("text", "\n"), lambda all_lines: F.transform(
+        "own", lambda x: F.struct(*(x[c].alias(c) for c in (*_CLASS, "first")), F.get(all_lines, x["line_no"]).alias("line"))
+    ))))
     theirs = _with_levels(theirs.select(*_CLASS, "first", "line"), levels)
     sets = stored_once(theirs.select(*_CLASS, "first", _keys(F.col("line"), F.col("levels"), counters).alias("keys")), "sets")
 
