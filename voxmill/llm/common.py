@@ -36,6 +36,22 @@ def with_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *m
     )
 
 
+def in_struct(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of ``rows`` in a struct ``row``, where no name can clash with ours."""
+    return rows.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
+
+
+def of_row(name: str) -> Column:
+    return F.col(f"row.`{name}`")
+
+
+def semi_join(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``keys`` (doc_id, tkey) names."""
+    keys = keys.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key"))
+    same = of_row(id_col).eqNullSafe(F.col("_id")) & (text_key(of_row(text_col)) == F.col("_key"))
+    return in_struct(docs, docs.columns).join(keys, same, "left_semi").select("row.*")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component_id) of every id in ``edges`` (a, b): the smallest id that links reach.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxmill.functions.binding import let
-from voxmill.llm.common import text_key, with_key, words
+from voxmill.llm.common import in_struct, of_row, text_key, with_key, words
 from voxmill.session import stored_once
 
 #: Counters for word frequencies: words share a counter by their hash. More counters tell
@@ -140,15 +140,15 @@ def drop_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     goes = similar_lines(docs, id_col=id_col, text_col=text_col, **settings)
     goes = goes.dropDuplicates().groupBy(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key")).agg(F.collect_set("line_no").alias("_gone"))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_lines_gone")]
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (text_key(F.col(text_col)) == F.col("_key"))
-    rows = docs.select(*kept).join(goes, same, "left")
+    own = of_row(text_col)
+    rows = in_struct(docs, kept).join(goes, of_row(id_col).eqNullSafe(F.col("_id")) & (text_key(own) == F.col("_key")), "left")
     n_gone = F.coalesce(F.size("_gone"), F.lit(0))
-    left = let(F.split(text_col, "\n"), lambda lines: F.array_join(
+    left = let(F.split(own, "\n"), lambda lines: F.array_join(
         F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone"), lambda i: F.get(lines, i)), "\n"
     ))
-    text = F.when(n_gone > 0, left).otherwise(F.col(text_col))
+    text = F.when(n_gone > 0, left).otherwise(own)
     return rows.select(
-        *(text.alias(c) if c == text_col else F.col(c) for c in kept),
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(text_col, "\n"))).cast("long").alias("n_lines"),
+        *((text if c == text_col else of_row(c)).alias(c) for c in kept),
+        F.when(own.isNull(), 0).otherwise(F.size(F.split(own, "\n"))).cast("long").alias("n_lines"),
         n_gone.cast("long").alias("n_lines_gone"),
     )

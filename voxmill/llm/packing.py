@@ -130,7 +130,8 @@ class _Words(dict):
             if stem.isascii():
                 ids = self._part(stem.lower(), True)
             elif is_normalized("NFC", stem) and SIGMA not in stem:
-                ids = self._part(stem.lower(), True)
+                lower = stem.lower()  # a letter may become a letter and a mark
+                ids = self._part(lower, lower.isalpha())
             else:
                 ids = self._part(stem, False)
             if len(stem) < len(text):

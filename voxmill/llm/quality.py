@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxmill.functions.binding import let
-from voxmill.llm.common import GAPS, UPPER, text_key, with_key, words
+from voxmill.llm.common import GAPS, UPPER, semi_join, with_key, words
 from voxmill.session import stored_once
 
 SYMBOLS = "#*$%&|<>"
@@ -173,6 +173,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, doubt:
 
 def keep_good(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``verdicts`` keeps, with all their columns."""
-    good = verdicts.filter("kept").select(F.col("doc_id").alias("_good"), F.col("tkey").alias("_good_key"))
-    same = F.col(id_col).eqNullSafe(F.col("_good")) & (text_key(F.col(text_col)) == F.col("_good_key"))
-    return docs.join(good, same, "left_semi")
+    return semi_join(docs, verdicts.filter("kept"), id_col, text_col)

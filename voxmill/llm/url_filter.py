@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxmill.functions.binding import let
-from voxmill.llm.common import ascii_lower
+from voxmill.llm.common import ascii_lower, in_struct, of_row
 
 #: Hex digits of the digest that the join uses.
 SHORT = 8
@@ -66,10 +66,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     best = hits.groupBy("url").agg(
         F.max(F.struct(F.length(rule).alias("n"), F.length("rule_host").alias("h"), (F.col("rule_verdict") == "block").alias("b"), rule.alias("rule"), "rule_verdict")).alias("best")
     )
-    page = F.col(url_col)
+    page = of_row(url_col)
     host, path = host_and_path(page)
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    judged = pages.select(*kept, host.alias("host"), path.alias("path")).join(best.withColumnRenamed("url", "_judged"), page == F.col("_judged"), "left")
+    judged = in_struct(pages, kept).join(best.withColumnRenamed("url", "judged"), page == F.col("judged"), "left")
     return judged.select(
-        *kept, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict")
+        *(of_row(c).alias(c) for c in kept), host.alias("host"), path.alias("path"),
+        F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"),
     )
