@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxmill.llm import line_dedup, mixing, packing, quality, shingle_join
-from voxmill.llm.common import GAPS, text_key
+from voxmill.llm.common import GAPS, semi_join, text_key
 from voxmill.session import stored_once
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -39,11 +39,11 @@ def shingle_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Of documents that near-duplicate links reach, the one with the smallest id stays. Of
     rows that repeat an id and a text one stays; documents without words stay."""
     found = shingle_join.join_shingles(docs)
-    stays = found.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    stays = stays.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_key"))
-    left = docs.join(stays, same, "left_semi").withColumn("_llm_key", text_key(F.col("text")))
-    return left.dropDuplicates(["doc_id", "_llm_key"]).select(*docs.columns)
+    stays = found.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id", "tkey")
+    left = semi_join(docs, stays.distinct())
+    again = [F.col("doc_id").alias("_llm_id"), text_key(F.col("text")).alias("_llm_key")]
+    left = left.select(F.struct(*left.columns).alias("row"), *again).dropDuplicates(["_llm_id", "_llm_key"])
+    return left.select("row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
