@@ -97,3 +97,30 @@ def test_comment_pages_are_bounded(spark):
         ("cold", 0, 1), ("hot", 0, 50), ("hot", 1, 50), ("hot", 2, 20),
     ]
     assert [c.body for p in pages if p.thread_id == "hot" for c in p.comments] == [f"b{i}" for i in range(120)]
+
+
+def test_ids_of_different_places_differ(spark):
+    from voxmill.operators.items import explode_items
+
+    rows = [("a", "b:c"), ("a:b", "c"), (None, "a"), ("a", None), ("\\N", "a"), ("a\\", ":c"), ("a:", "c")]
+    threads = spark.createDataFrame([(*r, ["x"], ["y"]) for r in rows], "source string, thread_id string, pain_points array<string>, feature_requests array<string>")
+    ids = [r.item_id for r in explode_items(threads).collect()]
+    assert len(set(ids)) == len(ids) == 14
+
+
+def test_text_behind_an_array_is_no_reply(spark):
+    from pyspark.sql import functions as F
+
+    from voxmill.operators.replies import parse_reply
+
+    one = '[{"text": "t", "category": "c", "confidence": "High", "reasoning": "r"}]'
+    rows = spark.createDataFrame([(one,), (one + " thanks, done",), (one + " \n",)], "reply string")
+    assert [r[0] for r in rows.select(F.size(parse_reply(F.col("reply")))).collect()] in ([1, -1, 1], [1, None, 1])
+
+
+def test_words_of_other_languages_stay_whole(spark):
+    from pyspark.sql import functions as F
+
+    from voxmill.operators.classify import words
+
+    assert spark.range(1).select(words(F.lit("größe señor Ошибка x1"))).first()[0] == ["größe", "señor", "ошибка", "x1"]

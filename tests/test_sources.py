@@ -154,3 +154,18 @@ def test_schemas_are_ddl(spark):
     for name in ("THREAD", "ANALYSED_THREAD", "ITEM", "CATEGORISED_ITEM", "LEDGER"):
         assert spark.createDataFrame([], getattr(schemas, name)).count() == 0
     assert spark.createDataFrame([], schemas.THREAD).select(F.explode("comments")).count() == 0
+
+
+def test_unreadable_files_are_named(spark, tmp_path):
+    land(tmp_path, "a.json", THREADS)
+    land(tmp_path, "bad.json", '[{"a":')
+    land(tmp_path, "object.json", {"root": "is no list"})
+    land(tmp_path, "bad_cleaned.json", "[")
+    found = {(r.path.rsplit("/", 1)[1], r.reason) for r in threads.unreadable_files(spark, str(tmp_path)).collect()}
+    assert found == {("bad.json", "unreadable"), ("object.json", "no list")}
+
+
+def test_broken_lines_keep_their_text(spark, tmp_path):
+    land(tmp_path, "a.json", "\n".join(map(json.dumps, THREADS)) + "\n{broken\n\n")
+    found = threads.unreadable_lines(spark, str(tmp_path)).collect()
+    assert [(r.path.rsplit("/", 1)[1], r.text) for r in found] == [("a.json", "{broken")]

@@ -23,7 +23,7 @@ ACCEPTED, QUARANTINED, PENDING = "accepted", "quarantine", "pending"
 
 
 def words(text: Column) -> Column:
-    return F.split(F.lower(text), "[^a-z0-9]+", -1)
+    return F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1)
 
 
 def _isin(value: Column, options: Iterable[str]) -> Column:

@@ -46,6 +46,13 @@ def comment_pages(comments: DataFrame, page_size: int = 50) -> DataFrame:
 # -- items (ARR1, PRJ7) -----------------------------------------------------
 
 
+def _part(name: str) -> Column:
+    """A part of an id: a colon or backslash in it is marked, and so is a missing one, so
+    different places never get one id."""
+    marked = F.regexp_replace(F.col(name).cast("string"), r"([:\\])", r"\\$1")
+    return F.coalesce(marked, F.lit("\\N"))
+
+
 def explode_items(threads: DataFrame, thread_pos: str | None = None) -> DataFrame:
     """One row per pain point and feature request, with the thread's metadata.
 
@@ -64,7 +71,7 @@ def explode_items(threads: DataFrame, thread_pos: str | None = None) -> DataFram
 
     kept = [c for c in threads.columns if c not in vocab.KINDS]
     items = threads.select(*kept, F.inline(F.concat(*map(entries, vocab.KINDS))))
-    items = items.withColumn("item_id", F.concat_ws(":", "source", "thread_id", "kind", "list_pos"))
+    items = items.withColumn("item_id", F.concat_ws(":", _part("source"), _part("thread_id"), "kind", "list_pos"))
     if thread_pos is not None:
         place = F.col(thread_pos).cast("decimal(19,0)") * F.lit(_LIST_SPAN) + F.col("list_pos")
         items = items.withColumn("item_pos", place.cast("decimal(30,0)"))

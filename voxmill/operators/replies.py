@@ -16,7 +16,9 @@ def parse_reply(reply: Column) -> Column:
     """A reply as an array of answers; NULL where it is not a JSON array (JSN1)."""
     return let(
         strip_json_fence(reply),
-        lambda text: F.when(F.startswith(text, F.lit("[")), F.from_json(text, MODEL_REPLY)),
+        lambda text: F.when(
+            F.startswith(text, F.lit("[")) & F.endswith(F.rtrim(text), F.lit("]")), F.from_json(text, MODEL_REPLY)
+        ),
     )
 
 

@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from voxmill import vocab
 from voxmill.functions.scalars import cutoff
 
-# A ranked list up to this length may be broadcast: its rows are ids and scores only.
-BROADCAST_ROWS = 100_000
-
 # Up to this k Spark limits groups before the shuffle by itself
 # (spark.sql.optimizer.windowGroupLimitThreshold); beyond it groups are split in parts.
 GROUP_LIMIT = 1_000
@@ -145,12 +142,7 @@ def first_per_key(df: DataFrame, keys: Sequence[str], *order: str | Column) -> D
     return df.withColumn("_nth", F.row_number().over(window)).where("_nth = 1").drop("_nth")
 
 
-def fetch(wide: DataFrame, winners: DataFrame, key: str, k: int | None = None) -> DataFrame:
-    """Full rows of the winners. Rank on narrow columns first, then come here once.
-
-    ``k`` is the length the winners were limited to; within ``BROADCAST_ROWS`` they are
-    sent to every task, beyond it Spark picks the join by size.
-    """
-    if k is not None and k <= BROADCAST_ROWS:
-        winners = F.broadcast(winners)
+def fetch(wide: DataFrame, winners: DataFrame, key: str) -> DataFrame:
+    """Full rows of the winners. Rank on narrow columns first, then come here once; Spark
+    picks the join by the size of the winners."""
     return wide.join(winners, key)

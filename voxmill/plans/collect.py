@@ -60,7 +60,7 @@ def collect_issues(
     score = scalars.issue_engagement(F.col("reactions"), F.col("n_comments"))
     winners = select.top(merged, score, k, "first_place").select("id")
     winners = _uncollected(winners, ledger, vocab.GITHUB, "id")
-    return raw.normalise_issues(select.fetch(payloads, winners, "id", k))
+    return raw.normalise_issues(select.fetch(payloads, winners, "id"))
 
 
 def collect_posts(
@@ -87,7 +87,7 @@ def collect_posts(
     merged = select.merge_candidates(lists, "id")
     winners = select.top(merged, score, k, "first_place").select("id")
     winners = _uncollected(winners, ledger, vocab.REDDIT, "id")
-    return raw.normalise_posts(select.fetch(payloads, winners, "id", k))
+    return raw.normalise_posts(select.fetch(payloads, winners, "id"))
 
 
 def collect_topics(
@@ -109,5 +109,5 @@ def collect_topics(
     recent = select.recent(select.in_categories(narrow, ids=categories), "created", as_of)
     winners = select.top_per_group(recent, "category_id", "engagement", k, "id").select("id")
     winners = _uncollected(winners, ledger, vocab.DISCOURSE, "id")
-    fetched = select.fetch(payloads, winners, "id", k * len(categories))
+    fetched = select.fetch(payloads, winners, "id")
     return raw.normalise_topics(fetched, base_url)

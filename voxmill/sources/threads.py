@@ -38,6 +38,31 @@ def read_records(spark: SparkSession, path: str, json_lines: bool = False) -> Da
     )
 
 
+def unreadable_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, reason) of the array files that :func:`read_records` can't take records from:
+    broken JSON or more than one VARIANT holds ("unreadable"), or a root that is no list.
+    A feed that has such files is not whole; land large ones as JSON lines."""
+    files = (
+        spark.read.option("singleVariantColumn", "record")
+        .option("multiLine", True)
+        .option("pathGlobFilter", "*.json")
+        .json(path)
+        .where(~F.col("_metadata.file_name").like(_CLEANED))
+    )
+    kind = F.schema_of_variant("record")
+    bad = files.select(F.col("_metadata.file_path").alias("path"), kind.alias("kind"))
+    bad = bad.where(F.col("kind").isNull() | ~F.startswith("kind", F.lit("ARRAY")))
+    reason = F.when(F.col("kind").isNull() | (F.col("kind") == "VOID"), "unreadable").otherwise("no list")
+    return bad.select("path", reason.alias("reason"))
+
+
+def unreadable_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text) of the lines of JSON lines files that are no JSON."""
+    lines = spark.read.option("pathGlobFilter", "*.json").text(path).where(~F.col("_metadata.file_name").like(_CLEANED))
+    broken = F.try_parse_json("value").isNull() & (F.trim("value") != "")
+    return lines.where(broken).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
 def _comment(comment: Column) -> Column:
     """A comment record; a body that is no text counts as missing."""
 

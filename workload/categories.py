@@ -129,7 +129,7 @@ def _lexicon_rows() -> str:
 
 
 LEXICON_ANSWERS_SQL = f"""{ANALYSED}, lexicon(kind, category, ord, word) AS (VALUES {_lexicon_rows()}),
-tokens AS (SELECT item_id, kind, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS word FROM batched),
+tokens AS (SELECT item_id, kind, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS word FROM batched),
 scores AS (SELECT item_id, category, ord, count(*) AS score FROM tokens JOIN lexicon USING (kind, word) GROUP BY ALL),
 best AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, ord) AS nth FROM scores),
 lexicon_answers AS (
@@ -153,7 +153,7 @@ def _sql_count(tokens: str, words) -> str:
     return f"len(list_filter({tokens}, lambda w: list_contains({_sql_words(words)}, w)))"
 
 
-_TOKENS = "regexp_split_to_array(lower({}), '[^a-z0-9]+')"
+_TOKENS = "regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+')"
 _SENTENCES = r"list_filter(list_transform(regexp_split_to_array(text, '[.!?\n]+'), lambda s: trim(s)), lambda s: s <> '')"
 
 

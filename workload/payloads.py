@@ -245,12 +245,12 @@ def dat1(spark, sf):
 
 @query(
     "dat2_epoch",
-    "SELECT event_id, to_timestamp(event_id * 60)::TIMESTAMP > ts AS later FROM events",
+    "SELECT event_id, strftime(make_timestamp(event_id * 60000000), '%Y-%m-%d %H:%M:%S') AS moment FROM events",
 )
 def dat2(spark, sf):
     moment = scalars.from_epoch(F.col("event_id") * 60)
     return views.table(spark, sf, "events").select(
-        "event_id", (moment > scalars.parse_iso(_utc_text(F.col("ts")))).alias("later")
+        "event_id", F.date_format(moment, "yyyy-MM-dd HH:mm:ss").alias("moment")
     )
 
 

@@ -213,7 +213,7 @@ def top4(spark, sf):
     posts = views.posts(spark, sf).select(F.col("id").alias("doc_id"), score.alias("engagement"))
     winners = select.top(posts, "engagement", 50, "doc_id")
     wide = views.table(spark, sf, "documents").select("doc_id", "text")
-    best = select.fetch(wide, winners, "doc_id", 50)
+    best = select.fetch(wide, winners, "doc_id")
     return best.select(F.col("doc_id").alias("id"), "engagement", F.md5("text").alias("digest"))
 
 
