@@ -22,11 +22,12 @@ def _lines(rows: DataFrame) -> DataFrame:
 
 
 def _levels(lines: DataFrame, counters: int) -> Column:
-    """How frequent the words of each counter are: an array of logarithms, by counter."""
+    """How frequent the words of each counter are: an array of logarithms, by counter. It
+    is counted once and stored as one row of ``counters`` bytes."""
     counts = lines.select(F.explode(words(F.col("line"))).alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(counters)).alias("at")).count()
     every = lines.sparkSession.range(counters).join(counts, F.col("id") == F.col("at"), "left")
     level = F.floor(F.log2(F.coalesce("count", F.lit(1)))).cast("tinyint")
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", level.alias("level")))), lambda x: x["level"])).scalar()
+    return stored_once(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", level.alias("level")))), lambda x: x["level"]).alias("levels")), "levels").scalar()
 
 
 def _keys(line: Column, levels: Column, counters: int) -> Column:
@@ -76,6 +77,18 @@ def _near(a: str, b: str, num: int, den: int, parity: bool) -> Column:
     return fits
 
 
+def _verified(later: DataFrame, earlier: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Classes of ``later`` that are similar to an earlier one with a common word."""
+    a, b = later.alias("a"), earlier.alias("b")
+    pairs = a.join(b, (F.col("a.word") == F.col("b.met")) & (F.col("b.first") < F.col("a.first")) & _near("a", "b", num, den, True))
+    pairs = pairs.select(*(F.col(f"a.{c}") for c in _CLASS), *(F.col(f"b.{c}").alias(f"other_{c}") for c in _CLASS)).distinct()
+    mine = sets.select(*_CLASS, F.col("keys").alias("mine"))
+    theirs = sets.select(*(F.col(c).alias(f"other_{c}") for c in _CLASS), F.col("keys").alias("theirs"))
+    both = F.size(F.array_intersect("mine", "theirs"))
+    met = pairs.join(mine, list(_CLASS)).join(theirs, [f"other_{c}" for c in _CLASS])
+    return met.filter(den * both >= num * (F.size("mine") + F.size("theirs") - both)).select(*_CLASS).distinct()
+
+
 def similar_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 5, counters: int = COUNTERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, tkey, line_no) of every line that goes.
 
@@ -86,12 +99,12 @@ def similar_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 5
 
     Words are compared by 57 bits of a hash. Lines of one word set are one class. Words are ordered by frequency, rarest first (the
     frequency by hashed counters over all lines, so the order is a bounded table and needs
-    no join). Similar sets share one of their first n - ceil(n num / den) + 1 words. Two
-    joins follow, both of which give a row at most for a class, so large groups of similar
-    lines do not multiply: the first asks, with length, position and parity of the
-    sets, whether a class may have a partner at all; few have. Of these the whole sets
-    are fetched, and the second join, over the same prefixes, verifies the similarity with
-    an earlier class.
+    no join). Similar sets share one of their first n - ceil(n num / den) + 1 words. A
+    semi-join, which gives a row at most for a class, asks with length, position and parity
+    of the sets whether a class may have a partner at all; few have. Of these the whole
+    sets are fetched. They are compared with the earliest class of each of their prefix
+    words, and only those that this does not settle with all earlier ones, so large groups
+    of similar lines do not multiply.
     """
     rows = with_key(docs, id_col, text_col)
     lines = _lines(rows)
@@ -117,12 +130,11 @@ def similar_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 5
     theirs = _with_levels(theirs.select(*_CLASS, "first", "line"), levels)
     sets = stored_once(theirs.select(*_CLASS, "first", _keys(F.col("line"), F.col("levels"), counters).alias("keys")), "sets")
 
-    whole = sets.select(*_CLASS, "first", "keys", F.posexplode(_prefix(F.col("keys"), num, den)).alias("at", "word"))
-    a, b = whole.alias("a"), whole.alias("b")
-    both = F.size(F.array_intersect("a.keys", "b.keys"))
-    similar = den * both >= num * (F.col("a.n") + F.col("b.n") - both)
-    gone = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("b.first") < F.col("a.first")) & _near("a", "b", num, den, True) & similar, "left_semi")
-    gone = stored_once(gone.select(*_CLASS).distinct().withColumn("gone", F.lit(True)), "gone")
+    few = sets.select(*_CLASS, "first", F.posexplode(_prefix(F.col("keys"), num, den)).alias("at", "word"))
+    hubs = few.groupBy("word").agg(F.min(F.struct("first", *_CLASS, "at")).alias("b")).select(F.col("word").alias("met"), "b.*")
+    gone = stored_once(_verified(few, hubs, sets, num, den), "gone")
+    rest = few.join(gone, list(_CLASS), "left_anti")
+    gone = stored_once(gone.union(_verified(rest, few.withColumnRenamed("word", "met"), sets, num, den)).withColumn("gone", F.lit(True)), "gone")
 
     judged = keyed.select("doc_id", "tkey", "line_no", *_CLASS).join(firsts, list(_CLASS)).join(gone, list(_CLASS), "left")
     return judged.filter(F.col("gone") | (F.col("first") < place)).select("doc_id", "tkey", "line_no")
