@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
-from math import comb
+from math import comb, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +16,11 @@ from xxhash import xxh3_64_intdigest
 from voxmill.llm.common import components, with_key
 from voxmill.session import stored_once
 
-#: From this distance on, parts may be so small that some are empty: then a set has so many
-#: more first-level partitions than it needs.
-FAR, SPARE = 16, 3
+#: From this distance on, parts may be so small that some are empty: then a set has spare
+#: first-level partitions.
+FAR = 16
 #: Features that a signature should cover at least.
-COVER_NEAR, COVER_FAR = 6.0, 3.5
+COVER_NEAR = 6.0
 #: Bits of the sketch of a set that candidates are first compared by.
 SKETCH = 512
 _ROWS = 1 << 16
@@ -70,17 +70,26 @@ def scheme(distance: int, least: int) -> tuple[int, int, int, int]:
     ``distance``: n1 partitions of n2 parts each; in at least spare + 1 partitions at most
     k2 parts differ, so some n2 - k2 parts agree there. Of the schemes whose signatures
     cover enough features, that with the fewest signatures."""
-    spare, cover = (SPARE, COVER_FAR) if distance >= FAR else (0, COVER_NEAR)
+    if distance >= FAR:  # two parts of which one may differ, and as many spare ones as are empty
+        short = {}  # by how much the spare partitions may be too few
+        for spare in range(3, 4 + distance // 4):
+            n1 = distance // 2 + 1 + spare
+            empty = 2 * n1 * exp(-least / (2 * n1))
+            short[spare] = max(0, int(empty + 4 * sqrt(empty)) + 3 - spare)
+            if not short[spare]:
+                break
+        spare = min(short, key=lambda k: (short[k], k))
+        return distance // 2 + 1 + spare, 2, 1, spare
     options = []
     for k2 in range(0, 4):
-        n1 = distance // (k2 + 1) + 1 + spare
+        n1 = distance // (k2 + 1) + 1
         for n2 in range(k2 + 1, k2 + 5):
             covered = least * (n2 - k2) / (n1 * n2)
             signatures = n1 * comb(n2, k2)
-            if signatures <= 4 * (distance + 1 + spare):
-                options.append((max(0.0, cover - covered), signatures, n1, n2, k2))
+            if signatures <= 4 * (distance + 1):
+                options.append((max(0.0, COVER_NEAR - covered), signatures, n1, n2, k2))
     _, _, n1, n2, k2 = min(options)
-    return n1, n2, k2, spare
+    return n1, n2, k2, 0
 
 
 @cache
@@ -96,9 +105,11 @@ def signatures(features: np.ndarray, num: int, den: int) -> np.ndarray:
     (den + num) features. For its own band and the one above, a set's feature domain is
     cut into n1 partitions of n2 parts (by ranges of the hash), and the content of every
     choice of n2 - k2 parts of a partition is one signature. Two similar sets agree in a
-    choice of spare + 1 partitions or more. Choices without a feature say little; they
-    count only spare + 1 together: if all that two sets agree in is empty, they agree in
-    so many empty ones. So nothing is lost and no bucket of empty parts arises.
+    choice of spare + 1 partitions or more. Choices without a feature say little and are
+    mostly left out: if all that two sets agree in is empty, they agree in spare + 1 empty
+    ones or more, so they share one of the first that each has but for its last ``spare``.
+    With as many spare partitions as parts are likely to be empty, few sets have any to
+    tell, and nothing is lost.
     """
     size = len(features)
     ends = bands(num, den, max(size, 1) * 4)
@@ -119,10 +130,9 @@ def signatures(features: np.ndarray, num: int, den: int) -> np.ndarray:
         empty = held[choices].sum(2).ravel() == 0
         if spare and empty.any():
             out.append(signs[~empty])
-            lone = np.nonzero(empty)[0]
-            some = [c for c in combinations(lone.tolist(), spare + 1) if len({x // n_choices for x in c}) == spare + 1]
-            if some:
-                out.append(mixed(signs[np.asarray(some)].sum(1, dtype=np.uint64)))
+            lone = signs[empty]
+            if len(lone) > spare:
+                out.append(lone[: len(lone) - spare])
         else:
             out.append(signs)
     return np.concatenate(out)
