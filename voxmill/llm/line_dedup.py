@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxmill.functions.binding import let
-from voxmill.llm.common import in_struct, of_row, text_key, with_key, words
+from voxmill.llm.common import GAPS, in_struct, of_row, text_key, with_key, words
 from voxmill.session import stored_once
 
 #: Counters for word frequencies: words share a counter by their hash. More counters tell
@@ -21,27 +24,42 @@ def _lines(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "tkey", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
+def _line_words(line: Column) -> Column:
+    """The words of a line. One with single spaces alone is cut at them, which is much
+    cheaper than the pattern for any white space."""
+    rare = [F.contains(line, F.lit(gap)) for gap in (*GAPS.replace(" ", ""), "  ")]
+    trimmed = F.trim(line)
+    plain = (trimmed != "") & ~reduce(or_, rare)
+    return F.when(plain, F.split(trimmed, " ")).otherwise(words(line))
+
+
 def _levels(lines: DataFrame, counters: int) -> Column:
-    """How frequent the words of each counter are: an array of logarithms, by counter. It
-    is counted once and stored as one row of ``counters`` bytes."""
-    counts = lines.select(F.explode(words(F.col("line"))).alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(counters)).alias("at")).count()
+    """How frequent the words of each counter are: an array of logarithms in the bits above
+    a word's hash, by counter. It is counted once and stored as one row of ``counters``
+    numbers."""
+    counts = lines.select(F.explode(_line_words(F.col("line"))).alias("w")).groupBy(_counter(F.col("w"), counters).alias("at")).count()
     every = lines.sparkSession.range(counters).join(counts, F.col("id") == F.col("at"), "left")
-    level = F.floor(F.log2(F.coalesce("count", F.lit(1)))).cast("tinyint")
-    return stored_once(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", level.alias("level")))), lambda x: x["level"]).alias("levels")), "levels").scalar()
+    level = _shifted(F.floor(F.log2(F.coalesce("count", F.lit(1)))), F.lit(_HASH_BITS))
+    by_id = F.sort_array(F.collect_list(F.struct("id", level.alias("level"))))
+    return stored_once(every.agg(by_id["level"].alias("levels")), "levels").scalar()
+
+
+def _counter(word: Column, counters: int) -> Column:
+    """The counter of a word; ``counters`` is a power of two."""
+    return F.hash(word).bitwiseAND(F.lit(counters - 1))
 
 
 def _keys(line: Column, levels: Column, counters: int) -> Column:
     """The different words of a line as numbers, the rarest first. ``levels`` is a column of
-    the rows (see ``_with_levels``), named once."""
-
-    hashes = F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w)))
-    mask = (1 << _HASH_BITS) - 1
+    the rows (see ``_with_levels``), named once. Little is done per word, since a lambda is
+    not compiled; without nulls the numbers are told apart and sorted as plain longs."""
+    mask = F.lit((1 << _HASH_BITS) - 1)
 
-    def key(h: Column) -> Column:
-        level = F.get(levels, F.pmod(h, F.lit(counters)).cast("int")).cast("long")
-        return _shifted(level, F.lit(_HASH_BITS)).bitwiseOR(h.bitwiseAND(F.lit(mask)))
+    def key(word: Column) -> Column:
+        level = F.coalesce(F.get(levels, _counter(word, counters)), F.lit(0).cast("long"))
+        return level.bitwiseOR(F.xxhash64(word).bitwiseAND(mask))
 
-    return F.sort_array(F.transform(hashes, key))
+    return F.sort_array(F.array_distinct(F.transform(_line_words(line), key)))
 
 
 def _with_levels(lines: DataFrame, levels: Column) -> DataFrame:
@@ -59,10 +77,11 @@ def _prefix(keys: Column, num: int, den: int) -> Column:
     return F.slice(keys, 1, F.greatest(n - F.ceil(n * num / F.lit(den)).cast("int") + 1, F.lit(1)))
 
 
-def _told(keys: Column, num: int, den: int) -> Column:
+def _told(keys: Column, num: int, den: int) -> list[Column]:
     """What stands for a word set: its size, two hashes, and its rarest words."""
-    parity = F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(_shifted(F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
-    return F.struct(F.size(keys).alias("n"), F.xxhash64(keys).alias("c1"), parity.alias("parity"), _prefix(keys, num, den).alias("prefix"))
+    one, low = F.lit(1).cast("long"), F.lit(63)
+    parity = F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(_shifted(one, k.bitwiseAND(low).cast("int"))))
+    return [F.size(keys).alias("n"), F.xxhash64(keys).alias("c1"), parity.alias("parity"), _prefix(keys, num, den).alias("prefix")]
 
 
 def _near(a: str, b: str, num: int, den: int, parity: bool) -> Column:
@@ -97,29 +116,30 @@ def similar_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 5
     or higher up in its own, whether that one stays or not. Lines of fewer than ``least``
     different words are not judged and stay.
 
-    Words are compared by 57 bits of a hash. Lines of one word set are one class. Words are ordered by frequency, rarest first (the
-    frequency by hashed counters over all lines, so the order is a bounded table and needs
-    no join). Similar sets share one of their first n - ceil(n num / den) + 1 words. A
-    semi-join, which gives a row at most for a class, asks with length, position and parity
-    of the sets whether a class may have a partner at all; few have. Of these the whole
-    sets are fetched. They are compared with the earliest class of each of their prefix
-    words, and only those that this does not settle with all earlier ones, so large groups
-    of similar lines do not multiply.
+    Words are compared by 57 bits of a hash. Lines of one word set are one class. Words are
+    ordered by frequency, rarest first (the frequency by hashed counters over all lines, so
+    the order is a bounded table and needs no join; ``counters`` is a power of two). Similar
+    sets share one of their first n - ceil(n num / den) + 1 words. A semi-join, which gives
+    a row at most for a class, asks with length, position and parity of the sets whether a
+    class may have a partner at all; few have. Of these the whole sets are fetched. They
+    are compared with the earliest class of each of their prefix words, and only those that
+    this does not settle with all earlier ones, so large groups of similar lines do not
+    multiply.
     """
     rows = with_key(docs, id_col, text_col)
     lines = _lines(rows)
     levels = _levels(lines, counters)
-    told = let(_keys(F.col("line"), F.col("levels"), counters), lambda keys: _told(keys, num, den))
-    keyed = _with_levels(lines, levels).select("doc_id", "tkey", "line_no", told.alias("s")).select("doc_id", "tkey", "line_no", "s.*").filter(F.col("n") >= least)
-    keyed = stored_once(keyed, "lines")
+    keyed = _with_levels(lines, levels).select("doc_id", "tkey", "line_no", _keys(F.col("line"), F.col("levels"), counters).alias("keys"))
+    keyed = keyed.select("doc_id", "tkey", "line_no", *_told(F.col("keys"), num, den))
+    keyed = stored_once(keyed, "lines").filter(F.col("n") >= least)  # only now, or the keys are computed twice
 
-    postings = keyed.select(*_CLASS, F.posexplode("prefix").alias("at", "word"))
+    place = F.struct("doc_id", "tkey", "line_no")
+    firsts = stored_once(keyed.groupBy(*_CLASS).agg(F.min(place).alias("first"), F.any_value("prefix").alias("prefix")), "firsts")
+    postings = firsts.select(*_CLASS, F.posexplode("prefix").alias("at", "word"))
     a, b = postings.alias("a"), postings.alias("b")
     other = (F.col("a.word") == F.col("b.word")) & ((F.col("a.c1") != F.col("b.c1")) | (F.col("a.parity") != F.col("b.parity")) | (F.col("a.n") != F.col("b.n")))
     maybe = stored_once(a.join(b, other & _near("a", "b", num, den, True), "left_semi").select(*_CLASS).distinct(), "maybe")
 
-    place = F.struct("doc_id", "tkey", "line_no")
-    firsts = stored_once(keyed.groupBy(*_CLASS).agg(F.min(place).alias("first")), "firsts")
     suspects = stored_once(firsts.join(maybe, list(_CLASS), "left_semi").select(*_CLASS, "first", "first.*"), "suspects")
     homes = suspects.groupBy(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key")).agg(F.collect_list(F.struct("line_no", *_CLASS, "first")).alias("own"))
     homes = stored_once(homes, "homes")
