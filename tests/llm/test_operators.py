@@ -125,6 +125,19 @@ def test_lines(spark, odd):
         assert text == (None if texts[i] is None else "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in gone))
 
 
+@pytest.mark.parametrize("num", [50, 80])
+def test_short_lines(spark, num):
+    """Repeats of lines of one to four words go; four words are similar to the same and one more."""
+    own = ["home", "a b", "b a", "a b c", "a b c d", "a b c d e", "d c b a f g", "p q r s t", "p q r s", "u v w", "u v", " ", ""]
+    texts = ["\n".join(own), None, "home\nhome\n\nnew", "\n".join(rng.sample(own, len(own))), "home"]
+    goes = brute.similar_lines(list(enumerate(texts)), num, 100, 1)
+    found = line_dedup.drop_similar_lines(table(spark, texts), num=num)
+    for i, text, n in found.select("doc_id", "text", "n_lines_gone").collect():
+        gone = set(goes.get(i, ()))
+        assert n == len(gone)
+        assert text == (None if texts[i] is None else "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in gone))
+
+
 TEXT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars", *CLASH)
 
 

@@ -108,20 +108,21 @@ def _verified(later: DataFrame, earlier: DataFrame, sets: DataFrame, num: int, d
     return met.filter(den * both >= num * (F.size("mine") + F.size("theirs") - both)).select(*_CLASS).distinct()
 
 
-def similar_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 5, counters: int = COUNTERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 1, counters: int = COUNTERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, tkey, line_no) of every line that goes.
 
     Two lines are similar if den * |common words| >= num * |all words| for the sets of
     their words. A line goes if a similar one stands earlier: in a document of smaller id,
     or higher up in its own, whether that one stays or not. Lines of fewer than ``least``
-    different words are not judged and stay.
+    different words are not judged and stay; by default these are the lines without words.
 
     Words are compared by 57 bits of a hash. Lines of one word set are one class. Words are
     ordered by frequency, rarest first (the frequency by hashed counters over all lines, so
     the order is a bounded table and needs no join; ``counters`` is a power of two). Similar
     sets share one of their first n - ceil(n num / den) + 1 words. A semi-join, which gives
     a row at most for a class, asks with length, position and parity of the sets whether a
-    class may have a partner at all; few have. Of these the whole sets are fetched. They
+    class may have a partner at all; few have. Sets so short that only an equal one is
+    similar are settled by their class and take no part in it. Of these the whole sets are fetched. They
     are compared with the earliest class of each of their prefix words, and only those that
     this does not settle with all earlier ones, so large groups of similar lines do not
     multiply.
@@ -135,7 +136,8 @@ def similar_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 5
 
     place = F.struct("doc_id", "tkey", "line_no")
     firsts = stored_once(keyed.groupBy(*_CLASS).agg(F.min(place).alias("first"), F.any_value("prefix").alias("prefix")), "firsts")
-    postings = firsts.select(*_CLASS, F.posexplode("prefix").alias("at", "word"))
+    others = firsts.filter(den * F.col("n") >= num * (F.col("n") + 1))  # n words and one more at best
+    postings = others.select(*_CLASS, F.posexplode("prefix").alias("at", "word"))
     a, b = postings.alias("a"), postings.alias("b")
     other = (F.col("a.word") == F.col("b.word")) & ((F.col("a.c1") != F.col("b.c1")) | (F.col("a.parity") != F.col("b.parity")) | (F.col("a.n") != F.col("b.n")))
     maybe = stored_once(a.join(b, other & _near("a", "b", num, den, True), "left_semi").select(*_CLASS).distinct(), "maybe")
