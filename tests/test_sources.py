@@ -82,6 +82,42 @@ def test_clean_files(spark, tmp_path):
     assert '"cleaned_body":"é"' in "".join(written)
 
 
+def test_array_file_above_the_variant_limit(spark, tmp_path):
+    with open(tmp_path / "big.json", "w", encoding="utf-8") as file:
+        file.write("[")
+        for k in range(1400):
+            file.write(("," if k else "") + json.dumps({"thread_id": k, "comments": [{"body": "x" * 100 * 1024}], "mood": k}) + "\n")
+        file.write("]")
+    read = threads.read_threads(spark, str(tmp_path))
+    found = read.select(F.count("*"), F.countDistinct("thread_id"), F.sum(F.length(F.col("comments")[0]["body"])), F.count("extra")).first()
+    assert tuple(found) == (1400, 1400, 1400 * 100 * 1024, 1400)
+    assert threads.unreadable_files(spark, str(tmp_path)).count() == 0
+
+
+def test_clean_files_names_what_it_cannot_read(spark, tmp_path):
+    source, out = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    bad = {"bad.json": '[{"a":', "object.json": '{"a": 1}', "two.json": '[{"a": 1}]\n[{"b": 2}]', "twice.json": '[1], [2]', "tail.json": "[1] x", "key.json": '[{"a": 1, "a": 2}, 3]'}
+    for name, text in bad.items():
+        land(source, name, text)
+    land(source, "a.json", THREADS)
+    land(source, "odd.json", "\ufeff" + json.dumps([None, [1], {"comments": [{"body": "x"}]}], indent=2))
+    land(source, "none.json", " [ ] ")
+    counts = clean_files(spark, str(source), str(out) + "/")
+    assert {r.file_name: r.comments for r in counts.collect()} == {"a.json": 2, "odd.json": 1}
+    lost = spark.read.parquet(f"{out}_quarantine").collect()
+    assert {r.path.rsplit("/", 1)[1]: r.text for r in lost} == bad
+    assert {r.path.rsplit("/", 1)[1] for r in lost if r.reason == "no list"} == {"object.json"}
+
+
+def test_clean_files_keeps_broken_lines(spark, tmp_path):
+    source, out = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    land(source, "a.json", "\n".join(map(json.dumps, THREADS)) + "\n{broken\n")
+    clean_files(spark, str(source), str(out), json_lines=True)
+    assert [(r.reason, r.text) for r in spark.read.parquet(f"{out}_quarantine").collect()] == [("unreadable", "{broken")]
+
+
 def test_issues(spark, tmp_path):
     good = {
         "id": 1, "number": 2, "html_url": "u", "title": "t", "user": {"login": "ann"}, "state": "open", "body": None,

@@ -14,46 +14,46 @@ _KNOWN = (
 )
 
 
+def _array_files(spark: SparkSession, path: str) -> DataFrame:
+    """(document, text) of every array file (UTF-8): its elements, each a VARIANT of its
+    own, so a file has no such limit. ``document`` is NULL where the text is not one list
+    or an element of it can't be read."""
+    texts = spark.read.text(path, wholetext=True, pathGlobFilter="*.json").where(~F.col("_metadata.file_name").like(_CLEANED))
+    text = F.regexp_replace("value", "^\ufeff", "")
+    # In one more pair of brackets, or what follows the first list would be ignored.
+    roots = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<array<variant>>")
+    files = texts.select(roots.alias("roots"), text.alias("text"), "_metadata.file_name", "_metadata.file_path")
+    list_ = F.get("roots", F.lit(0))
+    whole = (F.size("roots") == 1) & ~F.exists(list_, lambda element: element.isNull())
+    return files.select(F.when(whole, list_).alias("document"), "text", "file_name", "file_path")
+
+
 def read_records(spark: SparkSession, path: str, json_lines: bool = False) -> DataFrame:
     """Every record of every ``*.json`` file that is not a cleaned copy, as VARIANT.
 
     VARIANT takes records of any shape, so one odd record cannot spoil its file. A JSON
-    array file is one value and cannot be split: land large feeds as JSON lines.
+    array file is read in one task and cannot be split: land large feeds as JSON lines.
     """
-    files = (
-        spark.read.option("singleVariantColumn", "record")
-        .option("multiLine", not json_lines)
-        .option("pathGlobFilter", "*.json")
-        .json(path)
-        .where(~F.col("_metadata.file_name").like(_CLEANED))
-        .select("record", "_metadata.file_name")
-    )
     if json_lines:
-        return files
-    return (
-        files.where(F.schema_of_variant("record").startswith("ARRAY"))
-        .withColumnRenamed("record", "document")
-        .lateralJoin(spark.tvf.variant_explode(F.col("document").outer()))
-        .select(F.col("value").alias("record"), "file_name", "pos")
-    )
+        return (
+            spark.read.option("singleVariantColumn", "record")
+            .option("pathGlobFilter", "*.json")
+            .json(path)
+            .where(~F.col("_metadata.file_name").like(_CLEANED))
+            .select("record", "_metadata.file_name")
+        )
+    files = _array_files(spark, path)
+    return files.select("file_name", F.posexplode("document").alias("pos", "record")).select("record", "file_name", "pos")
 
 
 def unreadable_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, reason) of the array files that :func:`read_records` can't take records from:
-    broken JSON or more than one VARIANT holds ("unreadable"), or a root that is no list.
-    A feed that has such files is not whole; land large ones as JSON lines."""
-    files = (
-        spark.read.option("singleVariantColumn", "record")
-        .option("multiLine", True)
-        .option("pathGlobFilter", "*.json")
-        .json(path)
-        .where(~F.col("_metadata.file_name").like(_CLEANED))
-    )
-    kind = F.schema_of_variant("record")
-    bad = files.select(F.col("_metadata.file_path").alias("path"), kind.alias("kind"))
-    bad = bad.where(F.col("kind").isNull() | ~F.startswith("kind", F.lit("ARRAY")))
-    reason = F.when(F.col("kind").isNull() | (F.col("kind") == "VOID"), "unreadable").otherwise("no list")
-    return bad.select("path", reason.alias("reason"))
+    """(path, reason, text) of the array files that :func:`read_records` can't take records
+    from: broken JSON or an element that no VARIANT holds ("unreadable"), or a root that is
+    no list. A feed that has such files is not whole."""
+    bad = _array_files(spark, path).where(F.col("document").isNull())
+    no_list = F.try_parse_json("text").isNotNull() & ~F.startswith(F.ltrim("text"), F.lit("["))
+    reason = F.when(no_list, "no list").otherwise("unreadable")
+    return bad.select(F.col("file_path").alias("path"), reason.alias("reason"), "text")
 
 
 def unreadable_lines(spark: SparkSession, path: str) -> DataFrame:
