@@ -265,3 +265,78 @@ def test_pipeline(spark, sf, tmp_path):
         assert docs_out.columns == docs.columns and 0 < docs_out.count()
         docs = docs_out
     assert hashlib and corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_pipeline_equals_plain_statements(spark, tmp_path):
+    """Ids and texts after every stage, one stage on what the one before it left."""
+    from collections import Counter
+    from math import exp
+
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    own = random.Random(11)
+
+    def cut(words, width):
+        return "\n".join(" ".join(words[k : k + width]) for k in range(0, len(words), width))
+
+    texts = []
+    for k in range(24):
+        words = [f"{own.choice('abcdefgh')}{own.randrange(500)}" for _ in range(own.randint(55, 140))]
+        near = words[:-1] + ["other"]
+        texts += ["home\n" + cut(words, 9) + "\nread more", " ".join(words), cut(near, 10 + k % 3), cut(words[:20], 9)]
+    texts += [texts[0], texts[1], None, "", "home", "a b c " * 40, "é 漢字\n" + " ".join(f"q{k}" for k in range(60))]
+    rows = [(3 * k, t, "en", ["s", "t", None][k % 7 % 3], len(t or "")) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0), (3, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages, sf = dict(corpus_pipeline.STAGES), str(tmp_path)
+
+    def step(name, docs):
+        path = f"{tmp_path}/{name}"
+        stages[name](spark, docs, sf).write.parquet(path)
+        docs = spark.read.parquet(path)
+        return docs, sorted(map(tuple, docs.collect()), key=str)
+
+    docs, got = step("quality rules", spark.read.parquet(f"{sf}/documents.parquet"))
+    want = [r for r in rows if not brute.quality_counts(r[1])[5]]
+    assert got == sorted(want, key=str) and len(want) < len(rows)
+
+    docs, got = step("line dedup", docs)
+    goes, left = brute.similar_lines([r[:2] for r in want], 80, 100, 1), []
+    for i, text, lang, source, n in want:
+        gone = set(goes.get(i, ()))
+        text = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)
+        if not gone or brute.words(text):
+            left.append((i, text, lang, source, len(text) if gone else n))
+    assert got == sorted(left, key=str) and len(left) < len(want)
+
+    docs, got = step("shingle join", docs)
+    found = brute.shingle_join([r[:2] for r in left], 5, 80, 100)
+    stay = [r for r in left if found[r[0]][1] == r[0]]
+    assert got == sorted(stay, key=str) and len(stay) < len(left)
+
+    docs, got = step("mixing", docs)
+    sizes, mix = Counter(r[3] for r in stay), []
+    for r in stay:
+        mean = len(stay) / len(sizes) / sizes[r[3]]
+        u = int(hashlib.md5(f"1|1|{r[0]}".encode()).hexdigest()[:13], 16) / 16**13
+        n, p, total = 0, exp(-mean), exp(-mean)
+        while total <= u:
+            n += 1
+            p *= mean / n
+            total += p
+        mix += [r] * n
+    assert got == sorted(mix, key=str) and max(Counter(mix).values()) > 1
+
+    docs, got = step("packing", docs)
+    assert docs.columns == ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    pieces, begun = [], Counter()
+    for i, start, length, crc, n, seq, offset in docs.select("doc_id", "start", "length", packing.piece_digest(), "doc_tokens", "sequence_id", "offset").orderBy("sequence_id", "offset").collect():
+        begun[i] += start == 0
+        pieces.append(((i, begun[i]), start, length, crc, n, seq, offset))
+    copies, again = [], Counter()
+    for r in mix:
+        again[r[0]] += 1
+        copies.append(((r[0], again[r[0]]), r[1]))
+    encode = Tokenizer.from_file(public_tokenizers.path(queries.WORD_BPE)).encode
+    brute.packed(copies, lambda t: encode(t, add_special_tokens=False).ids, 1, 2048, pieces)
