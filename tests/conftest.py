@@ -5,9 +5,9 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from voxmill.session import build_session  # noqa: E402
+from support import SMALL  # noqa: E402
 
-SMALL = "/root/testdata/sf0.001"
+from voxmill.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -30,7 +30,3 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return SMALL
-
-
-def plan_of(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()

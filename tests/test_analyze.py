@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 import pytest
-from conftest import plan_of
+from support import plan_of
 
 from voxmill.operators import analyze, report
 

@@ -2,7 +2,7 @@
 
 from html.parser import HTMLParser
 
-from conftest import SMALL
+from support import SMALL
 from pyspark.sql import functions as F
 from test_text import apply
 

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import plan_of
+from support import plan_of
 from pyspark.sql import functions as F
 
 from voxmill import vocab

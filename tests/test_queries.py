@@ -2,7 +2,7 @@
 
 import __spark_entry__ as driver
 import pytest
-from conftest import SMALL, plan_of
+from support import SMALL, plan_of
 
 from workload import all_queries, all_sql
 from workload.compare import connect, difference

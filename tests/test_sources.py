@@ -3,7 +3,7 @@
 import datetime as dt
 import json
 
-from conftest import plan_of
+from support import plan_of
 from pyspark.sql import functions as F
 
 from voxmill import schemas
