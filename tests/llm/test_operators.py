@@ -116,7 +116,7 @@ def test_signatures_lose_no_pair(num):
 def test_lines(spark, odd):
     words = [f"v{k}" for k in range(60)]
     texts = TEXTS + ["\n".join(" ".join(rng.sample(words[k : k + 14], 12)) for k in range(0, 40, 4)) for _ in range(12)]
-    goes = brute.similar_lines(list(enumerate(texts)), 80, 100, 5)
+    goes = brute.similar_lines(list(enumerate(texts)), 80, 100, 1)
     found = line_dedup.drop_similar_lines(table(spark, texts))
     assert set(TEXT_COLUMNS) <= set(found.columns)
     for i, text, n in found.select("doc_id", "text", "n_lines_gone").collect():
@@ -219,6 +219,24 @@ def test_packing(spark, odd, empty, repeated):
     assert packing.pack(repeated, path).agg(F.sum("length")).first()[0] > 0
 
 
+def test_words_of_all_scripts_have_the_tokenizers_ids():
+    """Letters that turn into a letter and a mark take the punctuation along."""
+    from struct import unpack
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(queries.WORD_BPE)
+    encode, words = Tokenizer.from_file(path).encode, packing.words_of(path)
+    letters = [c for c in map(chr, [*range(0x41, 0x3000), *range(0xA000, 0xAC00), *range(0xF900, 0xFE00), *range(0x10000, 0x11000)]) if c.isalpha()]
+    marks = [chr(c) for c in (0x300, 0x301, 0x307, 0x345, 0x5BC, 0x93C)]
+    own = ["\u0130,", "A\u0130.", "\u092a\u095d,", "\ufb2a,", "\u0130", "e\u0301!", "\u03a3.", "\u1e9e?"]
+    own += [c + "," for c in letters]
+    own += ["".join(rng.choices(letters, k=rng.randint(1, 4))) + rng.choice(["", "", rng.choice(marks)]) + "".join(rng.choices(".,;:!?", k=rng.randint(0, 2))) for _ in range(20_000)]
+    for word in own:
+        found = words[word.encode()]
+        assert list(unpack(f"<{len(found) // 4}I", found)) == encode(word, add_special_tokens=False).ids, word
+
+
 def test_token_counts_equal_the_tokenizers(spark, odd):
     from tokenizers import Tokenizer, models
 
