@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import embedding_dedup, line_dedup, mixing, packing, phrase_dedup, quality, shingle_join, suffix_dedup, token_count, url_filter
+from voxmill.llm import embedding_dedup, line_dedup, mixing, packing, phrase_dedup, quality, shingle_join, spelling, suffix_dedup, token_count, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,6 +93,10 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", packing.piece_digest().alias("ids_crc32"), "doc_tokens", "sequence_id", F.col("offset"))
 
 
+def op13_spelling_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.group_spellings(table(spark, sf, "documents"), drop_every=31)
+
+
 def all_queries() -> dict[str, Query]:
     return {name: run for name, run in globals().items() if name.startswith("op") and callable(run)}
 
