@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from voxmill import vocab
 from voxmill.operators import items
+from voxmill.operators.numbering import running_sums, sums_before
 
 SCHEMA = (
     "pos bigint, thread_id string, source string, sentiment string, priority string, user_type string,"
@@ -42,7 +43,7 @@ def test_sums_before(spark, spread):
     positions = rng.sample(range(0, 300 * spread, spread), 200)
     rows = [(g, p, rng.randint(0, 9)) for g in ("a", "b") for p in positions]
     frame = spark.createDataFrame(rows, "g string, p bigint, w bigint").repartition(5)
-    out = items.sums_before(frame, "p", {"before": F.col("w"), "rank": F.lit(1)}, by=["g"])
+    out = sums_before(frame, "p", {"before": F.col("w"), "rank": F.lit(1)}, by=["g"])
     expected = {}
     for group in ("a", "b"):
         total = 0
@@ -56,6 +57,46 @@ def test_sums_before(spark, spread):
         assert {(r.before_total, r.rank_total) for r in rows_ if r.g == group} == {(total, 200)}
 
 
+def test_sums_before_of_hashed_positions(spark):
+    """62-bit hashes as positions, one group with nearly all rows; ranges split it."""
+    rng = random.Random(62)
+    rows = [("hot" if k % 50 else f"g{k}", rng.getrandbits(62), rng.randint(0, 9), "wide " * 3) for k in range(3000)]
+    frame = spark.createDataFrame(rows, "g string, p bigint, w bigint, body string").repartition(7)
+    out = sums_before(frame, "p", {"before": F.col("w"), "rank": F.lit(1)}, by=["g"])
+    want, sums = {}, {}
+    for g, p, w, _ in sorted(rows):
+        total, rank = sums.get(g, (0, 0))
+        want[g, p] = (total, rank)
+        sums[g] = (total + w, rank + 1)
+    got = out.collect()
+    assert {(r.g, r.p): (r.before, r["rank"]) for r in got} == want and len(got) == 3000
+    assert {(r.g, r.before_total, r.rank_total) for r in got} == {(g, *t) for g, t in sums.items()}
+
+
+def test_only_range_totals_meet_in_one_task(spark, tmp_path, capsys):
+    """No group: the rows are windowed by range, and the wide column stays where it is."""
+    frame = spark.range(20_000).select(F.xxhash64("id").bitwiseAND(F.lit(2**62 - 1)).alias("p"), F.repeat(F.lit("x"), 200).alias("body"))
+    frame.repartition(8).write.parquet(f"{tmp_path}/wide")
+    out = sums_before(spark.read.parquet(f"{tmp_path}/wide"), "p", {"rank": F.lit(1)})
+    plan = plan_of(out)
+    single = plan.index("Exchange SinglePartition")
+    assert plan.count("Exchange SinglePartition") == 1
+    assert plan[single:].lstrip().split("\n")[1].strip(" +-:*()0123456789").startswith("HashAggregate")
+    assert "BroadcastHashJoin" in plan and "body" not in "".join(line for line in plan.split("\n") if "Exchange" in line)
+    ranks = [r[0] for r in out.orderBy("p").select("rank").collect()]
+    assert ranks == list(range(20_000))
+
+
+def test_running_sums_of_ties_and_nulls(spark):
+    frame = spark.createDataFrame([(None, 1, 2), (None, 1, 2), (None, None, 5), ("a", 3, 1)], "g string, p int, w bigint")
+    out = running_sums(frame, ["p"], {"before": F.col("w")}, ["g"])
+    assert sorted(map(str, out.collect())) == sorted([
+        "Row(g=None, p=None, w=5, before=0, before_total=9)", "Row(g=None, p=1, w=2, before=5, before_total=9)",
+        "Row(g=None, p=1, w=2, before=7, before_total=9)", "Row(g='a', p=3, w=1, before=0, before_total=1)",
+    ])
+    assert running_sums(frame.limit(0), ["p"], {"before": F.col("w")}, ["g"]).count() == 0
+
+
 @pytest.mark.parametrize("sizes", [[(25, 26)], [(1, 0), (24, 51), (None, 1), (30, None)], [(0, 0)]])
 def test_batches(spark, sizes):
     positions = [7 * 2**40 - 2**13 * i for i in range(len(sizes))]  # backwards and far apart

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxmill import vocab
 from voxmill.functions.scalars import floor_divide
+from voxmill.operators.numbering import sums_before
 
 METADATA = ("thread_id", "source", "sentiment", "priority", "user_type")
 # A list position is an INT, so one thread's items fit into this span.
 _LIST_SPAN = 2**31
-# Sizes, as powers of two, of the blocks that positions are cut into.
-_BLOCKS = (12, 32)
 
 
 # -- nested comments (ARR2, FLT5, PRJ6) -------------------------------------
@@ -81,70 +78,6 @@ def explode_items(threads: DataFrame, thread_pos: str | None = None) -> DataFram
 # -- dense numbering (ARR3) -------------------------------------------------
 
 
-def sums_before(
-    df: DataFrame, position: str, weights: Mapping[str, Column], by: Sequence[str] = ()
-) -> DataFrame:
-    """For every row the sum of ``weights`` over the rows before it.
-
-    ``position`` is a non-negative BIGINT, unique within ``by``; the columns of ``by``
-    hold no NULL. Positions are cut into blocks of 2^12 and those into blocks of 2^20
-    blocks; totals go up and offsets come down this fixed tree. So a task sorts at most
-    4,096 rows of a group at a time, or a million block totals, and no group is walked as
-    a whole, however many rows there are.
-
-    Each weight's total within ``by`` is added too, as ``<name>_total``.
-    """
-    by, names = list(by), list(weights)
-    top = len(_BLOCKS)
-
-    def block(level: int) -> str:
-        return f"_block{level}"
-
-    def block_of(number: str, bits: int) -> Column:
-        # Never NULL, so joins add no filters and all branches share one shuffle.
-        return F.coalesce(F.shiftright(number, bits), F.lit(-1))
-
-    def summed(frame: DataFrame, level: int) -> DataFrame:
-        sums = (F.sum(f"_w_{n}").alias(f"_w_{n}") for n in names)
-        return frame.groupBy(*by, block(level)).agg(*sums)
-
-    def with_offsets(frame: DataFrame, within: list[str], order: str, base: bool) -> DataFrame:
-        window = (
-            Window.partitionBy(*by, *within)
-            .orderBy(order)
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        offsets = []
-        for n in names:
-            before = F.coalesce(F.sum(f"_w_{n}").over(window), F.lit(0))
-            offsets.append((before + F.col(f"_base_{n}") if base else before).alias(f"_off_{n}"))
-        return frame.select("*", *offsets)
-
-    def as_base(frame: DataFrame, level: int) -> DataFrame:
-        bases = (F.col(f"_off_{n}").alias(f"_base_{n}") for n in names)
-        return frame.select(*by, block(level), *bases, *(f"{n}_total" for n in names))
-
-    rows = df.select("*", *(w.alias(f"_w_{n}") for n, w in weights.items()))
-    rows = rows.withColumn(block(1), block_of(position, _BLOCKS[0]))
-    totals = {1: summed(rows, 1)}
-    for level in range(2, top + 1):
-        bits = _BLOCKS[level - 1] - _BLOCKS[level - 2]
-        totals[level - 1] = totals[level - 1].withColumn(
-            block(level), block_of(block(level - 1), bits)
-        )
-        totals[level] = summed(totals[level - 1], level)
-
-    whole = Window.partitionBy(*by)
-    roots = totals[top].select("*", *(F.sum(f"_w_{n}").over(whole).alias(f"{n}_total") for n in names))
-    above = as_base(with_offsets(roots, [], block(top), False), top)
-    for level in range(top - 1, 0, -1):
-        joined = totals[level].join(above, [*by, block(level + 1)])
-        above = as_base(with_offsets(joined, [block(level + 1)], block(level), True), level)
-    result = with_offsets(rows.join(above, [*by, block(1)]), [block(1)], position, True)
-    found = (F.col(f"_off_{n}").alias(n) for n in names)
-    return result.select(*df.columns, *found, *(f"{n}_total" for n in names))
-
-
 def batched_items(
     threads: DataFrame, thread_pos: str, batch_size: int = vocab.BATCH_SIZE
 ) -> DataFrame:
