@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import embedding_dedup, line_dedup, mixing, packing, phrase_dedup, quality, shingle_join, spelling, suffix_dedup, token_count, url_filter
+from voxmill.llm import embedding_dedup, line_dedup, mixing, packing, phrase_dedup, prefix_trie, quality, shingle_join, spelling, suffix_dedup, token_count, url_filter
+from voxmill.session import stored_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,6 +94,12 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", packing.piece_digest().alias("ids_crc32"), "doc_tokens", "sequence_id", F.col("offset"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    turns = stored_once(prefix_trie.ordered_turns(table(spark, sf, "conversations")), "turns")
+    conv_ids = turns.filter("place = 0").select("conv_id")
+    return prefix_trie.prefix_trie(stored_once(prefix_trie.spliced(turns), "spliced"), conv_ids)
+
+
 def op13_spelling_groups(spark: SparkSession, sf: str) -> DataFrame:
     return spelling.group_spellings(table(spark, sf, "documents"), drop_every=31)
 
