@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import embedding_dedup, line_dedup, mixing, packing, phrase_dedup, prefix_trie, quality, shingle_join, spelling, suffix_dedup, token_count, url_filter
+from voxmill.llm import embedding_dedup, line_dedup, mixing, packing, phrase_dedup, prefix_trie, quality, shingle_join, spelling, suffix_dedup, token_count, toxicity, url_filter
 from voxmill.session import stored_once
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +94,13 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", packing.piece_digest().alias("ids_crc32"), "doc_tokens", "sequence_id", F.col("offset"))
 
 
+def op11_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = toxicity.learn(docs, labels.filter(~toxicity.held_out(F.col("doc_id"))))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
     turns = stored_once(prefix_trie.ordered_turns(table(spark, sf, "conversations")), "turns")
     conv_ids = turns.filter("place = 0").select("conv_id")
