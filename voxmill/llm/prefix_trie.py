@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -115,45 +115,47 @@ def _nodes(blocks: DataFrame, conv_ids: DataFrame) -> DataFrame:
     return root.unionByName(alone).unionByName(merged)
 
 
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows in batches, full at so many rows or so many characters of their last column."""
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if len(held) >= 4096 or size >= 1 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns))
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted (id1, id2, conv_id) to (id1, id2, first, part): ids side by side, joined."""
-    key, held = None, []
 
-    def done() -> pa.RecordBatch:
-        part = ",".join(map(str, held))
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*key, held[0], part), (*[pa.int64()] * 3, pa.string()))], names=[*_ID, "first", "part"])
+    def parts() -> Iterator[tuple]:
+        for one, rows in groupby(_rows(batches), lambda r: r[:2]):
+            while held := [r[2] for r in islice(rows, CHUNK)]:
+                yield (*one, held[0], ",".join(map(str, held)))
 
-    for batch in batches:
-        rows = zip(*(c.to_pylist() for c in batch.columns))
-        for one, of_one in groupby(rows, lambda r: r[:2]):
-            for row in of_one:
-                if held and (one != key or len(held) >= CHUNK):
-                    yield done()
-                    held = []
-                key = one
-                held.append(row[2])
-    if held:
-        yield done()
+    return _batches(parts(), pa.schema([("id1", pa.int64()), ("id2", pa.int64()), ("first", pa.int64()), ("part", pa.string())]))
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted chunks to (id1, id2, ends_sha256), one chunk in memory at a time."""
-    key, digest = None, None
+    """Sorted chunks to (id1, id2, ends_sha256); a node's chunks are hashed as they come."""
 
-    def done() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*key, digest.hexdigest()), (pa.int64(), pa.int64(), pa.string()))], names=[*_ID, "ends_sha256"])
+    def digests() -> Iterator[tuple]:
+        for one, rows in groupby(_rows(batches), lambda r: r[:2]):
+            digest = hashlib.sha256(next(rows)[3].encode())
+            for row in rows:
+                digest.update(b"," + row[3].encode())
+            yield (*one, digest.hexdigest())
 
-    for batch in batches:
-        for id1, id2, _, part in zip(*(c.to_pylist() for c in batch.columns)):
-            if key == (id1, id2):
-                digest.update(b",")
-            else:
-                if key is not None:
-                    yield done()
-                key, digest = (id1, id2), hashlib.sha256()
-            digest.update(part.encode())
-    if key is not None:
-        yield done()
+    return _batches(digests(), pa.schema([("id1", pa.int64()), ("id2", pa.int64()), ("ends_sha256", pa.string())]))
 
 
 def _ends(ends: DataFrame) -> DataFrame:
