@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxmill import schemas, vocab
+from voxmill.sources.arrays import read_array_elements
 
 _CLEANED = r"%\_cleaned.json"
 _KNOWN = (
@@ -28,12 +29,15 @@ def _array_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.when(whole, list_).alias("document"), "text", "file_name", "file_path")
 
 
-def read_records(spark: SparkSession, path: str, json_lines: bool = False) -> DataFrame:
+def read_records(spark: SparkSession, path: str, json_lines: bool = False, split: bool = False) -> DataFrame:
     """Every record of every ``*.json`` file that is not a cleaned copy, as VARIANT.
 
     VARIANT takes records of any shape, so one odd record cannot spoil its file. A JSON
-    array file is read in one task and cannot be split: land large feeds as JSON lines.
+    array file is read in one task, up to 2 GB. With ``split`` it is cut between its elements
+    and read by many, whatever its size, for a few passes more: the choice for large files.
     """
+    if split and not json_lines:
+        return read_array_elements(spark, path, _CLEANED)[0]
     if json_lines:
         return (
             spark.read.option("singleVariantColumn", "record")
@@ -110,8 +114,8 @@ def as_threads(records: DataFrame) -> DataFrame:
     )
 
 
-def read_threads(spark: SparkSession, path: str, json_lines: bool = False) -> DataFrame:
-    return as_threads(read_records(spark, path, json_lines))
+def read_threads(spark: SparkSession, path: str, json_lines: bool = False, split: bool = False) -> DataFrame:
+    return as_threads(read_records(spark, path, json_lines, split))
 
 
 def read_analysed(spark: SparkSession, path: str, json_lines: bool = False) -> DataFrame:
