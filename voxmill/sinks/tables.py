@@ -3,31 +3,20 @@ run that dies in between repeats work but loses nothing."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.operators.ledger import not_in_ledger
-from voxmill.operators.select import first_per_key
+from voxmill.sinks.commits import append_once, read_committed, read_if_there
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at ``path``, or None before the first write."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
-def new_rows(df: DataFrame, path: str, keys: Sequence[str], *order: str) -> DataFrame:
-    """Rows whose key is neither stored yet nor repeated within ``df``."""
-    rows = first_per_key(df, keys, *order) if order else df.dropDuplicates(list(keys))
-    before = stored(df.sparkSession, path)
-    return rows if before is None else not_in_ledger(rows, before, keys)
+    """The table at ``path``, with or without commits, or None before the first write."""
+    if read_if_there(spark, f"{path}/log", "n_rows bigint") is None:
+        return read_if_there(spark, path)
+    return read_committed(spark, path)
 
 
 def append_new(
@@ -37,20 +26,16 @@ def append_new(
     *order: str,
     partition_by: str | None = "source",
     prepare: Callable[[DataFrame], DataFrame] | None = None,
+    commit: str | None = None,
 ) -> bool:
-    """Append what is new (SNK1). Nothing is written where nothing is new.
+    """Append what is new (SNK1), as one commit; says whether anything was.
 
-    The look for new rows reads the key columns only. Costly work belongs into
-    ``prepare``: it runs on the new rows alone, and once.
+    Rows that lack part of their key are told apart by all they have. The look for new rows
+    reads key digests only. Costly work belongs into ``prepare``: it runs on the new rows
+    alone, and once. With a ``commit`` of its own a run that is repeated adds nothing.
     """
-    rows = new_rows(df, path, keys, *order)
-    if rows.select(*keys).isEmpty():
-        return False
-    if prepare is not None:
-        rows = prepare(rows)
-    writer = rows.write.mode("append")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return True
+    parts = (partition_by,) if partition_by else ()
+    return append_once(df, path, commit or uuid.uuid4().hex, keys, *order, partition_by=parts, prepare=prepare) > 0
 
 
 def write_cleaned(threads: DataFrame, path: str, fmt: str = "json") -> None:

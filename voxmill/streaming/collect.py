@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from voxmill.sinks.tables import append_new
+from voxmill.sinks.commits import append_once, read_if_there
 
 
 def landed(
@@ -33,13 +34,18 @@ def collect(
 ) -> StreamingQuery:
     """Write rows whose key the sink does not hold yet; drain what has landed and stop.
 
-    The sink itself is the memory of what was collected, so there is no state that grows
-    inside the query. A batch that is run again after a failure finds its rows in the
-    sink and adds nothing. ``prepare``, cleaning for one, sees the new rows only.
+    Every batch is one commit, named after the checkpoint and the batch. A batch that died
+    anywhere is run again by Spark under its number: if its commit is there nothing happens,
+    else its own leftovers are written over. What was collected before is looked up in the
+    sink's index of key digests, not in the sink, so there is no state inside the query
+    and a new checkpoint on an old sink adds nothing twice. ``prepare``, cleaning for one,
+    sees the new rows only and keeps the digest columns.
     """
+    run = _run_name(stream.sparkSession, checkpoint)
+    parts = (partition_by,) if partition_by else ()
 
-    def write(batch: DataFrame, _: int) -> None:
-        append_new(batch, sink, keys, *order, partition_by=partition_by, prepare=prepare)
+    def write(batch: DataFrame, number: int) -> None:
+        append_once(batch, sink, f"{run}-{number}", keys, *order, partition_by=parts, prepare=prepare)
 
     return (
         stream.writeStream.foreachBatch(write)
@@ -49,6 +55,16 @@ def collect(
     )
 
 
+def _run_name(spark: SparkSession, checkpoint: str) -> str:
+    """A name kept inside the checkpoint: a new one there starts a new count of batches."""
+    path = f"{checkpoint}/run"
+    kept = read_if_there(spark, path, "run string")
+    if kept is None:
+        spark.createDataFrame([(uuid.uuid4().hex,)], "run string").coalesce(1).write.parquet(path)
+        kept = spark.read.parquet(path)
+    return kept.first()["run"]
+
+
 def collect_within(
     stream: DataFrame, sink: str, checkpoint: str, keys: Sequence[str], event_time: str, delay: str
 ) -> StreamingQuery:

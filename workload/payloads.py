@@ -295,7 +295,7 @@ def str1(spark, sf):
 
     def prepare(new):
         cleaned = clean_text(body, product=views.PRODUCT)
-        return new.select("doc_id", "source", "digest", cleaned.alias("cleaned"))
+        return new.withColumn("cleaned", cleaned).drop("text", "lang", "n_chars")
 
     for _ in range(2):
         feed = streaming.landed(spark, sf, schema, "parquet", "documents.parquet")
