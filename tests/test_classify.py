@@ -45,12 +45,18 @@ def test_bad_answers_are_marked(spark):
     assert out["i4"].category is None
 
 
-def test_too_many_answers_are_dropped(spark):
+def test_too_many_answers_are_marked(spark):
+    """None is lost, and none goes to the text of another batch."""
+
     def long(texts, kind):
-        return [{"category": "Other", "confidence": "Low"}] * (len(texts) + 3)
+        return [{"category": "Other", "confidence": "Low", "reasoning": str(k), "prompt_tokens": 7} for k in range(len(texts) + 2)]
 
-    out = classify.classify_with(frame(spark, 4), long, tasks=2).collect()
-    assert len(out) == 4 and {r.status for r in out} == {"answered"} and {r.reasoning for r in out} == {None}
+    out = classify.classify_with(frame(spark, 3, ("pain_points",)), long).collect()
+    assert sorted((r.item_id or "", r.status, r.reasoning) for r in out) == [
+        ("", "surplus", "3"), ("", "surplus", "4"), ("i0", "answered", "0"), ("i1", "answered", "1"), ("i2", "answered", "2"),
+    ]
+    assert {(r.kind, r.prompt_tokens, r.completion_tokens) for r in out} == {("pain_points", 7, None)}
+    assert {r.status for r in classify.quarantined(spark.createDataFrame(out, "item_id string, kind string, text string, category string, confidence string, reasoning string, status string, prompt_tokens bigint, completion_tokens bigint")).collect()} == {"surplus"}
 
 
 def test_a_raising_classifier_fails_the_job(spark):

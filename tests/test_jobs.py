@@ -165,6 +165,48 @@ def test_feedback_job_resumes_by_id(spark, tmp_path):
     assert spark.read.parquet(f"{out}/quarantine").count() == 0
 
 
+def test_feedback_job_killed_half_way(spark, tmp_path):
+    """What was committed is not asked again; tokens are counted once, and add up."""
+    asked = spark.sparkContext.accumulator(0)
+    path = str(tmp_path / "answers")
+    frame = spark.createDataFrame([(str(t), "GitHub", "bad", "high", "dev", [f"p{t}-{k}" for k in range(6)], None, t) for t in range(8)], ANALYSED).coalesce(1)
+
+    def job(dies_after):
+        left = [dies_after]
+
+        def answer(texts, kind):
+            asked.add(len(texts))
+            return [{"text": t, "category": "Other", "confidence": "Low", "prompt_tokens": 1000, "completion_tokens": 10} for t in texts]
+
+        def ask(items):
+            if left[0] == 0:
+                raise KeyboardInterrupt
+            left[0] -= 1
+            return classify.classify_with(items, answer)
+
+        return feedback.categorise(frame, path, ask, "pos", parts=5)
+
+    with pytest.raises(KeyboardInterrupt):
+        job(3)
+    first = asked.value
+    assert 0 < first < 48 and tables.stored(spark, path).count() == first
+    assert job(-1).count() == 48 and asked.value == 48
+    assert job(-1).count() == 48 and asked.value == 48
+    facts = feedback.run_facts(spark, path).orderBy("answers").collect()
+    assert sorted(f["answers"] for f in facts) == sorted((first, 48 - first)) and {f.commits for f in facts} == {3, 2}
+    assert sum(f.prompt_tokens for f in facts) == 48_000 and float(sum(f.cost for f in facts)) == pytest.approx(48 * (1000 * 3 + 10 * 12) / 1e6)
+
+
+def test_feedback_job_and_threads_without_id(spark, tmp_path):
+    frame = spark.createDataFrame([(None, "G", "s", "high", "u", ["sync lost"], None, 1), (None, "G", "s", "high", "u", ["theme"], None, 2),
+                                   ("1", "G", "s", "high", "u", ["crash"], ["export"], 3), ("1", "G", "s", "high", "u", ["crash"], ["export"], 3)], ANALYSED)
+    done = feedback.categorise(frame, str(tmp_path / "a"), thread_pos="pos")
+    assert sorted(r.text for r in done.collect()) == ["crash", "export"]
+    assert sorted(r.pos for r in spark.read.parquet(str(tmp_path / "a_unnamed")).collect()) == [1, 2]
+    none = feedback.categorise(frame.where("false"), str(tmp_path / "b"))
+    assert none.count() == 0 and "category" in none.columns
+
+
 def test_feedback_job_with_the_lexicon(spark, tmp_path):
     frame = spark.createDataFrame([("1", "G", "s", "high", "u", ["sync lost"], ["dark theme"], 1)], ANALYSED).drop("pos")
     done = feedback.categorise(frame, str(tmp_path / "a"))

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from voxmill import vocab
 
 Lexicon = Mapping[str, Mapping[str, Sequence[str]]]
-Answer = Mapping[str, str]
+Answer = Mapping[str, str | int]
 Classifier = Callable[[list[str], str], Iterable[Answer]]
 
 # The lexicon becomes part of the plan; this many words is the most that is sensible.
@@ -77,6 +77,7 @@ def classify_by_lexicon(items: DataFrame, lexicon: Lexicon = vocab.LEXICON) -> D
 
 
 _ANSWER = ("category", "confidence", "reasoning", "status")
+_TOKENS = ("prompt_tokens", "completion_tokens")
 
 
 def classify_with(
@@ -90,35 +91,56 @@ def classify_with(
     The items keep their own columns; nothing is joined. Batches are filled across Arrow
     batches, so a task has at most one short batch per kind. An answer that echoes
     another text is marked, an item without answer stays unanswered and is retried by
-    the next run. Retries and back-off belong into ``classify``; what it raises fails
-    the task, and Spark retries that. Give ``tasks`` to spread a slow classifier over
-    more tasks than the input has partitions.
+    the next run, and an answer too many becomes a row of its own without an item. An
+    answer may name what it cost, as ``prompt_tokens`` and ``completion_tokens``. Retries
+    and back-off belong into ``classify``; what it raises fails the task, and Spark retries
+    that. Give ``tasks`` to spread a slow classifier over more tasks than the input has
+    partitions.
 
     What is sent to the workers is closed in itself: they need pandas, not this package.
     """
     if tasks is not None:
         items = items.repartition(tasks)
+    own = items.columns
     schema = T.StructType(
-        [*items.schema.fields] + [T.StructField(n, T.StringType()) for n in _ANSWER]
+        [T.StructField(f.name, f.dataType) for f in items.schema.fields]
+        + [T.StructField(n, T.StringType()) for n in _ANSWER]
+        + [T.StructField(n, T.LongType()) for n in _TOKENS]
     )
+    answer, tokens = _ANSWER, _TOKENS
+    answered_, mismatched, unanswered, surplus = ANSWERED, MISMATCHED, UNANSWERED, SURPLUS
 
     def beside(texts: list[str], replies: list[Answer]) -> list[tuple]:
-        """One answer row per text: what was replied at its place and what to make of it."""
+        """One row per text: what was replied at its place and what to make of it; then one
+        per answer that has no text."""
         rows = []
-        for text, reply in zip(texts, replies):
-            status = ANSWERED if reply.get("text", text) == text else MISMATCHED
-            rows.append((*(reply.get(f) for f in _ANSWER[:3]), status))
-        rows += [(None, None, None, UNANSWERED)] * (len(texts) - len(rows))
+        for k in range(max(len(texts), len(replies))):
+            if k >= len(replies):
+                rows.append((None, None, None, unanswered, None, None))
+                continue
+            reply = replies[k]
+            if k >= len(texts):
+                status = surplus
+            else:
+                status = answered_ if reply.get("text", texts[k]) == texts[k] else mismatched
+            rows.append((*(reply.get(f) for f in answer[:3]), status, *(reply.get(f) for f in tokens)))
         return rows
 
     def answered(rows: pd.DataFrame, kind: str) -> pd.DataFrame:
-        texts = rows["text"].tolist()
-        answers: list[tuple] = []
-        for start in range(0, len(texts), batch_size):
-            batch = texts[start : start + batch_size]
-            answers += beside(batch, list(classify(batch, kind)))
-        columns = pd.DataFrame(answers, columns=list(_ANSWER), index=rows.index, dtype=object)
-        return pd.concat([rows, columns], axis=1)
+        out = []
+        for start in range(0, len(rows), batch_size):
+            batch = rows.iloc[start : start + batch_size].reset_index(drop=True)
+            found = beside(batch["text"].tolist(), list(classify(batch["text"].tolist(), kind)))
+            columns = pd.DataFrame(found, columns=[*answer, *tokens], dtype=object)
+            for name in tokens:
+                columns[name] = columns[name].astype("Int64")
+            if len(found) > len(batch):
+                batch = batch.astype(object).reindex(range(len(found)))
+                batch = batch.where(batch.notna(), None)
+                if "kind" in own:
+                    batch["kind"] = kind
+            out.append(pd.concat([batch, columns], axis=1))
+        return pd.concat(out, ignore_index=True)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: dict[str, pd.DataFrame] = {}

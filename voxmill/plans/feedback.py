@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxmill.functions.scalars import token_cost
 from voxmill.operators import analyze, classify, report
 from voxmill.operators.items import explode_items
 from voxmill.operators.ledger import pending
+from voxmill.operators.select import first_per_key
+from voxmill.session import fresh_dir
+from voxmill.sinks import commits
 from voxmill.sinks.tables import stored, write_tables
 
 ClassifyTable = Callable[[DataFrame], DataFrame]
+#: Shares of the items that are asked for and committed one after the other.
+PARTS = 8
 
 
 def by_lexicon(items: DataFrame) -> DataFrame:
@@ -25,24 +32,68 @@ def categorise(
     path: str,
     classify_table: ClassifyTable = by_lexicon,
     thread_pos: str | None = None,
+    parts: int = PARTS,
 ) -> DataFrame:
-    """Categorise every item that has no stored answer and append the answers.
+    """Categorise every item that has no stored answer and commit the answers (SNK5, CAT1).
 
-    The classifier may be costly, so its answers go straight into a table and everything
-    else reads that. Items that got no answer are not stored: the next run asks again.
-    For a callable on texts pass
+    Open items are dealt to ``parts`` by a hash of their id, and every part is one commit:
+    a run that dies loses the answers of one part, the next run asks for the rest. Tokens
+    that the classifier names are in the same commit. Items that got no answer are not
+    stored: the next run asks again. For a callable on texts pass
     ``lambda items: classify_with(items, fn)``.
+
+    A thread that comes twice is asked for once. Threads without an id can't be told apart
+    from one another and go to ``<path>_unnamed`` instead. Without ``thread_pos`` items keep
+    a place that is made of their id, the same in every run.
     """
-    items = explode_items(threads, thread_pos)
+    spark = threads.sparkSession
+    named = F.col("thread_id").isNotNull()
+    threads.where(~named).write.mode("overwrite").parquet(f"{path.rstrip('/')}_unnamed")
+    items = explode_items(threads.where(named), thread_pos)
     if thread_pos is None:
-        # Place in scan order. Stored with the answer, so it stays what it was.
-        items = items.withColumn("item_pos", F.monotonically_increasing_id().cast("decimal(30,0)"))
-    before = stored(threads.sparkSession, path)
+        items = items.withColumn("item_pos", F.xxhash64("item_id").cast("decimal(30,0)"))
+    before = stored(spark, path)
     if before is not None:
         items = pending(items, before)
-    answers = classify_table(items)
-    answers.where(F.col("status") != classify.UNANSWERED).write.mode("append").parquet(path)
-    return stored(threads.sparkSession, path)
+    items = first_per_key(items, ["item_id"], "item_pos", "text")
+    todo = fresh_dir(spark, "open-items")
+    part = F.pmod(F.xxhash64("item_id"), F.lit(parts)).cast("int")
+    items.withColumn("_part", part).write.partitionBy("_part").parquet(todo)
+    run = uuid.uuid4().hex
+    for k in range(parts):
+        mine = commits.read_if_there(spark, f"{todo}/_part={k}")
+        if mine is not None:
+            answers = classify_table(mine)
+            commits.commit_rows(answers.where(F.col("status") != classify.UNANSWERED), path, f"{run}-{k}")
+    answers = stored(spark, path)
+    if answers is None:  # nothing was asked, or nothing answered: no rows, with their columns
+        answers = classify_table(spark.createDataFrame([], items.schema))
+    return answers
+
+
+def answer_cost(answers: DataFrame) -> Column:
+    """What one answer cost, as a decimal; NULL where the classifier named no tokens."""
+    if not {"prompt_tokens", "completion_tokens"} <= set(answers.columns):
+        return F.lit(None).cast("decimal(38,9)")
+    return token_cost(F.col("prompt_tokens"), F.col("completion_tokens")).cast("decimal(38,9)")
+
+
+def run_facts(spark: SparkSession, path: str) -> DataFrame:
+    """(run, commits, answers, prompt_tokens, completion_tokens, cost) of every run of
+    :func:`categorise` on ``path``, as committed."""
+    table = commits.read_if_there(spark, f"{path}/data")
+    log = commits.commits(spark, path)
+    if table is None or log is None:
+        return spark.createDataFrame([], "run string, commits bigint, answers bigint, prompt_tokens bigint, completion_tokens bigint, cost decimal(38,9)")
+    named = {"prompt_tokens", "completion_tokens"} <= set(table.columns)
+    tokens = [F.sum(c if named else F.lit(None).cast("bigint")).alias(c) for c in ("prompt_tokens", "completion_tokens")]
+    cost = F.sum(answer_cost(table)).cast("decimal(38,9)").alias("cost")
+    sums = table.groupBy(F.substring("commit", 2, 2**31 - 1).alias("commit")).agg(*tokens, cost)
+    run = F.regexp_replace("commit", "-[0-9]+$", "").alias("run")
+    return log.join(sums, "commit", "left").groupBy(run).agg(
+        F.count(F.lit(1)).alias("commits"), F.sum("n_rows").alias("answers"),
+        F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.sum("cost").cast("decimal(38,9)").alias("cost"),
+    )
 
 
 def write_reports(spark: SparkSession, answers: DataFrame, out: str) -> None:

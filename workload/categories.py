@@ -113,7 +113,7 @@ def cat1(spark, sf):
     items = views.exploded(spark, sf).select("item_id", "kind", "text")
     return classify.classify_with(
         items, by_length(vocab.VOCABULARY, vocab.CONFIDENCE_LEVELS)
-    ).drop("text")
+    ).drop("text", "prompt_tokens", "completion_tokens")
 
 
 def _lexicon_rows() -> str:
