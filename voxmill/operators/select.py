@@ -11,9 +11,7 @@ from pyspark.sql import functions as F
 from voxmill import vocab
 from voxmill.functions.scalars import cutoff
 
-# Up to this k Spark limits groups before the shuffle by itself
-# (spark.sql.optimizer.windowGroupLimitThreshold); beyond it groups are split in parts.
-GROUP_LIMIT = 1_000
+# Parts that every group is cut down in before its rows meet.
 GROUP_PARTS = 64
 
 
@@ -120,20 +118,21 @@ def top_per_group(
 ) -> DataFrame:
     """The ``k`` highest rows of every group, with their place.
 
-    Spark limits each group before the shuffle too, so a hot group sends at most ``k``
-    rows per task. For a large ``k`` it does not: then every group is cut down in parts
-    first, and the last step sees ``k`` rows of each part.
+    One plan for every ``k``: each group is dealt to parts by a digest of its rows, each part
+    is cut down to its own best ``k``, and only these meet. So a hot group is never sorted in
+    one task, also where ``k`` is above the number up to which Spark cuts groups before the
+    shuffle by itself. Rows that tie in everything else are told apart by the digest, so
+    the same rows win each time. Rank narrow rows; no column may be a map.
     """
-    ordering = [_column(score).desc(), *(_column(t).asc() for t in ties)]
+    digest = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))
+    ordering = [_column(score).desc(), *(_column(t).asc() for t in ties), F.col("_digest").asc()]
 
     def limited(frame: DataFrame, *within: str) -> DataFrame:
         place = F.row_number().over(Window.partitionBy(*within).orderBy(*ordering))
         return frame.withColumn("place", place).where(F.col("place") <= k)
 
-    if k > GROUP_LIMIT:
-        part = F.pmod(F.xxhash64(*map(_column, (score, *ties))), F.lit(GROUP_PARTS))
-        df = limited(df.withColumn("_part", part), group, "_part").drop("_part", "place")
-    return limited(df, group)
+    dealt = df.withColumn("_digest", digest).withColumn("_part", F.pmod("_digest", F.lit(GROUP_PARTS)))
+    return limited(limited(dealt, group, "_part").drop("place"), group).drop("_digest", "_part")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], *order: str | Column) -> DataFrame:
