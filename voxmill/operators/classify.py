@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,9 +15,6 @@ Lexicon = Mapping[str, Mapping[str, Sequence[str]]]
 Answer = Mapping[str, str | int]
 Classifier = Callable[[list[str], str], Iterable[Answer]]
 
-# The lexicon becomes part of the plan; this many words is the most that is sensible.
-MAX_LEXICON_WORDS = 10_000
-
 ANSWERED, MISMATCHED, UNANSWERED, SURPLUS = "answered", "mismatched", "unanswered", "surplus"
 ACCEPTED, QUARANTINED, PENDING = "accepted", "quarantine", "pending"
 
@@ -42,11 +39,10 @@ def classify_by_lexicon(items: DataFrame, lexicon: Lexicon = vocab.LEXICON) -> D
     """Category with the most lexicon words; ties by vocabulary order, none is "Other".
 
     Works within the row: no explode, no shuffle, no Python. The text is cut into words
-    once and reduced to the few that any category knows before they are counted.
+    once and reduced to the few that any category knows before they are counted. The words
+    become part of the plan; a lexicon that is a table is for ``classify_by_lexicon_table``.
     """
     known = {w for categories in lexicon.values() for ws in categories.values() for w in ws}
-    if len(known) > MAX_LEXICON_WORDS:
-        raise ValueError(f"lexicon has {len(known)} words, more than {MAX_LEXICON_WORDS}")
 
     def scored(kind: str) -> Column:
         order = {c: i for i, c in enumerate(vocab.VOCABULARY[kind])}
@@ -73,6 +69,38 @@ def classify_by_lexicon(items: DataFrame, lexicon: Lexicon = vocab.LEXICON) -> D
     )
 
 
+def lexicon_table(spark: SparkSession, lexicon: Lexicon) -> DataFrame:
+    """A lexicon as a table (kind, category, word)."""
+    rows = [(kind, category, word) for kind, categories in lexicon.items() for category, ws in categories.items() for word in ws]
+    return spark.createDataFrame(rows, "kind string, category string, word string")
+
+
+def classify_by_lexicon_table(items: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """The same with a lexicon of any size, as a table (kind, category, word).
+
+    Every word of an item meets the lexicon in a join by equality; Spark broadcasts it or
+    not, by its size. Hits are counted per item and category before they are shuffled, so
+    what moves then is an id, a category and a number, and no text. ``item_id``
+    is unique within a kind; repeated lines of the lexicon count once. Categories off the
+    vocabulary come after those on it, in the order of their names.
+    """
+    order = F.lit(None).cast("int")
+    for kind, names in vocab.VOCABULARY.items():
+        place = F.array_position(F.array(*map(F.lit, names)), F.col("category")).cast("int")
+        order = F.when(F.col("kind") == kind, F.when(place > 0, place)).otherwise(order)
+    known = lexicon.select("kind", "category", "word", F.coalesce(order, F.lit(2**31 - 1)).alias("order")).distinct()
+    tokens = items.select("item_id", "kind", F.explode(words(F.col("text"))).alias("word"))
+    hits = tokens.join(known, ["kind", "word"]).groupBy("item_id", "kind", "category", "order").agg(F.count(F.lit(1)).alias("score"))
+    best = hits.groupBy("item_id", "kind").agg(F.min(F.struct((-F.col("score")).alias("minus"), "order", "category")).alias("_best"))
+    score = F.coalesce(-F.col("_best.minus"), F.lit(0))
+    return items.join(best, ["item_id", "kind"], "left").select(
+        *(items[c] for c in items.columns),
+        F.coalesce("_best.category", F.lit(vocab.OTHER)).alias("category"),
+        F.when(score >= 3, "High").when(score == 2, "Medium").otherwise("Low").alias("confidence"),
+        F.concat(score.cast("string"), F.lit(" lexicon words")).alias("reasoning"),
+    )
+
+
 # -- user callable (CAT1, CAT2) ---------------------------------------------
 
 
