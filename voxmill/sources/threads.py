@@ -43,7 +43,8 @@ def read_records(spark: SparkSession, path: str, json_lines: bool = False, split
             spark.read.option("singleVariantColumn", "record")
             .option("pathGlobFilter", "*.json")
             .json(path)
-            .where(~F.col("_metadata.file_name").like(_CLEANED))
+            # A line that is no JSON is in quarantine (unreadable_lines), not a thread.
+            .where(~F.col("_metadata.file_name").like(_CLEANED) & F.col("record").isNotNull())
             .select("record", "_metadata.file_name")
         )
     files = _array_files(spark, path)

@@ -100,7 +100,7 @@ def src5(spark, sf):
       CASE WHEN page_id % 5 <> 0 THEN 'ann' ELSE 'unknown' END AS comment_author,
       strftime({START} + to_seconds(page_id * 60), {ISO}) AS comment_created,
       regexp_replace(html, '\\A\\s+|\\s+\\z', '', 'g') AS body
-    FROM pages""".replace("AS title", "AS title").replace(", url AS title", ", pages.url AS title"),
+    FROM pages""".replace(", url AS title", ", pages.url AS title"),
 )
 def src6(spark, sf):
     raw = payloads.parse_payloads(views.topic_payloads(spark, sf), "payload", schemas.TOPIC_PAYLOAD)
