@@ -42,6 +42,9 @@ HEADLINE = (
     "cat1_user_classifier",
     "cat4_lexicon",
     "cat5_analyse_threads",
+    "snk1_append_threads",
+    "snk5_resume",
+    "src1_read_threads",
     "str1_collect_stream",
     "job_collect_issues",
     "job_feedback",
