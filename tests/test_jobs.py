@@ -88,15 +88,22 @@ def issue(n, reactions, comments, state="open", pull=None, updated="2024-06-01T0
     )
 
 
+def lines(spark, texts):
+    return spark.createDataFrame([(t,) for t in texts], "value string")
+
+
+def ids(found):
+    return sorted(r.thread_id for r in found.threads.collect())
+
+
 def test_collect_issues(spark):
-    texts = [
+    landed = lines(spark, [
         issue(1, 9, 0), issue(2, 0, 9), issue(3, 5, 5), issue(4, 1, 1), issue(5, 50, 0, state="closed"),
         issue(6, 50, 0, pull={}), issue(7, 50, 0, updated="2023-01-01T00:00:00Z"),
-    ]
-    raw = payloads.parse_payloads(spark.createDataFrame([(t,) for t in texts], "p string"), "p", schemas.ISSUE_PAYLOAD)
+    ])
 
     def found(**kw):
-        return sorted(r.thread_id for r in payloads.sound(collect.collect_issues(raw, AS_OF, **kw)).collect())
+        return ids(collect.collect_issues(landed, AS_OF, **kw))
 
     assert found() == ["1", "2", "3", "4"]
     # Two lists of two: {1, 3} and {2, 3}; 3 leads with ten, 1 comes before 2.
@@ -105,16 +112,100 @@ def test_collect_issues(spark):
     assert found(k=2, ledger=done) == ["1"]  # not the next best instead
 
 
+def test_first_list_is_ranked_by_plus_one(spark):
+    texts = [json.loads(issue(n, total, 0)) for n, total in ((1, 50), (2, 9), (3, 8))]
+    for one, plus in zip(texts, (0, 9, 8)):
+        one["reactions"]["+1"] = plus
+    landed = lines(spark, map(json.dumps, texts))
+    assert ids(collect.collect_issues(landed, AS_OF, k=1)) == ["1"]  # first by comments: all tie, 1 comes first
+    texts[0]["comments"] = -1
+    assert ids(collect.collect_issues(lines(spark, map(json.dumps, texts)), AS_OF, k=1)) == ["2"]
+
+
+def test_a_thread_counts_once_with_its_last_version(spark):
+    """Landed twice, changed, reopened, closed: only the last version is looked at."""
+    landed = spark.createDataFrame(
+        [
+            (1, issue(1, 9, 0)), (2, issue(1, 9, 0)), (1, issue(2, 99, 0)), (2, issue(2, 1, 0)),
+            (1, issue(3, 5, 0, state="closed")), (2, issue(3, 5, 0)), (1, issue(4, 70, 0)), (2, issue(4, 70, 0, state="closed")),
+        ],
+        "value int, text string",
+    )
+    found = collect.collect_issues(landed, AS_OF, k=2, text="text", version="value")
+    assert ids(found) == ["1", "3"] and found.counts == {"landed": 8, "quarantined": 0}
+    # Without a version the last update counts.
+    again = lines(spark, [issue(1, 9, 0, updated="2024-06-02T00:00:00Z", state="closed"), issue(1, 9, 0, updated="2024-06-01T00:00:00Z")])
+    assert ids(collect.collect_issues(again, AS_OF)) == []
+
+
+def test_what_cannot_be_ranked_is_in_quarantine_before_the_ranking(spark):
+    no_author = json.loads(issue(5, 90, 0)) | {"user": None}
+    odd = json.loads(issue(6, 80, 0)) | {"comment_list": "none"}
+    texts = [issue(1, 9, 0), "{broken", None, "", "[]", '{"id": "x"}', issue(2, 1, 0, updated="soon"), json.dumps(no_author), json.dumps(odd)]
+    found = collect.collect_issues(lines(spark, texts), AS_OF, k=3)
+    assert ids(found) == ["1"] and found.counts == {"landed": 9, "quarantined": 6}
+    bad = {(r.problem, r.raw) for r in found.quarantine.collect()}
+    assert {(p, t) for p, t in bad if p in ("no author", "no time")} == {("no author", texts[7]), ("no time", texts[6])}
+    assert {t for p, t in bad if p == "unreadable"} >= {"{broken", '{"id": "x"}', texts[8]}
+    assert {t for _, t in bad} == {texts[n] for n in range(1, 9)}
+    nothing = collect.collect_issues(lines(spark, []), AS_OF)
+    assert ids(nothing) == [] and nothing.quarantine.count() == 0 and nothing.counts == {"landed": 0, "quarantined": 0}
+
+
+def test_comments_are_parsed_for_winners_only(spark, monkeypatch):
+    """The ranking's own parse knows no comments; the whole schema comes after the join."""
+    plans = []
+
+    def spy(df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return stored_once(df, name)
+
+    monkeypatch.setattr(collect, "stored_once", spy)
+    sifted = []
+    whole = payloads.sift
+
+    def sift(*args, **kw):
+        sifted.append(args[2])
+        return whole(*args, **kw)
+
+    monkeypatch.setattr(payloads, "sift", sift)
+    collect.collect_issues(lines(spark, [issue(1, 9, 0)]), AS_OF)
+    assert len(sifted) == 1 and "comment_list" not in sifted[0] and "body" not in sifted[0]
+    by_name = dict(plans)
+    assert "from_json" not in by_name["candidates"].lower().replace("jsontostructs", "from_json")
+    top, _, below = by_name["winners"].partition("Join")
+    assert "comment_list" in top and "comment_list" not in below
+
+
+def test_store_keeps_threads_quarantine_and_numbers(spark, tmp_path):
+    path = str(tmp_path / "threads")
+    landed = lines(spark, [issue(1, 9, 0), issue(2, 5, 0), "{broken"])
+    assert collect.ledger_at(spark, path) is None
+    first = collect.collect_issues(landed, AS_OF)
+    assert collect.store(first, path, "one") == 2
+    assert collect.store(first, path, "one") == 2  # run again under its name: the same numbers, nothing added
+    more = lines(spark, [issue(1, 9, 0), issue(3, 5, 0), "{broken", "{too"])
+    assert collect.store(collect.collect_issues(more, AS_OF, collect.ledger_at(spark, path)), path, "two") == 1
+    post = {"id": "a", "permalink": "/x", "title": "t", "score": 1, "num_comments": 0, "created_utc": AS_OF.timestamp()}
+    assert collect.store(collect.collect_posts(lines(spark, [json.dumps(post)]), AS_OF, collect.ledger_at(spark, path)), path, "two") == 1
+    held = tables.stored(spark, path)
+    assert sorted((r.source, r.thread_id) for r in held.collect()) == [("GitHub", "1"), ("GitHub", "2"), ("GitHub", "3"), ("Reddit", "a")]
+    assert {r.score for r in held.where("source = 'Reddit'").collect()} == {1}
+    assert sorted(r.raw for r in tables.stored(spark, f"{path}_quarantine").collect()) == ["{broken", "{too"]
+    runs = sorted((r.source, r.landed, r.quarantined, r.collected, r.stored) for r in tables.stored(spark, f"{path}_runs").collect())
+    assert runs == [("GitHub", 3, 1, 2, 2), ("GitHub", 4, 2, 1, 1), ("Reddit", 1, 0, 1, 1)]
+
+
 def test_collect_posts(spark):
     def post(n, score, comments, created):
         return json.dumps({"id": n, "permalink": "/x", "title": "t", "score": score, "num_comments": comments, "created_utc": created})
 
     recent, old = AS_OF.timestamp() - 86400, 1500000000
-    texts = [post("a", 9, 0, recent), post("b", 0, 8, recent), post("c", 99, 99, old), post("d", 1, 1, recent)]
-    raw = payloads.parse_payloads(spark.createDataFrame([(t,) for t in texts], "p string"), "p", schemas.POST_PAYLOAD)
+    texts = [post("a", 9, 0, recent), post("b", 0, 8, recent), post("c", 99, 99, old), post("d", 1, 1, recent), post("a", 9, 0, recent)]
+    landed = lines(spark, texts)
 
     def found(**kw):
-        return sorted(r.thread_id for r in payloads.sound(collect.collect_posts(raw, AS_OF, **kw)).collect())
+        return ids(collect.collect_posts(landed, AS_OF, **kw))
 
     assert found() == ["a", "b", "d"]
     assert found(k=1) == ["a"]
@@ -126,10 +217,8 @@ def test_collect_topics(spark):
         return json.dumps({"id": n, "slug": "s", "title": "t", "category_id": category, "reply_count": replies, "views": views,
                            "created_at": "2024-06-01T00:00:00Z", "post_stream": {"posts": []}})
 
-    texts = [topic(1, 5, 1, 9), topic(2, 5, 0, 25), topic(3, 7, 0, 0), topic(4, 9, 99, 0), topic(5, 5, 1, 0)]
-    raw = payloads.parse_payloads(spark.createDataFrame([(t,) for t in texts], "p string"), "p", schemas.TOPIC_PAYLOAD)
-    found = collect.collect_topics(raw, AS_OF, "https://f", k=2)
-    assert sorted(r.thread_id for r in found.collect()) == ["1", "2", "3"]
+    texts = [topic(1, 5, 1, 9), topic(2, 5, 0, 25), topic(3, 7, 0, 0), topic(4, 9, 99, 0), topic(5, 5, 1, 0), topic(2, 5, 0, 25)]
+    assert ids(collect.collect_topics(lines(spark, texts), AS_OF, "https://f", k=2)) == ["1", "2", "3"]
 
 
 ANALYSED = "thread_id string, source string, sentiment string, priority string, user_type string, pain_points array<string>, feature_requests array<string>, pos bigint"

@@ -32,10 +32,18 @@ MODEL_REPLY = "array<struct<text: string, category: string, confidence: string,
 # read are named; the reader skips the rest.
 ISSUE_PAYLOAD = (
     "id BIGINT, number BIGINT, html_url STRING, title STRING, user STRUCT<login: STRING>,"
-    " state STRING, pull_request STRING, reactions STRUCT<total_count: BIGINT>, comments BIGINT,"
+    " state STRING, pull_request STRING, reactions STRUCT<total_count: BIGINT, `+1`: BIGINT>, comments BIGINT,"
     " labels ARRAY<STRUCT<name: STRING>>, body STRING, created_at STRING, updated_at STRING,"
     " comment_list ARRAY<STRUCT<id: BIGINT, user: STRUCT<login: STRING>, created_at: STRING, body: STRING>>"
 )
+# What is ranked on: all that is parsed of a payload that does not win.
+ISSUE_RANKING = (
+    "id BIGINT, state STRING, pull_request STRING, updated_at STRING,"
+    " reactions STRUCT<total_count: BIGINT, `+1`: BIGINT>, comments BIGINT"
+)
+POST_RANKING = "id STRING, score BIGINT, num_comments BIGINT, created_utc DOUBLE"
+TOPIC_RANKING = "id BIGINT, category_id BIGINT, created_at STRING, reply_count BIGINT, views BIGINT"
+
 POST_PAYLOAD = (
     "id STRING, permalink STRING, title STRING, author STRING, score BIGINT, num_comments BIGINT,"
     " created_utc DOUBLE, selftext STRING,"

@@ -6,15 +6,22 @@ normalised is not lost; its ``problem`` says why and it goes to quarantine.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxmill import schemas, vocab
 from voxmill.functions import scalars
 from voxmill.functions.text import or_empty, strip
 from voxmill.operators.items import first_post_then_replies, with_body
+from voxmill.session import fresh_dir
 
 _CORRUPT = "_corrupt_record"
+_RAW = "_raw"
+#: Columns by which a landed text is found again.
+DIGEST = ("_text1", "_text2")
 _NO_COMMENTS = f"CAST(array() AS {schemas.COMMENTS})"
 
 
@@ -37,6 +44,71 @@ def parse_payloads(df: DataFrame, column: str, schema: str) -> DataFrame:
     return df.select(F.inline(F.array(parsed)))
 
 
+def _digests(text: str) -> list[Column]:
+    return [F.xxhash64(F.lit(seed), text).alias(name) for seed, name in enumerate(DIGEST)]
+
+
+class Sifted(NamedTuple):
+    """Landed texts after one pass: what can be ranked, what can't, and how many of each."""
+
+    sound: DataFrame
+    quarantine: DataFrame
+    counts: dict[str, int]
+
+
+def sift(landed: DataFrame, text: str, schema: str, version: str | Column | None, **checks: Column) -> Sifted:
+    """Part sound payloads from the others (SRC9), reading and parsing each text once.
+
+    ``schema`` names the few fields that are ranked on; the rest of a text is skipped over,
+    not built. Sound rows are those fields, ``version`` and a 128-bit digest of the text, by
+    which ``reread`` finds it again. The quarantine has every row that fails a check, or is
+    no JSON of that shape, with its whole text. Both lie in one stored table, in partitions
+    of their own, and are counted as they are written. ``checks`` are named after the
+    problem. No rows give empty tables.
+    """
+    spark = landed.sparkSession
+    if version is None:
+        version = F.lit(None).cast("long")
+    version = F.col(version) if isinstance(version, str) else version
+    parsed = landed.select(F.col(text).alias(_RAW), version.alias("_version")).select(
+        _RAW, "_version", F.inline(F.array(F.from_json(_RAW, f"{schema}, {_CORRUPT} STRING")))
+    )
+    problem = _problem(parsed, **checks)
+    fields = [c for c in parsed.columns if c not in (_RAW, _CORRUPT)]
+    rows = parsed.select(*fields, *_digests(_RAW), problem.alias("problem"), _RAW).select(
+        *fields, *DIGEST, "problem",
+        F.when(F.col("problem").isNotNull(), F.col(_RAW)).alias("raw"),
+        F.col("problem").isNull().alias("sound"),
+    )
+    path, seen = fresh_dir(spark, "sifted"), Observation()
+    counted = rows.observe(seen, F.count(F.lit(1)).alias("landed"), F.count("problem").alias("quarantined"))
+    counted.write.partitionBy("sound").parquet(path)
+    # With its schema given, a table without rows, and so without files, can be read too.
+    stored = spark.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])).parquet(path)
+    return Sifted(
+        stored.where("sound").select(*fields, *DIGEST),
+        stored.where("NOT sound").select(F.col("id").cast("string").alias("thread_id"), "problem", "raw"),
+        seen.get,
+    )
+
+
+def latest(sound: DataFrame, *order: str | Column) -> DataFrame:
+    """The last version of every id: by ``_version``, then ``order``, then digest. Numbers and
+    short fields move, one row per id and task, never a text."""
+    fields = [c for c in sound.columns if c != "id"]
+    at = F.struct("_version", *order, *DIGEST)
+    return sound.groupBy("id").agg(F.max_by(F.struct(*fields), at).alias("last")).select("id", "last.*")
+
+
+def reread(landed: DataFrame, text: str, winners: DataFrame, schema: str) -> DataFrame:
+    """The winners' texts, found again by digest and parsed whole, copies once. Spark picks
+    the join by the number of winners; nothing but the winners is parsed."""
+    keyed = landed.select(F.col(text).alias(_RAW), *_digests(text))
+    found = keyed.join(winners.select(*DIGEST), list(DIGEST)).dropDuplicates(list(DIGEST))
+    parsed = F.from_json(_RAW, f"{schema}, {_CORRUPT} STRING")
+    return found.select(_RAW, F.inline(F.array(parsed)))
+
+
 def _comment(comment_id: Column, author: Column, created_at: Column, body: Column) -> Column:
     return F.struct(
         comment_id.cast("string").alias("comment_id"),
@@ -60,6 +132,12 @@ def _problem(payloads: DataFrame, **checks: Column) -> Column:
     return first
 
 
+def _trace(payloads: DataFrame, problem: Column) -> list[Column]:
+    """Why a record is no thread and, where it was kept, the text it came from."""
+    kept = [F.when(problem.isNotNull(), F.col(_RAW)).alias("raw")] if _RAW in payloads.columns else []
+    return [problem.alias("problem"), *kept]
+
+
 def _replies(items: str, build) -> Column:
     return F.coalesce(F.transform(items, build), F.expr(_NO_COMMENTS))
 
@@ -97,7 +175,7 @@ def normalise_issues(payloads: DataFrame) -> DataFrame:
         F.col("number").alias("issue_number"),
         "state",
         F.transform("labels", lambda label: label["name"]).alias("labels"),
-        problem.alias("problem"),
+        *_trace(payloads, problem),
     )
 
 
@@ -136,7 +214,7 @@ def normalise_posts(payloads: DataFrame) -> DataFrame:
         first_post_then_replies(opening, replies).alias("comments"),
         "score",
         "num_comments",
-        problem.alias("problem"),
+        *_trace(payloads, problem),
     )
 
 
@@ -175,12 +253,12 @@ def normalise_topics(payloads: DataFrame, base_url: str) -> DataFrame:
         comments.alias("comments"),
         scalars.nested_or(F.col("reply_count"), 0).alias("reply_count"),
         scalars.nested_or(F.col("views"), 0).alias("views"),
-        problem.alias("problem"),
+        *_trace(payloads, problem),
     )
 
 
 def sound(normalised: DataFrame) -> DataFrame:
-    return normalised.where(F.col("problem").isNull()).drop("problem")
+    return normalised.where(F.col("problem").isNull()).drop("problem", "raw")
 
 
 def quarantine(normalised: DataFrame) -> DataFrame:

@@ -380,7 +380,10 @@ def issue_payloads(spark: SparkSession, sf: str) -> DataFrame:
             ).alias("user"),
             F.lit("open").alias("state"),
             F.when(F.pmod(doc, F.lit(13)) == 0, F.struct(F.lit("u").alias("url"))).alias("pull_request"),
-            F.struct(F.floor(F.col("n_chars") / 100).alias("total_count")).alias("reactions"),
+            F.struct(
+                F.floor(F.col("n_chars") / 100).alias("total_count"),
+                F.pmod(doc * 37, F.lit(1009)).alias("+1"),
+            ).alias("reactions"),
             (F.size(_lines()) - 1).alias("comments"),
             iso_z(_second(doc * 60)).alias("updated_at"),
             F.array(
@@ -462,6 +465,20 @@ def topic_payloads(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def landed_twice(payloads: DataFrame, count: str) -> DataFrame:
+    """Each payload (``value``) after an older one, in which ``count`` was nine digits long:
+    whoever takes the older one ranks it first."""
+    older = F.regexp_replace("payload", f'"{count}":(\\d)', f'"{count}":12345678$1')
+    return payloads.select(
+        F.inline(
+            F.array(
+                F.struct(F.lit(1).alias("landing"), older.alias("value")),
+                F.struct(F.lit(2).alias("landing"), F.col("payload").alias("value")),
+            )
+        )
+    )
+
+
 # -- nested threads ---------------------------------------------------------
 
 
