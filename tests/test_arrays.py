@@ -50,7 +50,7 @@ def test_every_element_once_and_in_order(spark, tmp_path, small_ranges):
     got, bad = found(spark, tmp_path)
     assert bad == []
     assert got == [(name, x) for name, own in sorted(lists.items()) for x in own]
-    ranges = arrays._fragments(spark, str(tmp_path), "").where(F.col("file_name") == "b.json")
+    ranges = arrays._fragments(spark, str(tmp_path)).where(F.col("file_name") == "b.json")
     assert ranges.select("start").distinct().count() > 1
 
 
@@ -83,7 +83,7 @@ def test_a_large_array_is_read_by_eight_tasks(spark, tmp_path):
         ids = records.select(F.try_variant_get("record", "$.thread_id", "string").alias("i"), F.length(F.try_variant_get("record", "$.body", "string")).alias("n"))
         assert ids.agg(F.count("i"), F.count_distinct("i"), F.min("n"), F.max("n")).first() == (n, n, len(body), len(body))
         assert bad.count() == 0
-        starts = arrays._fragments(spark, str(tmp_path), "").groupBy("start").count().collect()
+        starts = arrays._fragments(spark, str(tmp_path)).groupBy("start").count().collect()
         assert len(starts) == 8 and min(r["count"] for r in starts) > 1000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)

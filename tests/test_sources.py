@@ -82,6 +82,28 @@ def test_clean_files(spark, tmp_path):
     assert '"cleaned_body":"é"' in "".join(written)
 
 
+def test_files_are_told_apart_by_path_and_copies_are_no_input(spark, tmp_path):
+    """Two files of one name stay two, also beside their own copies, however they are read."""
+    source = tmp_path / "in_cleaned" / "x y"  # the root's own name says nothing
+    for folder, some in (("a", THREADS), ("b", THREADS[2:3]), ("b/deep", THREADS[:1])):
+        (source / folder).mkdir(parents=True)
+        land(source / folder, "t.json", some)
+    out = str(source / "done")
+    wanted = {"a/t.json": 2, "b/t.json": 1, "b/deep/t.json": 1}
+    for _ in range(2):
+        counts = clean_files(spark, str(source), out)
+        assert {r.file_name: r.comments for r in counts.collect()} == wanted
+    assert sorted(p.name for p in (source / "done").iterdir() if p.is_dir()) == [
+        f"dataset={n}%2Ft_cleaned" for n in ("a", "b%2Fdeep", "b")
+    ]
+    for kw in ({}, {"split": True}):
+        names = threads.read_threads(spark, f"file:{source}/", **kw).groupBy("file_name").count().collect()
+        assert {r.file_name: r["count"] for r in names} == {"a/t.json": 6, "b/t.json": 1, "b/deep/t.json": 1}
+    (one,) = threads.read_threads(spark, str(source / "b" / "t.json")).collect()
+    assert one.file_name == "t.json"
+    assert {r.file_name for r in threads.read_threads(spark, f"{source}/*/t.json").collect()} == {"a/t.json", "b/t.json"}
+
+
 def test_array_file_above_the_variant_limit(spark, tmp_path):
     with open(tmp_path / "big.json", "w", encoding="utf-8") as file:
         file.write("[")

@@ -186,8 +186,12 @@ def run_counters(threads: DataFrame) -> DataFrame:
     )
 
 
+def bodies(comments: Column) -> Column:
+    """The number of comments that have a body."""
+    kept = F.size(F.filter(comments, lambda c: c["body"].isNotNull()))
+    return F.greatest(F.coalesce(kept, F.lit(0)), F.lit(0)).cast("bigint")
+
+
 def comments_per_file(threads: DataFrame, file: str = "file_name") -> DataFrame:
     """Comments with a body, per input file (AGG14)."""
-    with_body = F.size(F.filter("comments", lambda c: c["body"].isNotNull()))
-    n = F.greatest(F.coalesce(with_body, F.lit(0)), F.lit(0)).cast("bigint")
-    return threads.groupBy(file).agg(F.sum(n).alias("comments"))
+    return threads.groupBy(file).agg(F.sum(bodies(F.col("comments"))).alias("comments"))

@@ -6,9 +6,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from voxmill.operators.analyze import bodies, comments_per_file
 from voxmill.sinks.commits import append_once, read_committed, read_if_there
 
 
@@ -38,10 +39,23 @@ def append_new(
     return append_once(df, path, commit or uuid.uuid4().hex, keys, *order, partition_by=parts, prepare=prepare) > 0
 
 
-def write_cleaned(threads: DataFrame, path: str, fmt: str = "json") -> None:
-    """Cleaned copies, one folder per input file, named after it (SNK2)."""
+def write_cleaned(threads: DataFrame, path: str, fmt: str = "json") -> dict[str, int]:
+    """Cleaned copies, one folder per input file, named after its path (SNK2); gives the
+    numbers of threads and of comments with a body, counted as they are written."""
     name = F.regexp_replace("file_name", r"\.json$", "_cleaned")
-    threads.withColumn("dataset", name).write.mode("overwrite").partitionBy("dataset").format(fmt).save(path)
+    seen = Observation()
+    counted = threads.withColumn("dataset", name).observe(
+        seen, F.count(F.lit(1)).alias("threads"), F.coalesce(F.sum(bodies(F.col("comments"))), F.lit(0)).alias("comments")
+    )
+    counted.write.mode("overwrite").partitionBy("dataset").format(fmt).save(path)
+    return seen.get
+
+
+def cleaned_comments(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    """(file_name, comments) of the copies at ``path``, read with nothing but bodies (AGG14)."""
+    copies = spark.read.schema("comments array<struct<body string>>, dataset string").format(fmt).load(path)
+    named = copies.withColumn("file_name", F.regexp_replace("dataset", "_cleaned$", ".json"))
+    return comments_per_file(named)
 
 
 def write_tables(tables: dict[str, DataFrame], path: str, fmt: str = "parquet") -> None:

@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from voxmill.operators.numbering import running_sums
 from voxmill.session import stored_once
+from voxmill.sources.files import json_inputs
 
 _PLACE = ["start", "at"]
 #: Elements between two objects of a file's list that a position has room for.
 _SPAN = 2**31
 
 
-def _fragments(spark: SparkSession, path: str, hidden: str) -> DataFrame:
+def _fragments(spark: SparkSession, path: str) -> DataFrame:
     """(file_path, file_name, start, at, value): files cut at every closing brace, in the byte ranges
     in which Spark deals them to tasks. ``start`` and ``at`` give their order in the file."""
-    texts = spark.read.option("lineSep", "}").text(path, pathGlobFilter="*.json").where(~F.col("_metadata.file_name").like(hidden))
-    rows = texts.select("_metadata.file_path", "_metadata.file_name", F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value")
+    texts = spark.read.option("lineSep", "}").text(path, pathGlobFilter="*.json", recursiveFileLookup=True)
+    rows = json_inputs(texts.withColumn("start", F.col("_metadata.file_block_start")), path).select("file_path", "file_name", "start", F.monotonically_increasing_id().alias("at"), "value")
     # Written, since another reading might deal other ranges.
     return stored_once(rows, "fragments")
 
@@ -51,10 +52,10 @@ def _located(fragments: DataFrame) -> DataFrame:
     return running_sums(rows, _PLACE, {"piece": F.col("ends")}, ["file_path"]).select("file_path", *_PLACE, "piece", "last", "sound")
 
 
-def _pieces(spark: SparkSession, path: str, hidden: str) -> DataFrame:
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
     """(file_path, file_name, piece, elements): every file's list in pieces that end with an
     object of it; ``elements`` is NULL where a piece can't be read."""
-    fragments = _fragments(spark, path, hidden)
+    fragments = _fragments(spark, path)
     rows = fragments.join(_located(fragments), ["file_path", *_PLACE])
     parts = rows.groupBy("file_path", "file_name", "piece").agg(
         F.sort_array(F.collect_list(F.struct(*_PLACE, "value"))).alias("parts"), F.max("last").alias("last"), F.min("sound").alias("sound")
@@ -75,15 +76,15 @@ def _pieces(spark: SparkSession, path: str, hidden: str) -> DataFrame:
     return parsed.select("file_path", "file_name", "piece", F.when(whole, list_).alias("elements"))
 
 
-def read_array_elements(spark: SparkSession, path: str, hidden: str = "") -> tuple[DataFrame, DataFrame]:
+def read_array_elements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The elements of all JSON array files (record VARIANT, file_name, pos) and the files that
-    are no sound lists (path, reason); files whose name is like ``hidden`` are passed over.
+    are no sound lists (path, reason); cleaned copies are passed over.
 
     A file is read in byte ranges of spark.sql.files.maxPartitionBytes, so its size is no
     limit, only that of one element. ``pos`` rises in file order, with gaps. A file with
     anything that can't be read gives no element: it is reported as a whole.
     """
-    pieces = stored_once(_pieces(spark, path, hidden), "pieces")
+    pieces = stored_once(_pieces(spark, path), "pieces")
     bad = pieces.where(F.col("elements").isNull()).select(F.col("file_path").alias("path")).distinct()
     sound = pieces.join(bad, pieces["file_path"] == bad["path"], "left_anti")
     records = sound.select("file_name", "piece", F.posexplode("elements").alias("nth", "record"))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from voxmill import schemas, vocab
 from voxmill.sources.arrays import read_array_elements
+from voxmill.sources.files import json_inputs
 
-_CLEANED = r"%\_cleaned.json"
+# Folders are read with all that lies below them.
+_FILES = {"pathGlobFilter": "*.json", "recursiveFileLookup": True}
 _KNOWN = (
     "source", "thread_id", "issue_id", "url", "title", "author", "created_at", "comments",
     "issue_number", "state", "labels", "score", "num_comments", "reply_count", "views",
@@ -19,34 +21,30 @@ def _array_files(spark: SparkSession, path: str) -> DataFrame:
     """(document, text) of every array file (UTF-8): its elements, each a VARIANT of its
     own, so a file has no such limit. ``document`` is NULL where the text is not one list
     or an element of it can't be read."""
-    texts = spark.read.text(path, wholetext=True, pathGlobFilter="*.json").where(~F.col("_metadata.file_name").like(_CLEANED))
+    texts = json_inputs(spark.read.text(path, wholetext=True, **_FILES), path)
     text = F.regexp_replace("value", "^\ufeff", "")
     # In one more pair of brackets, or what follows the first list would be ignored.
     roots = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<array<variant>>")
-    files = texts.select(roots.alias("roots"), text.alias("text"), "_metadata.file_name", "_metadata.file_path")
+    files = texts.select(roots.alias("roots"), text.alias("text"), "file_name", "file_path")
     list_ = F.get("roots", F.lit(0))
     whole = (F.size("roots") == 1) & ~F.exists(list_, lambda element: element.isNull())
     return files.select(F.when(whole, list_).alias("document"), "text", "file_name", "file_path")
 
 
 def read_records(spark: SparkSession, path: str, json_lines: bool = False, split: bool = False) -> DataFrame:
-    """Every record of every ``*.json`` file that is not a cleaned copy, as VARIANT.
+    """Every record of every ``*.json`` file in or below ``path`` that is no cleaned copy, as
+    VARIANT; ``file_name`` is the file's path below ``path``.
 
     VARIANT takes records of any shape, so one odd record cannot spoil its file. A JSON
     array file is read in one task, up to 2 GB. With ``split`` it is cut between its elements
     and read by many, whatever its size, for a few passes more: the choice for large files.
     """
     if split and not json_lines:
-        return read_array_elements(spark, path, _CLEANED)[0]
+        return read_array_elements(spark, path)[0]
     if json_lines:
-        return (
-            spark.read.option("singleVariantColumn", "record")
-            .option("pathGlobFilter", "*.json")
-            .json(path)
-            # A line that is no JSON is in quarantine (unreadable_lines), not a thread.
-            .where(~F.col("_metadata.file_name").like(_CLEANED) & F.col("record").isNotNull())
-            .select("record", "_metadata.file_name")
-        )
+        lines = spark.read.options(singleVariantColumn="record", **_FILES).json(path)
+        # A line that is no JSON is in quarantine (unreadable_lines), not a thread.
+        return json_inputs(lines, path).where(F.col("record").isNotNull()).select("record", "file_name")
     files = _array_files(spark, path)
     return files.select("file_name", F.posexplode("document").alias("pos", "record")).select("record", "file_name", "pos")
 
@@ -63,9 +61,9 @@ def unreadable_files(spark: SparkSession, path: str) -> DataFrame:
 
 def unreadable_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of the lines of JSON lines files that are no JSON."""
-    lines = spark.read.option("pathGlobFilter", "*.json").text(path).where(~F.col("_metadata.file_name").like(_CLEANED))
+    lines = json_inputs(spark.read.text(path, **_FILES), path)
     broken = F.try_parse_json("value").isNull() & (F.trim("value") != "")
-    return lines.where(broken).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return lines.where(broken).select(F.col("file_path").alias("path"), F.col("value").alias("text"))
 
 
 def _comment(comment: Column) -> Column:

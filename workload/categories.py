@@ -73,14 +73,21 @@ def cat3(spark, sf):
 
 @query(
     "jsn1_parse_replies",
-    f"""{ANSWERS_SQL}, counted AS (
-      SELECT kind, batch_num, count(*) FILTER (status <> 'unanswered') AS n FROM attached GROUP BY ALL)
-    SELECT kind, batch_num, CASE WHEN batch_num % 5 <> 0 THEN n END AS answers FROM counted""",
+    f"""{ANSWERS_SQL}
+    SELECT kind, batch_num, pos_in_batch AS pos,
+      CASE WHEN batch_num % 5 = 4 AND pos_in_batch = 0 THEN text || '?' ELSE text END AS text,
+      {views.REPLY_CATEGORY_SQL} AS category, {views.REPLY_CONFIDENCE_SQL} AS confidence, 'by length' AS reasoning
+    FROM sized WHERE batch_num % 5 <> 0 AND NOT (batch_num % 5 = 2 AND pos_in_batch = n_items - 1)
+    UNION ALL SELECT DISTINCT kind, batch_num, n_items, 'extra', 'Other', 'Low', 'none asked'
+    FROM sized WHERE batch_num % 5 = 3
+    UNION ALL SELECT DISTINCT kind, batch_num, NULL, NULL, NULL, NULL, NULL FROM sized WHERE batch_num % 5 = 0""",
 )
 def jsn1(spark, sf):
+    """Every answer of every reply, and a row without answer for a reply that is none."""
     parsed = replies.parsed_replies(views.replies(views.batched(spark, sf)))
-    n = F.when(F.col("answers").isNotNull(), F.size("answers")).cast("bigint")
-    return parsed.select("kind", "batch_num", n.alias("answers"))
+    opened = parsed.select("kind", "batch_num", "answers", F.posexplode_outer("answers").alias("pos", "answer"))
+    told = opened.where("answers IS NULL OR pos IS NOT NULL")
+    return told.select("kind", "batch_num", F.col("pos").cast("bigint").alias("pos"), "answer.*")
 
 
 def by_length(vocabulary, levels):

@@ -8,6 +8,7 @@ from voxmill import schemas
 from voxmill.functions import scalars
 from voxmill.functions.text import clean_text
 from voxmill.operators.clean import clean_threads
+from voxmill.plans.clean import clean_files
 from voxmill.session import fresh_dir
 from voxmill.sinks.tables import stored
 from voxmill.sources import payloads, threads
@@ -61,11 +62,11 @@ def src4(spark, sf):
 
 @query(
     "arr5_label_names",
-    """SELECT CAST(doc_id AS VARCHAR) AS thread_id, lang || ',' || source AS label_names FROM documents
-    WHERE doc_id % 10 <> 0 AND doc_id % 11 <> 0""",
+    "SELECT CAST(doc_id AS VARCHAR) AS thread_id, lang || ',' || source AS label_names FROM documents",
 )
 def arr5(spark, sf):
-    raw = payloads.parse_payloads(views.issue_payloads(spark, sf), "payload", schemas.ISSUE_PAYLOAD)
+    landed = views.issue_payloads(spark, sf, sound=True)
+    raw = payloads.parse_payloads(landed, "payload", schemas.ISSUE_PAYLOAD)
     good = payloads.sound(payloads.normalise_issues(raw))
     return good.select("thread_id", F.array_join("labels", ",").alias("label_names"))
 
@@ -100,7 +101,7 @@ def src5(spark, sf):
       CASE WHEN page_id % 5 <> 0 THEN 'ann' ELSE 'unknown' END AS comment_author,
       strftime({START} + to_seconds(page_id * 60), {ISO}) AS comment_created,
       regexp_replace(html, '\\A\\s+|\\s+\\z', '', 'g') AS body
-    FROM pages""".replace(", url AS title", ", pages.url AS title"),
+    FROM pages""",
 )
 def src6(spark, sf):
     raw = payloads.parse_payloads(views.topic_payloads(spark, sf), "payload", schemas.TOPIC_PAYLOAD)
@@ -140,65 +141,66 @@ def src1(spark, sf):
 
 @query(
     "src2_find_inputs",
-    "SELECT count(*) AS threads, count(*) AS distinct_threads FROM documents",
+    f"""WITH {BODIES_SQL} SELECT CASE doc_id % 2 WHEN 0 THEN 'a' ELSE 'b' END AS folder,
+    CAST(doc_id AS VARCHAR) AS thread_id, count(*) AS comments, count(body) AS bodies,
+    CAST(sum(length(body)) AS BIGINT) AS chars FROM bodies GROUP BY 1, 2""",
 )
 def src2(spark, sf):
-    """Cleaned copies lie beside the inputs and are not read again."""
-    out = _land_threads(spark, sf)
+    """Threads in two folders; their cleaned copies lie beside them and are not read again."""
+    out = fresh_dir(spark, "landed")
+    halves = F.pmod(F.col("thread_id").cast("bigint"), F.lit(2))
+    for half, folder in enumerate("ab"):
+        views.threads(spark, sf).where(halves == half).drop("file_name").write.json(f"{out}/{folder}")
+    clean_files(spark, out, f"{out}/copies", views.PRODUCT, json_lines=True)
     read = threads.read_threads(spark, out, json_lines=True)
-    return read.agg(
-        F.count(F.lit(1)).alias("threads"),
-        F.count_distinct("thread_id").alias("distinct_threads"),
+    lengths = F.transform(F.filter("comments", lambda c: c["body"].isNotNull()), lambda c: F.length(c["body"]))
+    return read.select(
+        F.substring_index("file_name", "/", 1).alias("folder"),
+        "thread_id",
+        F.size("comments").cast("bigint").alias("comments"),
+        F.size(lengths).cast("bigint").alias("bodies"),
+        F.aggregate(lengths, F.lit(0).cast("bigint"), lambda n, m: n + m).alias("chars"),
     )
 
 
 @query(
     "src3_guards",
-    f"""WITH {BODIES_SQL}, texts AS (SELECT doc_id, i, coalesce(body, '') AS body FROM bodies WHERE doc_id % 4 = 0),
-    {chain_sql("texts", "doc_id, i", "body")},
-    lengths AS (SELECT doc_id, CAST(sum(length(cleaned)) AS BIGINT) AS n FROM cleaned GROUP BY 1)
-    SELECT doc_id % 4 AS shape, count(*) AS records, CAST(sum(n) AS BIGINT) AS cleaned_chars
-    FROM documents LEFT JOIN lengths USING (doc_id) GROUP BY 1""",
+    f"""WITH {BODIES_SQL}, texts AS (SELECT doc_id, i, coalesce(body, '') AS body FROM bodies),
+    {chain_sql("texts", "doc_id, i", "body")}
+    SELECT CAST(doc_id AS VARCHAR) AS thread_id, i, cleaned FROM cleaned
+    UNION ALL SELECT 'odd' || doc_id, NULL, NULL FROM documents WHERE doc_id % 4 <> 0""",
 )
 def src3(spark, sf):
-    """Records of odd shape keep their row: no object, no comments, comments no array."""
+    """Between sound records, odd ones keep their row: no comments, comments no array, null."""
     out = fresh_dir(spark, "odd")
-    doc = F.col("thread_id").cast("bigint")
+    shape = F.pmod(F.col("thread_id").cast("bigint"), F.lit(4))
     good = F.to_json(F.struct("source", "thread_id", "comments"))
-    head = F.concat(F.lit('{"thread_id":"'), "thread_id", F.lit('"'))
-    line = (
-        F.when(F.pmod(doc, F.lit(4)) == 0, good)
-        .when(F.pmod(doc, F.lit(4)) == 1, F.concat(head, F.lit("}")))
-        .when(F.pmod(doc, F.lit(4)) == 2, F.concat(head, F.lit(',"comments":"none"}')))
-        .otherwise(F.concat(head, F.lit(',"comments":null}')))
+    head = F.concat(F.lit('{"thread_id":"odd'), "thread_id", F.lit('"'))
+    odd = (
+        F.when(shape == 1, F.concat(head, F.lit("}")))
+        .when(shape == 2, F.concat(head, F.lit(',"comments":"none"}')))
+        .when(shape == 3, F.concat(head, F.lit(',"comments":null}')))
     )
-    views.threads(spark, sf).select(line.alias("value")).write.option("compression", "none").text(out)
+    lines = views.threads(spark, sf).select(F.explode(F.array(good, odd)).alias("value")).where("value IS NOT NULL")
+    lines.write.option("compression", "none").text(out)
     raw = spark.read.text(out).select(F.try_parse_json("value").alias("record"))
     read = clean_threads(threads.as_threads(raw), views.PRODUCT)
-    chars = F.aggregate(
-        "comments", F.lit(0).cast("bigint"), lambda n, c: n + F.length(c["cleaned_body"])
-    )
-    return (
-        read.select(F.pmod(F.col("thread_id").cast("bigint"), F.lit(4)).alias("shape"), chars.alias("n"))
-        .groupBy("shape")
-        .agg(F.count(F.lit(1)).alias("records"), F.sum("n").alias("cleaned_chars"))
-    )
+    flat = read.select("thread_id", F.posexplode_outer("comments").alias("i", "c"))
+    return flat.select("thread_id", F.col("i").cast("bigint").alias("i"), F.col("c.cleaned_body").alias("cleaned"))
 
 
 @query(
     "src7_analysed_threads",
     f"""WITH {views.ANALYSED_SQL} SELECT thread_id, source, sentiment, priority, user_type,
-    len(pain_points) AS pain_points, len(feature_requests) AS feature_requests FROM analysed""",
+    array_to_string(pain_points, chr(10)) AS pain_points, array_to_string(feature_requests, chr(10)) AS feature_requests
+    FROM analysed""",
 )
 def src7(spark, sf):
     out = fresh_dir(spark, "analysed")
     views.analysed(spark, sf).drop("doc_id").write.json(out)
     read = threads.read_analysed(spark, out, json_lines=True)
-    sizes = [
-        F.when(F.col(k).isNotNull(), F.size(k)).cast("bigint").alias(k)
-        for k in ("pain_points", "feature_requests")
-    ]
-    return read.select("thread_id", "source", "sentiment", "priority", "user_type", *sizes)
+    texts = [F.array_join(k, "\n").alias(k) for k in ("pain_points", "feature_requests")]
+    return read.select("thread_id", "source", "sentiment", "priority", "user_type", *texts)
 
 
 # -- JSON and dates ---------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxmill.operators import analyze, classify, replies as model_replies, report
-from voxmill.sinks.tables import write_tables
+from voxmill.sinks.tables import cleaned_comments, write_cleaned, write_tables
 from voxmill.session import fresh_dir, stored_once
 from voxmill.sources.threads import read_items
 from workload import views
@@ -94,10 +94,9 @@ def agg7(spark, sf):
     return analyze.quadrant_lines(agg6(spark, sf))
 
 
-@query("win1_quadrants", f"{WITH}, {MATRIX_SQL} SELECT quadrant, count(*) AS categories FROM placed GROUP BY 1")
+@query("win1_quadrants", f"{WITH}, {MATRIX_SQL} SELECT category, quadrant FROM placed")
 def win1(spark, sf):
-    placed = analyze.with_quadrants(agg6(spark, sf))
-    return placed.groupBy("quadrant").agg(F.count(F.lit(1)).alias("categories"))
+    return analyze.with_quadrants(agg6(spark, sf)).select("category", "quadrant")
 
 
 @query(
@@ -177,11 +176,16 @@ def agg13(spark, sf):
 
 @query(
     "agg14_comments_per_file",
-    """WITH bodies AS (SELECT unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS i FROM documents)
-    SELECT 'documents.parquet' AS file_name, count(*) AS comments FROM bodies WHERE i % 3 <> 2""",
+    """SELECT source || '.json' AS file_name, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS comments
+    FROM documents GROUP BY 1""",
 )
 def agg14(spark, sf):
-    return analyze.comments_per_file(views.threads(spark, sf))
+    """Counted off the cleaned copies of threads from one file per source."""
+    out = fresh_dir(spark, "copies")
+    docs = views.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("thread_id"), "source")
+    named = views.threads(spark, sf).drop("source", "file_name").join(docs, "thread_id")
+    write_cleaned(named.withColumn("file_name", F.concat("source", F.lit(".json"))), out)
+    return cleaned_comments(spark, out)
 
 
 TOP_SQL = """counted AS (SELECT kind, category, count(*) AS n, min(position) AS first_pos FROM items GROUP BY ALL),

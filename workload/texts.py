@@ -130,9 +130,9 @@ def clean_pages(spark, sf):
     return cleaned.select("page_id", F.col("cleaned_body").alias("cleaned"))
 
 
-BODIES_SQL = f"""split AS (SELECT doc_id, string_split(text, {NEWLINE}) AS parts FROM documents),
+BODIES_SQL = f"""split AS (SELECT doc_id, list_append(string_split(text, {NEWLINE}), NULL) AS parts FROM documents),
 flat AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS i FROM split),
-bodies AS (SELECT doc_id, i, CASE WHEN i % 3 <> 2 THEN '> q' || chr(10) || '**b** ' || line END AS body FROM flat)"""
+bodies AS (SELECT doc_id, i, '> q' || chr(10) || '**b** ' || line AS body FROM flat)"""
 
 
 def _flat(threads):

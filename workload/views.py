@@ -216,7 +216,8 @@ ANALYSED_SQL = """analysed AS (
   SELECT doc_id, CAST(doc_id AS VARCHAR) AS thread_id, source,
          CASE lang WHEN 'en' THEN 'positive' WHEN 'fr' THEN 'negative' ELSE 'neutral' END AS sentiment,
          ['high', 'medium', 'low', 'none'][doc_id % 4 + 1] AS priority, lang AS user_type,
-         list_filter(string_split(text, chr(10)), lambda x, i: i % 3 <> 0) AS pain_points,
+         CASE WHEN doc_id % 7 <> 0 THEN list_filter(string_split(text, chr(10)), lambda x, i: i % 3 <> 0)
+              ELSE string_split(text, chr(10)) END AS pain_points,
          CASE WHEN doc_id % 7 <> 0
               THEN list_filter(string_split(text, chr(10)), lambda x, i: i % 3 = 0) END AS feature_requests
   FROM documents),
@@ -236,7 +237,8 @@ numbered AS (
 
 
 def analysed(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as analysed threads: lines are pain points, every third is a request."""
+    """Documents as analysed threads: lines are pain points, every third is a request; every
+    seventh thread has no list of requests, all its lines are pain points."""
     lines = F.split("text", "\n", -1)
     priorities = F.array(*map(F.lit, ("high", "medium", "low", "none")))
     return table(spark, sf, "documents").select(
@@ -249,7 +251,12 @@ def analysed(spark: SparkSession, sf: str) -> DataFrame:
         .alias("sentiment"),
         F.element_at(priorities, (F.pmod("doc_id", F.lit(4)) + 1).cast("int")).alias("priority"),
         F.col("lang").alias("user_type"),
-        F.filter(lines, lambda _, i: F.pmod(i + 1, F.lit(3)) != 0).alias("pain_points"),
+        F.when(
+            F.pmod("doc_id", F.lit(7)) != 0,
+            F.filter(lines, lambda _, i: F.pmod(i + 1, F.lit(3)) != 0),
+        )
+        .otherwise(lines)
+        .alias("pain_points"),
         F.when(
             F.pmod("doc_id", F.lit(7)) != 0,
             F.filter(lines, lambda _, i: F.pmod(i + 1, F.lit(3)) == 0),
@@ -364,10 +371,10 @@ def iso_z(seconds: Column) -> Column:
     return F.concat(F.replace(moment.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
 
 
-def issue_payloads(spark: SparkSession, sf: str) -> DataFrame:
+def issue_payloads(spark: SparkSession, sf: str, sound: bool = False) -> DataFrame:
     """Documents as raw issues: the first line is title and body, each other a comment.
 
-    Every tenth has no author and every eleventh is no valid JSON."""
+    Every tenth has no author and every eleventh is no valid JSON, but where all are ``sound``."""
     doc = F.col("doc_id")
     text = F.to_json(
         F.struct(
@@ -376,7 +383,7 @@ def issue_payloads(spark: SparkSession, sf: str) -> DataFrame:
             F.concat(F.lit("https://e/"), "source", F.lit("/"), doc.cast("string")).alias("html_url"),
             F.element_at(_lines(), 1).alias("title"),
             F.when(
-                F.pmod(doc, F.lit(10)) != 0, F.struct(F.col("source").alias("login"))
+                F.lit(sound) | (F.pmod(doc, F.lit(10)) != 0), F.struct(F.col("source").alias("login"))
             ).alias("user"),
             F.lit("open").alias("state"),
             F.when(F.pmod(doc, F.lit(13)) == 0, F.struct(F.lit("u").alias("url"))).alias("pull_request"),
@@ -402,7 +409,7 @@ def issue_payloads(spark: SparkSession, sf: str) -> DataFrame:
             ).alias("comment_list"),
         )
     )
-    broken = F.when(F.pmod(doc, F.lit(11)) == 0, F.concat(F.lit("{"), text)).otherwise(text)
+    broken = F.when(~F.lit(sound) & (F.pmod(doc, F.lit(11)) == 0), F.concat(F.lit("{"), text)).otherwise(text)
     return table(spark, sf, "documents").select("doc_id", broken.alias("payload"))
 
 
@@ -483,19 +490,20 @@ def landed_twice(payloads: DataFrame, count: str) -> DataFrame:
 
 
 def threads(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as nested threads of one source: a comment per line, odd ones bodiless."""
+    """Documents as nested threads of one source: a comment per line, then one without body."""
+    comments = F.transform(
+        F.concat(_lines(), F.array(F.lit(None).cast("string"))),
+        lambda line, i: F.struct(
+            i.cast("string").alias("comment_id"),
+            F.col("lang").alias("author"),
+            F.lit(None).cast("timestamp").alias("created_at"),
+            F.concat(F.lit("> q\n**b** "), line).alias("body"),
+        ),
+    )
     return table(spark, sf, "documents").select(
         F.lit(vocab.GITHUB).alias("source"),
         F.col("doc_id").cast("string").alias("thread_id"),
-        F.transform(
-            _lines(),
-            lambda line, i: F.struct(
-                i.cast("string").alias("comment_id"),
-                F.col("lang").alias("author"),
-                F.lit(None).cast("timestamp").alias("created_at"),
-                F.when(F.pmod(i, F.lit(3)) != 2, F.concat(F.lit("> q\n**b** "), line)).alias("body"),
-            ),
-        ).alias("comments"),
+        comments.alias("comments"),
         F.col("_metadata.file_name").alias("file_name"),
     )
 
