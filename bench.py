@@ -42,6 +42,7 @@ HEADLINE = (
     "cat1_user_classifier",
     "cat4_lexicon",
     "cat5_analyse_threads",
+    "cat5_user_analyser",
     "snk1_append_threads",
     "snk5_resume",
     "src1_read_threads",

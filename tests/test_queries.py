@@ -20,6 +20,7 @@ def test_query_equals_sql(spark, con, name):
     plan = plan_of(df)
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
+    # What cat5 asks for is stored before its result is planned.
     assert ("InPandas" in plan) == (name == "cat1_user_classifier")
 
 

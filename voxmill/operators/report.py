@@ -20,10 +20,12 @@ def priority_matrix(counts: DataFrame) -> DataFrame:
     return analyze.with_quadrants(analyze.frequency_impact(counts))
 
 
-def summary(counts: DataFrame) -> DataFrame:
+def summary(counts: DataFrame, costs: DataFrame | None = None) -> DataFrame:
     """All counts of the summary in one long table (RPT3).
 
-    ``section`` is total_items, categories, top_categories or the name of an attribute.
+    ``section`` is total_items, categories, top_categories or the name of an attribute; with
+    ``costs`` (kind, cost) there is a section total_cost, whose ``cost`` is exact and NULL
+    where no tokens were named, and whose ``n`` is NULL.
     """
 
     def rows(frame: DataFrame, section, name, n: str) -> DataFrame:
@@ -44,7 +46,10 @@ def summary(counts: DataFrame) -> DataFrame:
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
-    return result
+    if costs is None:
+        return result
+    paid = costs.select("kind", F.lit("total_cost").alias("section"), none.alias("name"), F.lit(None).cast("bigint").alias("n"), "cost")
+    return result.unionByName(paid, allowMissingColumns=True)
 
 
 def roadmap(counts: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxmill import vocab
-from voxmill.operators import classify, replies
+from voxmill.operators import analyser, classify, replies
 from voxmill.session import stored_once
 from workload import views
 from workload.registry import query
@@ -189,3 +189,58 @@ def cat5(spark, sf):
         "priority",
         "user_type",
     )
+
+
+def by_counting():
+    """A user's analyser, as plain as can be: lines by their lengths."""
+
+    def analyse(pages: list[dict]) -> list[dict]:
+        found = []
+        for page in pages:
+            lines = page["text"].split("\n")
+            found.append(
+                {
+                    "pain_points": [x for x in lines if len(x) % 3 == 0],
+                    "feature_requests": [x for x in lines if len(x) % 3 == 1],
+                    "sentiment": "positive" if len(lines) % 2 else "negative",
+                    "priority": ("high", "medium", "low", "none")[len(page["text"]) % 4],
+                    "user_type": "last" if page["page"] + 1 == page["n_pages"] else "other",
+                    "prompt_tokens": len(page["text"]),
+                }
+            )
+        return found
+
+    return analyse
+
+
+@query(
+    "cat5_user_analyser",
+    """WITH parts AS (
+      SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+    cut AS (SELECT doc_id, i, unnest(range((length(line) + 199) // 200)) AS k, line FROM parts WHERE regexp_matches(line, '\\S')),
+    pieces AS (SELECT doc_id, substr(line, k * 200 + 1, 200) AS piece, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS pos FROM cut),
+    paged AS (
+      SELECT doc_id, pos // 4 AS page, count(*) AS n, string_agg(piece, chr(10) ORDER BY pos) AS text FROM pieces GROUP BY ALL),
+    told AS (
+      SELECT *, CASE WHEN n % 2 = 1 THEN 'positive' ELSE 'negative' END AS sentiment, length(text) % 4 AS rank,
+        CASE WHEN page = max(page) OVER (PARTITION BY doc_id) THEN 'last' ELSE 'other' END AS user_type FROM paged),
+    points AS (SELECT doc_id, length(piece) % 3 AS kind, piece, min(pos) AS pos FROM pieces GROUP BY ALL),
+    lists AS (
+      SELECT doc_id, string_agg(piece, '|' ORDER BY pos) FILTER (kind = 0) AS pain_points,
+             string_agg(piece, '|' ORDER BY pos) FILTER (kind = 1) AS feature_requests FROM points GROUP BY 1),
+    summed AS (
+      SELECT doc_id, count(*) AS n_pages, sum(length(text)) AS prompt_tokens, min(rank) AS rank,
+        2 * count(*) FILTER (sentiment = 'positive') > count(*) AS cheerful, 2 * count(*) FILTER (user_type = 'last') >= count(*) AS ends
+      FROM told GROUP BY 1)
+    SELECT doc_id, coalesce(pain_points, '') AS pain_points, coalesce(feature_requests, '') AS feature_requests,
+      CASE WHEN cheerful THEN 'positive' WHEN NOT cheerful THEN 'negative' END AS sentiment,
+      ['high', 'medium', 'low', NULL][rank + 1] AS priority, CASE WHEN ends THEN 'last' WHEN NOT ends THEN 'other' END AS user_type,
+      coalesce(n_pages, 0) AS n_pages, CAST(prompt_tokens AS BIGINT) AS prompt_tokens
+    FROM documents LEFT JOIN lists USING (doc_id) LEFT JOIN summed USING (doc_id)""",
+)
+def cat5_user(spark, sf):
+    lines = F.transform(F.split("text", "\n", -1), lambda line: F.struct(line.alias("cleaned_body")))
+    docs = views.table(spark, sf, "documents").select("doc_id", lines.alias("comments"))
+    found = analyser.analyse_with(docs, by_counting(), ["doc_id"], comments=4, characters=200)
+    lists = [F.array_join(n, "|").alias(n) for n in ("pain_points", "feature_requests")]
+    return found.select("doc_id", *lists, "sentiment", "priority", "user_type", "n_pages", "prompt_tokens")

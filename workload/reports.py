@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxmill.functions import scalars
 from voxmill.operators import analyze, classify, replies as model_replies, report
+from voxmill.plans import feedback
 from voxmill.sinks.tables import cleaned_comments, write_cleaned, write_tables
 from voxmill.session import fresh_dir, stored_once
 from voxmill.sources.threads import read_items
@@ -227,18 +229,25 @@ def rpt2(spark, sf):
     return report.priority_matrix(counts(spark, sf))
 
 
-SUMMARY_SQL = f"""{WITH}, {TOP_SQL}, long AS ({long_sql("kind")})
+SUMMARY_SQL = f"""{WITH}, {TOP_SQL}, long AS ({long_sql("kind")}), told AS (
 SELECT kind, 'total_items' AS section, CAST(NULL AS VARCHAR) AS name, count(*) AS n FROM items GROUP BY kind
 UNION ALL SELECT kind, 'categories', NULL, count(DISTINCT category) FROM items GROUP BY kind
 UNION ALL SELECT kind, dim || '_distribution', value, count(*) FROM long GROUP BY kind, dim, value
-UNION ALL SELECT kind, 'top_categories', category, n FROM top"""
+UNION ALL SELECT kind, 'top_categories', category, n FROM top)
+SELECT *, CAST(NULL AS DOUBLE) AS cost FROM told
+UNION ALL SELECT kind, 'total_cost', NULL, NULL,
+  CAST(sum((length(text) // 4) * 3 + 50 * 12) AS BIGINT) / CAST(1000000 AS DOUBLE) FROM items GROUP BY kind"""
 
 
 @query("rpt3_summary", SUMMARY_SQL)
 def rpt3(spark, sf):
-    """Four tables from the same counts: these are stored, so the items are read once."""
+    """Four tables from the same counts: these are stored, so the items are read once for
+    them, and once for what their answers cost at 50 tokens each."""
     counted = counts(spark, sf, *analyze.DIMENSIONS, position="position")
-    return report.summary(stored_once(counted, "counts"))
+    asked = views.items(spark, sf).withColumn("prompt_tokens", scalars.estimate_tokens(F.col("text")))
+    paid = feedback.costs(asked.withColumn("completion_tokens", F.lit(50).cast("bigint")))
+    told = report.summary(stored_once(counted, "counts"), paid)
+    return told.withColumn("cost", F.col("cost").cast("double"))
 
 
 @query(
