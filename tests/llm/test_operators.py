@@ -240,14 +240,43 @@ def test_words_of_all_scripts_have_the_tokenizers_ids():
 def test_token_counts_equal_the_tokenizers(spark, odd):
     from tokenizers import Tokenizer, models
 
-    pieces = token_count.ranked_pieces(public_tokenizers.path(queries.PIECES))
-    tokenizer = Tokenizer(models.Unigram(pieces, unk_id=0, byte_fallback=False))
-    found = by_id(token_count.count_tokens(odd, public_tokenizers.path(queries.PIECES)), "n_words", "n_tokens")
+    path = public_tokenizers.path(queries.PIECES)
+    pieces = token_count.ranked_pieces(path)
+    # The tokenizer's byte pieces score so low that they never count as text.
+    low = min(s for _, s in pieces)
+    vocabulary = [("<unk>", 0.0), *pieces, *((f"<0x{k:02X}>", low) for k in range(256))]
+    tokenizer = Tokenizer(models.Unigram(vocabulary, unk_id=0, byte_fallback=True))
+    found = by_id(token_count.count_tokens(odd, path), "n_words", "n_tokens")
     for k, text in enumerate(TEXTS):
         own = brute.words(text)
         assert found[k] == (len(own), sum(len(tokenizer.encode(token_count.SPACE + w).ids) for w in own))
 
 
+def test_names_of_special_pieces_are_text(spark):
+    texts = ["<unk>", "</s>", "<0x41>", "\U0001F9FF", "a" * 9]
+    path = public_tokenizers.path(queries.PIECES)
+    counter = token_count.Counter(token_count.ranked_pieces(path), True)
+    found = by_id(token_count.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path), "n_tokens", "n_unknown")
+    assert token_count.falls_back(path)
+    assert all(found[k][0] > 1 for k in range(3)) and found[3] == (1 + 4, 1)
+    assert {k: counter.count("▁" + t) for k, t in enumerate(texts)} == found
+
+
+def test_a_word_of_any_length_takes_little_memory():
+    """Only as many places are held as the longest piece is long; besides, the automaton takes
+    a copy of the word, four bytes a character."""
+    import tracemalloc
+
+    pieces = [("▁", -1.0), ("ab", -1.5), ("aba", -1.0), ("b", -3.0)]
+    counter = token_count.Counter(pieces)
+    word = "▁" + "abab漢" * 100_000
+    tracemalloc.start()
+    assert counter.count(word) == (1 + 3 * 100_000, 100_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * len(word)
+
+
 def test_ties_of_token_counts():
     from tokenizers import Tokenizer, models
 

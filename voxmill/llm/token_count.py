@@ -20,12 +20,22 @@ WORD_BYTES, WORDS_KEPT = 64, 400_000
 
 
 def ranked_pieces(model: str) -> list[tuple[str, float]]:
-    """(piece, score) of a sentencepiece file, id by id: its pieces in their order, scored
-    as logarithms of Zipf's law by rank. Nothing is trained."""
+    """(piece, score) of the pieces of a sentencepiece file that stand for text, in their
+    order, scored as logarithms of Zipf's law by rank: the given files hold no unigram
+    scores, and nothing is trained. Unknown, control, unused and byte pieces are no text."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
-    return [(sp.id_to_piece(i), -math.log(i + 1.0)) for i in range(sp.get_piece_size())]
+    other = (sp.is_unknown, sp.is_control, sp.is_unused, sp.is_byte)
+    return [(sp.id_to_piece(i), -math.log(i + 1.0)) for i in range(sp.get_piece_size()) if not any(is_(i) for is_ in other)]
+
+
+def falls_back(model: str) -> bool:
+    """Whether the file has a piece for each byte, by which unknown characters are written."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    return sum(sp.is_byte(i) for i in range(sp.get_piece_size())) == 256
 
 
 class Counter(dict):
@@ -34,10 +44,12 @@ class Counter(dict):
     Ties as in common unigram tokenizers: places are walked from the left, a way to reach a
     place replaces another only if its score is higher, so of equal ways the one whose last
     piece begins first stays; a character that no one-character piece covers may be an
-    unknown one; unknown characters side by side are one token.
+    unknown one. Unknown characters side by side are one token, or with ``by_bytes`` as many
+    as they have UTF-8 bytes. Of the places walked, only as many are held as the longest
+    piece has characters, however long a word is.
     """
 
-    def __init__(self, pieces: list[tuple[str, float]]) -> None:
+    def __init__(self, pieces: list[tuple[str, float]], by_bytes: bool = False) -> None:
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
@@ -46,30 +58,39 @@ class Counter(dict):
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
+        self.longest = max((len(p) for p, _ in pieces), default=1)
+        self.by_bytes = by_bytes
 
     def count(self, word: str) -> tuple[int, int]:
-        n = len(word)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        single = bytearray(n)
-        for end, (length, score) in self.automaton.iter(word):
-            ends[end].append((length, score))
-            if length == 1:
-                single[end] = 1
-        best, tokens, unknowns, fused = [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        for end in range(n):
+        held = min(len(word), max(self.longest, 1)) + 1
+        best, tokens, unknowns, fused = [0.0] * held, [0] * held, [0] * held, [False] * held
+        matches = self.automaton.iter(word) if len(self.automaton) else iter(())
+        match = next(matches, None)
+        for end, letter in enumerate(word):
+            ways, single = [], False
+            while match is not None and match[0] == end:
+                ways.append(match[1])
+                single = single or match[1][0] == 1
+                match = next(matches, None)
+            if not single:
+                ways.append((1, self.unknown))
             top, length = -math.inf, 0
-            if not single[end]:
-                ends[end].append((1, self.unknown))
-            for width, score in sorted(ends[end], reverse=True):
-                total = best[end + 1 - width] + score
+            for width, score in sorted(ways, reverse=True):
+                total = best[(end + 1 - width) % held] + score
                 if total > top:
                     top, length = total, width
-            source = end + 1 - length
-            unknown = length == 1 and not single[end]
-            best[end + 1], fused[end + 1] = top, unknown
-            tokens[end + 1] = tokens[source] + (not (unknown and fused[source]))
-            unknowns[end + 1] = unknowns[source] + unknown
-        return tokens[n], unknowns[n]
+            source, place = (end + 1 - length) % held, (end + 1) % held
+            unknown = length == 1 and not single
+            if not unknown:
+                more = 1
+            elif self.by_bytes:
+                more = len(letter.encode())
+            else:
+                more = 0 if fused[source] else 1
+            best[place], fused[place] = top, unknown
+            tokens[place] = tokens[source] + more
+            unknowns[place] = unknowns[source] + unknown
+        return tokens[len(word) % held], unknowns[len(word) % held]
 
     def __missing__(self, word: bytes) -> tuple[int, int]:
         found = self.count(SPACE + word.decode())
@@ -86,7 +107,7 @@ _counters: dict[str, Counter] = {}
 def counter_of(model: str) -> Counter:
     """This worker's counter of a file of pieces."""
     if model not in _counters:
-        _counters[model] = Counter(ranked_pieces(model))
+        _counters[model] = Counter(ranked_pieces(model), falls_back(model))
     return _counters[model]
 
 
@@ -94,10 +115,13 @@ def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     """id, ``tkey``, ``n_words``, ``n_tokens`` and ``n_unknown`` (characters that no piece
     covers) of every whole text; one row per row of ``docs``, in one pass without a shuffle.
 
-    ``model`` is the file whose pieces are used (see :func:`ranked_pieces`). Words are runs
-    without ASCII white space, each counted with a space mark before it; text is taken as
-    it is. A null or empty text has 0 of all. A worker holds the automaton, a bounded
-    number of words and one batch of texts.
+    ``model`` is the file whose pieces are used (see :func:`ranked_pieces`); where it has
+    byte pieces, an unknown character counts as its bytes. Words are runs without ASCII
+    white space, each counted with a space mark before it; text is taken as it is, so the
+    name of a control piece in a text is plain text. A null or empty text has 0 of all. Each row
+    is counted for itself: repeated rows give repeated results, other columns are not looked
+    at, whatever their names, and an empty table gives an empty result. A worker holds the
+    automaton, a bounded number of words and one batch of texts.
     """
     schema = f"doc_id {dict(docs.dtypes)[id_col]}, tkey bigint, n_words bigint, n_tokens bigint, n_unknown bigint"
     arrow = pa.schema([("doc_id", _arrow(docs, id_col)), *((c, pa.int64()) for c in ("tkey", "n_words", "n_tokens", "n_unknown"))])
