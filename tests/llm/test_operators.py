@@ -164,6 +164,41 @@ def test_certified_cutoffs_hold(spark):
         assert p == pytest.approx(tail(n, k, 0.01) if k <= n * 0.01 else 1.0, rel=1e-9)
 
 
+def test_verdicts_equal_brute_force(spark):
+    """Cutoffs and ``kept`` from plain loops over strata, rules and cutoffs, with exact sums."""
+    from fractions import Fraction
+    from math import comb
+
+    own, rules, risk, doubt = random.Random(5), {"symbols": (0.05, 0.2, 0.8), "capitals": (0.1, 0.3)}, 0.1, 0.05
+    sizes = {"many": 400, "some": 110, "few": 40, None: 150}
+    rows = []
+    for stratum, n in sizes.items():
+        for k in range(n):
+            symbols = 0.5 if own.random() < 0.02 else own.choice((0.0, 0.01, 0.05))
+            capitals = 0.2 if own.random() < (0.5 if stratum == "many" else 0.0) else 0.0
+            rows.append((len(rows), stratum, (symbols, capitals), k % 17 == 0))
+    rows += [(len(rows) + k, s, (2.0, 0.9), False) for k, s in enumerate([*sizes, "none"])]  # no label
+    labels = [(r[0], 1) for r in rows[:-5]] + [(0, 0), (None, 1), (1, None)]
+    shape = "doc_id bigint, stratum string, measures struct<symbols: double, capitals: double>, base_failed boolean"
+    measured = spark.createDataFrame(rows, shape)
+    cutoffs = quality.certify(measured, spark.createDataFrame(labels, "doc_id bigint, quality int"), risk, doubt, rules)
+
+    p, want = Fraction(risk) / len(rules), {}
+    for stratum in sizes:
+        held = [r[2] for r in rows[:-5] if r[1] == stratum and r[0] != 0]
+        for place, (rule, cuts) in enumerate(rules.items()):
+            for cut in sorted(cuts, reverse=True):
+                n, k = len(held), sum(m[place] > cut for m in held)
+                chance = sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) if k <= n * p else 1
+                if chance > doubt / (len(sizes) * len(rules)):
+                    break
+                want[stratum, rule] = cut
+    assert {(r.stratum, r.rule): r.cutoff for r in cutoffs.collect()} == want
+    assert want["many", "capitals"] == 0.3 and ("few", "symbols") not in want and (None, "capitals") in want
+    kept = {r.doc_id: r.kept for r in quality.judge(measured, cutoffs).collect()}
+    assert kept == {i: not failed and not any(v > want.get((s, r), 9) for r, v in zip(rules, m)) for i, s, m, failed in rows}
+
+
 def test_urls(spark):
     rules = spark.createDataFrame([*queries.URL_RULES, ("b.org", "/a", "block"), (None, "/", "block")], "host string, path string, verdict string")
     urls = ["http://WWW.Example.com/en/x?y", "https://a.example.com/en/", "http://example.com", "http://example.com/", "ftp://notexample.com/en/1", "http://x.net/es/1#q", "http://b.org/abc", "http://b.org/b", None, "nothing", "http://", "http://x.net/es/1#q"]
