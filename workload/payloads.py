@@ -300,7 +300,8 @@ def str1(spark, sf):
         return new.withColumn("cleaned", cleaned).drop("text", "lang", "n_chars")
 
     for _ in range(2):
-        feed = streaming.landed(spark, sf, schema, "parquet", "documents.parquet")
+        # A pattern, for a table is one file or a folder of parts, and a stream takes no plain file.
+        feed = streaming.landed(spark, f"{sf}/documents.parque[t]", schema, "parquet")
         keyed = feed.withColumn("digest", F.sha2("text", 256))
         run = streaming.collect(
             keyed, sink, fresh_dir(spark, "progress"), ["digest"], "doc_id", prepare=prepare
