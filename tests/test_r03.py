@@ -15,3 +15,11 @@ def test_a_stream_reads_a_table_of_many_files(spark, tmp_path):
     sf = documents(spark, tmp_path, "one", "two", "one", "three", parts=3)
     out = all_queries()["str1_collect_stream"](spark, sf).collect()
     assert sorted(r.doc_id for r in out) == [0, 1, 3]
+
+
+def test_quadrants_are_counted(spark, sf):
+    out = all_queries()["win1_quadrants"](spark, sf).collect()
+    by_quadrant = {}
+    for r in out:
+        by_quadrant.setdefault(r.quadrant, []).append(r.category)
+    assert out and all(r.categories == len(by_quadrant[r.quadrant]) for r in out)

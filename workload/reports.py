@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxmill.functions import scalars
@@ -96,9 +96,14 @@ def agg7(spark, sf):
     return analyze.quadrant_lines(agg6(spark, sf))
 
 
-@query("win1_quadrants", f"{WITH}, {MATRIX_SQL} SELECT category, quadrant FROM placed")
+@query(
+    "win1_quadrants",
+    f"{WITH}, {MATRIX_SQL} SELECT category, quadrant, count(*) OVER (PARTITION BY quadrant) AS categories FROM placed",
+)
 def win1(spark, sf):
-    return analyze.with_quadrants(agg6(spark, sf)).select("category", "quadrant")
+    """Every category with its quadrant and how many categories that one has."""
+    placed = analyze.with_quadrants(agg6(spark, sf)).select("category", "quadrant")
+    return placed.withColumn("categories", F.count(F.lit(1)).over(Window.partitionBy("quadrant")))
 
 
 @query(
