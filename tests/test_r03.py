@@ -23,3 +23,11 @@ def test_quadrants_are_counted(spark, sf):
     for r in out:
         by_quadrant.setdefault(r.quadrant, []).append(r.category)
     assert out and all(r.categories == len(by_quadrant[r.quadrant]) for r in out)
+
+
+def test_labels_are_named_whatever_else_is_wrong(spark, tmp_path):
+    sf = documents(spark, tmp_path, *(f"title {k}\nreply" for k in range(23)))
+    out = [(r.thread_id, r.problem, r.label_names) for r in all_queries()["arr5_label_names"](spark, sf).collect()]
+    assert sorted(x for x in out if x[1] is None) == sorted((str(k), None, "en,web") for k in range(23))
+    assert [x for x in out if x[1] == "unreadable"] == [(None, "unreadable", None)] * 3  # 0, 11, 22
+    assert sorted(x for x in out if x[1] == "no author") == [(k, "no author", "en,web") for k in ("10", "20")]

@@ -62,13 +62,24 @@ def src4(spark, sf):
 
 @query(
     "arr5_label_names",
-    "SELECT CAST(doc_id AS VARCHAR) AS thread_id, lang || ',' || source AS label_names FROM documents",
+    """SELECT CAST(doc_id AS VARCHAR) AS thread_id, CAST(NULL AS VARCHAR) AS problem, lang || ',' || source AS label_names
+    FROM documents
+    UNION ALL
+    SELECT CASE WHEN doc_id % 11 <> 0 THEN CAST(doc_id AS VARCHAR) END,
+      CASE WHEN doc_id % 11 = 0 THEN 'unreadable' ELSE 'no author' END,
+      CASE WHEN doc_id % 11 <> 0 THEN lang || ',' || source END
+    FROM documents WHERE doc_id % 10 = 0 OR doc_id % 11 = 0""",
 )
 def arr5(spark, sf):
-    landed = views.issue_payloads(spark, sf, sound=True)
+    """Every document as a sound issue, and among them the spoilt ones once more, which the
+    threads must not have; they come with their problem."""
+    spoilt = (F.pmod("doc_id", F.lit(10)) == 0) | (F.pmod("doc_id", F.lit(11)) == 0)
+    landed = views.issue_payloads(spark, sf, sound=True).union(views.issue_payloads(spark, sf).where(spoilt))
     raw = payloads.parse_payloads(landed, "payload", schemas.ISSUE_PAYLOAD)
-    good = payloads.sound(payloads.normalise_issues(raw))
-    return good.select("thread_id", F.array_join("labels", ",").alias("label_names"))
+    normalised = payloads.normalise_issues(raw)
+    names = F.array_join("labels", ",").alias("label_names")
+    good = payloads.sound(normalised).select("thread_id", F.lit(None).cast("string").alias("problem"), names)
+    return good.union(payloads.quarantine(normalised).select("thread_id", "problem", names))
 
 
 @query(
