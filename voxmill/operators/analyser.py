@@ -20,6 +20,8 @@ Analyser = Callable[[list[Page]], Iterable[Mapping[str, object] | None]]
 
 #: Pages that a callable gets at once, comments of a page, and characters of a comment.
 PAGES, COMMENTS, CHARACTERS = 8, 16, 2000
+#: Pages whose findings leave a worker together.
+_FRAME = 1024
 PRIORITIES = ("high", "medium", "low")
 _LISTS = ("pain_points", "feature_requests")
 _VOICES = ("sentiment", "user_type", "priority")
@@ -58,24 +60,22 @@ def pages(
     return rows.select(*keys, "title", F.inline(cut_pages))
 
 
-def _asked(frame: DataFrame, analyse: Analyser, keys: Sequence[str], batch: int) -> DataFrame:
-    """Every page with what ``analyse`` found on it; all is NULL where it gave nothing."""
-    lists, voices, tokens, keys = _LISTS, _VOICES, _TOKENS, list(keys)
-    types = {f.name: f.dataType.simpleString() for f in frame.schema}
-    own = ", ".join(f"`{k}` {types[k]}" for k in keys)
-    schema = f"{own}, page int, answered boolean, " + ", ".join(
-        [f"{n} array<string>" for n in lists] + [f"{n} string" for n in voices] + [f"{n} bigint" for n in tokens]
-    )
+def _asker(analyse: Analyser, keys: Sequence[str], batch: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Asks for ``batch`` pages at once and hands on the findings of many batches together:
+    a frame costs the same whether it has eight rows or a thousand."""
+    lists, voices, tokens, keys, together = _LISTS, _VOICES, _TOKENS, list(keys), max(_FRAME // batch, 1) * batch
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in frames:
-            for start in range(0, len(rows), batch):
-                some = rows.iloc[start : start + batch]
-                asked = some[["title", "page", "n_pages", "text"]].to_dict("records")
-                found = list(analyse(asked))
-                if len(found) > len(asked):
-                    raise ValueError(f"{len(found)} analyses of {len(asked)} pages")
-                found += [None] * (len(asked) - len(found))
+            for first in range(0, len(rows), together):
+                some = rows.iloc[first : first + together]
+                pages, found = some[["title", "page", "n_pages", "text"]].to_dict("records"), []
+                for start in range(0, len(pages), batch):
+                    asked = pages[start : start + batch]
+                    answers = list(analyse(asked))
+                    if len(answers) > len(asked):
+                        raise ValueError(f"{len(answers)} analyses of {len(asked)} pages")
+                    found += answers + [None] * (len(asked) - len(answers))
                 out = some[[*keys, "page"]].reset_index(drop=True)
                 out["answered"] = [f is not None for f in found]
                 for name in (*lists, *voices):
@@ -84,7 +84,17 @@ def _asked(frame: DataFrame, analyse: Analyser, keys: Sequence[str], batch: int)
                     out[name] = pd.array([(f or {}).get(name) for f in found], dtype="Int64")
                 yield out
 
-    return frame.mapInPandas(run, schema)
+    return run
+
+
+def _asked(frame: DataFrame, analyse: Analyser, keys: Sequence[str], batch: int) -> DataFrame:
+    """Every page with what ``analyse`` found on it; all is NULL where it gave nothing."""
+    types = {f.name: f.dataType.simpleString() for f in frame.schema}
+    own = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    schema = f"{own}, page int, answered boolean, " + ", ".join(
+        [f"{n} array<string>" for n in _LISTS] + [f"{n} string" for n in _VOICES] + [f"{n} bigint" for n in _TOKENS]
+    )
+    return frame.mapInPandas(_asker(analyse, keys, batch), schema)
 
 
 def analyse_with(
