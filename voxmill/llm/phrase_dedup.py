@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
-from voxmill.llm.common import words
+from voxmill.llm.common import spaced
 from voxmill.llm.repeats import Method, Segment, find_repeats, merged
 from voxmill.llm.shingle_join import mixed
 from voxmill.llm.suffix_dedup import _signed
@@ -143,8 +143,9 @@ def drop_repeated_phrases(docs: DataFrame, size: int = 20, id_col: str = "doc_id
     earlier. A null id is the smallest. Other columns are not looked at. An empty table
     gives an empty result.
     """
-    own = words(F.col("text"))
-    settled, compared = find_repeats(docs, _method(size), F.size(own), F.sha2(F.array_join(own, " "), 256), id_col, text_col)
+    own = spaced(F.col("text"))
+    n_words = F.when(own == "", 0).otherwise(F.octet_length(own) - F.octet_length(F.replace(own, F.lit(" "), F.lit(""))) + 1)
+    settled, compared = find_repeats(docs, _method(size), n_words, F.sha2(own, 256), id_col, text_col)
     shape = "doc_id bigint, tkey bigint, n_words bigint, spans array<struct<lo:bigint,hi:bigint>>, kept string, kept_sha256 string"
     spans = F.when(F.col("gone"), F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi")))).otherwise(F.array().cast("array<struct<lo:bigint,hi:bigint>>"))
     easy = settled.select(
