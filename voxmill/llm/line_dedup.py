@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from voxmill.functions.binding import let
 from voxmill.llm.common import GAPS, in_struct, of_row, text_key, with_key, words
-from voxmill.session import stored_once
+from voxmill.session import drop_stored, stored_once
 
 #: Counters for word frequencies: words share a counter by their hash. More counters tell
 #: rare words apart in a larger corpus; links do not depend on it.
@@ -33,7 +33,7 @@ def _line_words(line: Column) -> Column:
     return F.when(plain, F.split(trimmed, " ")).otherwise(words(line))
 
 
-def _levels(lines: DataFrame, counters: int) -> Column:
+def _levels(lines: DataFrame, counters: int) -> DataFrame:
     """How frequent the words of each counter are: an array of logarithms in the bits above
     a word's hash, by counter. It is counted once and stored as one row of ``counters``
     numbers."""
@@ -41,7 +41,7 @@ def _levels(lines: DataFrame, counters: int) -> Column:
     every = lines.sparkSession.range(counters).join(counts, F.col("id") == F.col("at"), "left")
     level = _shifted(F.floor(F.log2(F.coalesce("count", F.lit(1)))), F.lit(_HASH_BITS))
     by_id = F.sort_array(F.collect_list(F.struct("id", level.alias("level"))))
-    return stored_once(every.agg(by_id["level"].alias("levels")), "levels").scalar()
+    return stored_once(every.agg(by_id["level"].alias("levels")), "levels")
 
 
 def _counter(word: Column, counters: int) -> Column:
@@ -62,10 +62,10 @@ def _keys(line: Column, levels: Column, counters: int) -> Column:
     return F.sort_array(F.array_distinct(F.transform(_line_words(line), key)))
 
 
-def _with_levels(lines: DataFrame, levels: Column) -> DataFrame:
+def _with_levels(lines: DataFrame, levels: DataFrame) -> DataFrame:
     """The optimizer joins this projection with the next one, so the table of levels stays
     one object per task and is in no row."""
-    return lines.withColumn("levels", levels)
+    return lines.withColumn("levels", levels.scalar())
 
 
 def _shifted(value: Column, by: Column) -> Column:
@@ -97,15 +97,19 @@ def _near(a: str, b: str, num: int, den: int, parity: bool) -> Column:
 
 
 def _verified(later: DataFrame, earlier: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Classes of ``later`` that are similar to an earlier one with a common word."""
+    """Classes of ``later`` that are similar to an earlier one with a common word. Pairs are
+    stored before whole sets meet, so disk never holds the postings and the sets at once."""
     a, b = later.alias("a"), earlier.alias("b")
     pairs = a.join(b, (F.col("a.word") == F.col("b.met")) & (F.col("b.first") < F.col("a.first")) & _near("a", "b", num, den, True))
     pairs = pairs.select(*(F.col(f"a.{c}") for c in _CLASS), *(F.col(f"b.{c}").alias(f"other_{c}") for c in _CLASS)).distinct()
+    pairs = stored_once(pairs, "pairs")
     mine = sets.select(*_CLASS, F.col("keys").alias("mine"))
     theirs = sets.select(*(F.col(c).alias(f"other_{c}") for c in _CLASS), F.col("keys").alias("theirs"))
     both = F.size(F.array_intersect("mine", "theirs"))
     met = pairs.join(mine, list(_CLASS)).join(theirs, [f"other_{c}" for c in _CLASS])
-    return met.filter(den * both >= num * (F.size("mine") + F.size("theirs") - both)).select(*_CLASS).distinct()
+    similar = stored_once(met.filter(den * both >= num * (F.size("mine") + F.size("theirs") - both)).select(*_CLASS).distinct(), "similar")
+    drop_stored(pairs)
+    return similar
 
 
 def similar_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 1, counters: int = COUNTERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,24 +129,32 @@ def similar_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 1
     similar are settled by their class and take no part in it. Of these the whole sets are fetched. They
     are compared with the earliest class of each of their prefix words, and only those that
     this does not settle with all earlier ones, so large groups of similar lines do not
-    multiply.
+    multiply. Lines that repeat a class are named before any sets are compared; from then on
+    a class is its first line, and of each step's tables only what the next ones read stays.
     """
     rows = with_key(docs, id_col, text_col)
     lines = _lines(rows)
     levels = _levels(lines, counters)
     keyed = _with_levels(lines, levels).select("doc_id", "tkey", "line_no", _keys(F.col("line"), F.col("levels"), counters).alias("keys"))
     keyed = keyed.select("doc_id", "tkey", "line_no", *_told(F.col("keys"), num, den))
-    keyed = stored_once(keyed, "lines").filter(F.col("n") >= least)  # only now, or the keys are computed twice
+    stored = stored_once(keyed, "lines")
+    keyed = stored.filter(F.col("n") >= least)  # only now, or the keys are computed twice
 
     place = F.struct("doc_id", "tkey", "line_no")
-    firsts = stored_once(keyed.groupBy(*_CLASS).agg(F.min(place).alias("first"), F.any_value("prefix").alias("prefix")), "firsts")
+    grouped = keyed.groupBy(*_CLASS).agg(F.min(place).alias("first"), F.count("*").alias("times"), F.any_value("prefix").alias("prefix"))
+    firsts = stored_once(grouped, "firsts")
+    again = keyed.select("doc_id", "tkey", "line_no", *_CLASS).join(firsts.filter("times > 1").select(*_CLASS, "first"), list(_CLASS))
+    copies = stored_once(again.filter(F.col("first") < place).select("doc_id", "tkey", "line_no"), "copies")
+    drop_stored(stored)
+
     others = firsts.filter(den * F.col("n") >= num * (F.col("n") + 1))  # n words and one more at best
     postings = others.select(*_CLASS, F.posexplode("prefix").alias("at", "word"))
     a, b = postings.alias("a"), postings.alias("b")
     other = (F.col("a.word") == F.col("b.word")) & ((F.col("a.c1") != F.col("b.c1")) | (F.col("a.parity") != F.col("b.parity")) | (F.col("a.n") != F.col("b.n")))
     maybe = stored_once(a.join(b, other & _near("a", "b", num, den, True), "left_semi").select(*_CLASS).distinct(), "maybe")
-
     suspects = stored_once(firsts.join(maybe, list(_CLASS), "left_semi").select(*_CLASS, "first", "first.*"), "suspects")
+    drop_stored(firsts, maybe)
+
     homes = suspects.groupBy(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key")).agg(F.collect_list(F.struct("line_no", *_CLASS, "first")).alias("own"))
     homes = stored_once(homes, "homes")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_key"))
@@ -151,15 +163,18 @@ def similar_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 1
     ))))
     theirs = _with_levels(theirs.select(*_CLASS, "first", "line"), levels)
     sets = stored_once(theirs.select(*_CLASS, "first", _keys(F.col("line"), F.col("levels"), counters).alias("keys")), "sets")
+    drop_stored(suspects, homes, levels)
 
     few = sets.select(*_CLASS, "first", F.posexplode(_prefix(F.col("keys"), num, den)).alias("at", "word"))
     hubs = few.groupBy("word").agg(F.min(F.struct("first", *_CLASS, "at")).alias("b")).select(F.col("word").alias("met"), "b.*")
-    gone = stored_once(_verified(few, hubs, sets, num, den), "gone")
+    gone = _verified(few, hubs, sets, num, den)
     rest = few.join(gone, list(_CLASS), "left_anti")
-    gone = stored_once(gone.union(_verified(rest, few.withColumnRenamed("word", "met"), sets, num, den)).withColumn("gone", F.lit(True)), "gone")
+    more = _verified(rest, few.withColumnRenamed("word", "met"), sets, num, den)
 
-    judged = keyed.select("doc_id", "tkey", "line_no", *_CLASS).join(firsts, list(_CLASS)).join(gone, list(_CLASS), "left")
-    return judged.filter(F.col("gone") | (F.col("first") < place)).select("doc_id", "tkey", "line_no")
+    led = sets.join(gone.union(more), list(_CLASS), "left_semi").select("first.*")
+    goes = stored_once(copies.union(led.select("doc_id", "tkey", "line_no")), "goes")
+    drop_stored(copies, sets, gone, more)
+    return goes
 
 
 def drop_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: int) -> DataFrame:
