@@ -8,7 +8,8 @@ import pandas as pd
 
 from pyspark.sql import functions as F
 
-from voxmill.llm import common, line_dedup, phrase_dedup
+from tests.llm import brute
+from voxmill.llm import common, line_dedup, phrase_dedup, shingle_join
 from voxmill.operators import analyser
 from voxmill.session import shared_root, stored_once
 from workload import all_queries
@@ -92,6 +93,10 @@ def test_a_stored_step_leaves_no_shuffle_files(spark):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
 
 
+def by_id(df, *columns):
+    return {r[0]: tuple(r)[1:] for r in df.select("doc_id", *columns).collect()}
+
+
 def stored_names(spark):
     return {f.name for f in Path(shared_root(spark).removeprefix("file:")).iterdir()}
 
@@ -109,3 +114,50 @@ def test_tables_of_ended_steps_of_line_dedup_go(spark):
     left = line_dedup.drop_similar_lines(docs)
     assert left.count() == 7 and left.filter("doc_id IS NULL AND n_lines_gone = 0").count() == 1
     assert [r.n_lines_gone for r in left.filter("doc_id = 2").collect()] == [1, 1]
+
+
+def test_copies_are_linked_by_their_sets_and_steps_leave_no_tables(spark, monkeypatch):
+    rng, asked = random.Random(3), []
+    words = [f"w{k}" for k in range(120)]
+    texts = [" ".join(words)] * 5 + [" ".join(w if rng.random() > 0.02 else "zz" for w in words) for _ in range(8)]
+    texts += [texts[6], texts[7].upper(), texts[7], None, " ", "a b", "A  b"]
+    linked = shingle_join._linked
+
+    def spy(pairs, *more):
+        asked.extend(pairs.collect())
+        return linked(pairs, *more)
+
+    monkeypatch.setattr(shingle_join, "_linked", spy)
+    before, docs = stored_names(spark), spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = shingle_join.join_shingles(docs, 4, 85, 100)
+    assert {n.split("-")[0] for n in stored_names(spark) - before} == {"sizes", "edges", "roots"}
+    sets = [(texts[i] or "").lower().split() for i in range(len(texts))]
+    assert asked and all(sets[p.a] != sets[p.b] for p in asked)
+    assert by_id(found, "n_shingles", "component_id") == brute.shingle_join(list(enumerate(texts)), 4, 85, 100)
+
+
+def test_an_id_with_a_copy_and_a_text_of_its_own_keeps_both_links(spark):
+    rng = random.Random(5)
+    one, two = ([f"{x}{k}" for k in range(80)] for x in "ab")
+    close = [" ".join(w if k != rng.randrange(80) else "q" for k, w in enumerate(ws)) for ws in (one, two)]
+    rows = [(1, " ".join(one)), (5, " ".join(one)), (5, " ".join(two)), (7, close[1]), (8, close[0]), (9, " ".join(two)), (None, " ".join(two))]
+    found = shingle_join.join_shingles(spark.createDataFrame(rows, "doc_id bigint, text string"), 4, 80, 100)
+    assert {(r.doc_id, r.component_id) for r in found.collect()} == {(i, 1) for i in (1, 5, 7, 8, 9)} | {(None, None)}
+
+
+def test_near_copies_of_many_buckets_meet_in_one(spark):
+    roots = {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6}
+    members = spark.createDataFrame([(s, i, r) for s in range(40) for i, r in roots.items()], "sign bigint, id bigint, root bigint")
+    sizes = spark.createDataFrame([(i, 100, [0] * 9) for i in roots], "doc_id bigint, n int, sketch array<bigint>")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pairs = shingle_join._across(members, sizes, 85, 100)
+        wanted = {(max(a, b), min(a, b)) for a in roots for b in roots if roots[a] != roots[b]}
+        assert {(r.a, r.b) for r in pairs.collect()} == wanted
+        node = pairs._jdf.queryExecution().executedPlan()
+        while "Join" not in node.nodeName():
+            node = node.children().head()
+        assert node.metrics().apply("numOutputRows").value() <= 2 * len(wanted)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
