@@ -3,13 +3,15 @@
 import random
 import time
 from pathlib import Path
+from string import punctuation
 
 import pandas as pd
+import public_tokenizers
 
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from voxmill.llm import common, line_dedup, phrase_dedup, shingle_join
+from voxmill.llm import common, line_dedup, packing, phrase_dedup, shingle_join
 from voxmill.operators import analyser
 from voxmill.session import shared_root, stored_once
 from workload import all_queries
@@ -161,3 +163,19 @@ def test_near_copies_of_many_buckets_meet_in_one(spark):
         assert node.metrics().apply("numOutputRows").value() <= 2 * len(wanted)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_letters_before_any_marks_are_told_apart_without_the_whole_tokenizer(monkeypatch):
+    words = packing._Words(public_tokenizers.path("word_bpe_49k.json"))
+    encode, rng, asked = words.encode, random.Random(9), []
+    texts = [s + "".join(rng.choices(punctuation, k=rng.randrange(1, 5))) for s in ("Eden", "\u00c9ach\u00e7", "'s", "it's", "a1", "\u0130x", "") for _ in range(60)]
+    texts += ["<|endoftext|>", "x<|endoftext|>", "e\u0301$$", "a'", "'t'", "\u03a3\u03a3&&"]
+    for text in texts:
+        assert words[text.encode()] == packing.pack_numbers(f"<{len(ids := encode(text, add_special_tokens=False).ids)}I", *ids), text
+    words.encode = lambda text, **more: asked.append(text) or encode(text, **more)
+    for k in range(20):
+        words[("Eden" + "b" * k + "***").encode()]
+    assert set(asked) <= {"***"}
+    found, ends = packing.encode_sentences("One, two. Three!\n\u00e9? x".encode(), words)
+    parts = [len(encode(t, add_special_tokens=False).ids) for t in ("One, two.", "Three!", "\u00e9?", "x")]
+    assert ends == [sum(parts[: k + 1]) for k in range(3)] and len(found) == 4 * sum(parts)

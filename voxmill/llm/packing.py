@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from codecs import charmap_decode
 from collections.abc import Iterator
+from operator import itemgetter
+from string import punctuation
 from struct import pack as pack_numbers
 from unicodedata import normalize
 
@@ -25,11 +27,14 @@ BLOCK_TOKENS = 1 << 21
 #: Words of up to so many bytes are remembered, so many of them per worker as they stand in
 #: texts, and so many in lower case without the marks behind them.
 WORD_BYTES, WORDS_KEPT, STEMS_KEPT = 64, 500_000, 500_000
-#: Marks that the tokenizer never joins with the letters before them.
-MARKS = ".,;:!?"
+#: Marks that the tokenizer never joins with the letters before them: all of ASCII but the
+#: apostrophe.
+MARKS = punctuation.replace("'", "")
 #: The one letter that Python puts into lower case by what stands around it.
 SIGMA = "\u03a3"
 _ENDS = b".!?"
+_last = itemgetter(-1)
+_IS_END = np.isin(np.arange(256), list(_ENDS))
 
 
 def sequence_cost(length: int, size: int) -> int:
@@ -149,17 +154,18 @@ def words_of(path: str) -> _Words:
     return _cache[path]
 
 
-def encode_sentences(text: str, words: _Words) -> tuple[bytes, list[int]]:
-    """The ids of a text as bytes, and the places (in ids) where its sentences end.
+def encode_sentences(text: bytes, words: _Words) -> tuple[bytes, list[int]]:
+    """The ids of a text (UTF-8) as bytes, and the places (in ids) where its sentences end.
 
     The tokenizer drops white space and looks at each word by itself, so the ids of a text
     are those of its words in their order."""
-    own = text.encode().split()
+    own = text.split()
     if not own:
         return b"", []
     parts = list(map(words.__getitem__, own))
-    places = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // 4
-    return b"".join(parts), places[[w[-1] in _ENDS for w in own]].tolist()
+    places = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+    ends = _IS_END[np.frombuffer(bytes(map(_last, own)), np.uint8)]
+    return b"".join(parts), (places[ends] // 4).tolist()
 
 
 def _places(docs: list[tuple], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -258,7 +264,7 @@ def pack(
     file of a tokenizer that drops white space.
     """
     schema = f"doc_id {dict(docs.dtypes)[id_col]}, tkey bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("tkey"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("tkey"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     arrow = pa.schema([("doc_id", _arrow(docs, id_col)), ("tkey", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
     return rows.mapInArrow(_packer(tokenizer, size, end_id, block_tokens, arrow), schema)
 
