@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences, in stages.
 
 Every stage takes the documents that the one before it left and works on all of them. What
-a stage returns is written to the shared folder and read again by the next one.
+a stage returns is written to the shared folder, read again by the next one and then deleted.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from voxmill.llm import line_dedup, mixing, packing, quality, shingle_join
 from voxmill.llm.common import GAPS, semi_join, text_key
-from voxmill.session import stored_once
+from voxmill.session import drop_stored, stored_once
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -70,7 +70,9 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = stored_once(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_stored(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

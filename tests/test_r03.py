@@ -10,6 +10,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tests.llm import brute
 from voxmill.llm import common, line_dedup, packing, phrase_dedup, shingle_join
 from voxmill.operators import analyser
@@ -179,3 +180,12 @@ def test_letters_before_any_marks_are_told_apart_without_the_whole_tokenizer(mon
     found, ends = packing.encode_sentences("One, two. Three!\n\u00e9? x".encode(), words)
     parts = [len(encode(t, add_special_tokens=False).ids) for t in ("One, two.", "Three!", "\u00e9?", "x")]
     assert ends == [sum(parts[: k + 1]) for k in range(3)] and len(found) == 4 * sum(parts)
+
+
+def test_the_pipeline_keeps_only_the_table_of_its_last_stored_stage(spark, tmp_path, monkeypatch):
+    stages = [(name, lambda spark, docs, sf_dir: docs) for name in ("one", "two", "three")]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [*stages, ("four", lambda spark, docs, sf_dir: docs.select("doc_id"))])
+    documents(spark, tmp_path, "a b", "c d")
+    before = stored_names(spark)
+    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == [0, 1]
+    assert {n.split("-")[0] for n in stored_names(spark) - before} == {"three"}
